@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from ledgermark.llm import mixing, topk
+from ledgermark.llm import lattice, mixing, pieces, simhash, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_embedding_near_dedup": lattice.op7_embedding_near_dedup,
     "op9_exact_top_k": topk.op9_exact_top_k,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 SQL = {
     "op9_exact_top_k": topk.OP9_SQL,
