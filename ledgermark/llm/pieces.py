@@ -28,10 +28,31 @@ from pyspark.sql import functions as F
 
 from ledgermark.llm.common import slices, table
 
-CACHED = 150_000
+CACHED = 400_000
 NONE = 2**31 - 1
 
 
+class Spelling:
+    """Byte strings of ids, joined for whole arrays of ids at once."""
+
+    def __init__(self, strings):
+        import numpy as np
+
+        strings = list(strings)
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+
+    def of(self, ids, cut):
+        """The strings of ``ids`` end to end, and the places in it of the places ``cut`` in ids."""
+        import numpy as np
+
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.repeat(self.first[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        return data.tobytes(), ends[cut]
+
+
 class Model:
     """A model file's pieces, pair ranks and byte ids."""
 
@@ -71,7 +92,8 @@ class Model:
             if p.type == 6:
                 self.byte[int(p.piece[1:-1], 16)] = i
         #: what an id decodes to; control pieces to nothing
-        self.out = [bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else p.piece.replace("▁", " ").encode() if p.type == 1 else b"" if p.type == 3 else m.trainer_spec.unk_surface.encode() for p in m.pieces]
+        self.surface = Spelling(bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else p.piece.replace("▁", " ").encode() if p.type == 1 else b"" if p.type == 3 else m.trainer_spec.unk_surface.encode() for p in m.pieces)
+        self.decimal = Spelling(f"{i},".encode() for i in range(len(m.pieces)))
         self.words: dict[str, tuple[bytes, int, bytes]] = {}
 
     def ranks(self, left, right):
@@ -86,7 +108,7 @@ class Model:
         return at.astype(np.int32)
 
     def merged(self, words: list[str], single: bool = False):
-        """For each word its final symbols and the character each starts at."""
+        """Arrays of word numbers, final symbols and the characters these start at, in order."""
         import numpy as np
 
         sizes = np.array([len(w) for w in words], np.int64)
@@ -140,42 +162,59 @@ class Model:
                     again.append(word[pos[self.rank[pair[pos]] <= was]])
             pair[-1] = len(self.keys)
         bad = np.unique(np.concatenate(again)) if again else np.empty(0, np.int64)
-        word, sym, at = (np.concatenate(x) for x in zip(*ended, strict=True)) if ended else (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))
-        order = np.lexsort((at, word))
-        word, sym, at = word[order], sym[order], at[order]
-        cut = np.searchsorted(word, np.arange(len(words) + 1))
-        out = [(sym[a:b], at[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         if len(bad):
-            for i, got in zip(bad.tolist(), self.merged([words[i] for i in bad.tolist()], single=True), strict=True):
-                out[i] = got
-        return out
-
-    def ids(self, words: list[str]) -> list[list[int]]:
-        out = []
-        for text, (sym, at) in zip(words, self.merged(words), strict=True):
-            ids = sym.tolist()
-            if len(ids) and min(ids) < 0:  # characters outside the vocabulary, byte by byte
-                ids = [x for s, p in zip(ids, at.tolist(), strict=True) for x in ([s] if s >= 0 else [int(self.byte[b]) for b in text[p].encode()])]
-            out.append(ids)
-        return out
+            ended = [tuple(x[keep] for x in part) for part in ended for keep in (~np.isin(part[0], bad),)]
+            redone = self.merged([words[i] for i in bad.tolist()], single=True)
+            ended.append((bad[redone[0]], redone[1], redone[2]))
+        if not ended:
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+        word, sym, at = (np.concatenate(x) for x in zip(*ended, strict=True))
+        order = np.argsort(word * int(sizes.max()) + at, kind="stable")
+        return word[order], sym[order], at[order]
+
+    def ids(self, words: list[str]):
+        """The words' ids in one array, and where each word's begin and end in it."""
+        import numpy as np
+
+        word, sym, at = self.merged(words)
+        sym = sym.astype(np.int64)
+        lost = np.flatnonzero(sym < 0)
+        if len(lost):  # characters outside the vocabulary, byte by byte
+            spelt = [self.byte[list(words[w][p].encode())] for w, p in zip(word[lost].tolist(), at[lost].tolist(), strict=True)]
+            count = np.ones(len(sym), np.int64)
+            count[lost] = [len(x) for x in spelt]
+            out = np.repeat(sym, count)
+            out[out < 0] = np.concatenate(spelt)
+            word, sym = np.repeat(word, count), out
+        return sym, np.searchsorted(word, np.arange(len(words) + 1))
 
     def cut(self, text: str) -> list[str]:
         return re.findall("▁*[^▁\n]+|▁+|\n", "▁" + text.replace(" ", "▁")) if text else []
 
     def known(self, words: list[str]) -> dict[str, tuple[bytes, int, bytes]]:
-        """Every word's ids as decimal text, their number, and what they decode to."""
+        """Every word's ids as decimal text with commas behind, their number, and what they decode to."""
+        import numpy as np
+
         if len(self.words) > CACHED:
             self.words.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.words]
-        for w, ids in zip(new, self.ids(new), strict=True):
-            self.words[w] = (",".join(map(str, ids)).encode(), len(ids), b"".join([self.out[i] for i in ids]))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids, cut = self.ids(part)
+            csv, csv_cut = self.decimal.of(ids, cut)
+            out, out_cut = self.surface.of(ids, cut)
+            n, c, o = np.diff(cut).tolist(), csv_cut.tolist(), out_cut.tolist()
+            for i, w in enumerate(part):
+                self.words[w] = (csv[c[i] : c[i + 1]], n[i], out[o[i] : o[i + 1]])
         return self.words
 
     def encode(self, text: str | None) -> list[int]:
-        return [x for ids in self.ids(self.cut(text or "")) for x in ids]
+        return self.ids(self.cut(text or ""))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return decoded(b"".join([self.out[i] for i in ids]))
+        import numpy as np
+
+        return decoded(self.surface.of(np.array(ids, np.int64), np.array([0, len(ids)]))[0])
 
 
 def decoded(data: bytes) -> str:
@@ -203,7 +242,7 @@ def _coded(path: str, key: str, text: str, with_ids: bool):
             n, ids_hash, text_hash, ids, texts = [], [], [], [], []
             for c in cuts:
                 got = [known[w] for w in c]
-                csv = b",".join([g[0] for g in got])
+                csv = b"".join([g[0] for g in got])[:-1]
                 out = b"".join([g[2] for g in got]).removeprefix(b" ")
                 n.append(sum([g[1] for g in got]))
                 ids_hash.append(hashlib.sha256(csv).hexdigest())

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgermark.llm import lattice, lines, mixing, pieces, simhash, topk
+from ledgermark.llm import lattice, lines, mixing, pieces, quality, simhash, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_embedding_near_dedup": lattice.op7_embedding_near_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
