@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ledgermark.llm import lattice, lines, mixing, pieces, quality, simhash, topk
+from ledgermark.llm import lattice, lines, mixing, pieces, privacy, quality, simhash, toolcalls, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_pii_surrogates": privacy.op2_pii_surrogates,
+    "op4_tool_calls": toolcalls.op4_tool_calls,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_embedding_near_dedup": lattice.op7_embedding_near_dedup,
@@ -14,5 +16,6 @@ QUERIES = {
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 SQL = {
+    "op4_tool_calls": toolcalls.OP4_SQL,
     "op9_exact_top_k": topk.OP9_SQL,
 }
