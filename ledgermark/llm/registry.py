@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgermark.llm import lattice, lines, mixing, pieces, privacy, quality, simhash, toolcalls, topk
+from ledgermark.llm import lattice, lines, mixing, pieces, privacy, quality, simhash, suffixes, toolcalls, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_pii_surrogates": privacy.op2_pii_surrogates,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_tool_calls": toolcalls.op4_tool_calls,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash": simhash.op6_simhash,
