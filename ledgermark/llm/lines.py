@@ -9,7 +9,7 @@ Equal lines are grouped by two 64-bit hashes. Each distinct line is then cut int
 index rows name a segment by line length, number and hash, probe rows name the
 substrings of a line that may be a segment of a line of the same or smaller length, at
 the places that multi-match-aware selection leaves (Li, Deng, Wang and Feng, 2011).
-Pairs that meet are verified by a banded bit-parallel automaton: for each number of
+Pairs that meet, and whose counts of a few letters allow it, are verified by a banded bit-parallel automaton: for each number of
 errors a word of 2 * most + 1 bits holds the diagonals reached.
 
 Texts travel once: from the first occurrences on, all is one plan, in which the
@@ -41,37 +41,33 @@ def boxed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("h"), F.array(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("box"))
 
 
+def whole() -> Column:
+    """The row in ``box``. The place is computed, as a literal one would let pruning take the row apart."""
+    return F.col("box")[0]
+
+
 def joined(rows: DataFrame, marks: DataFrame, how: str = "left") -> DataFrame:
     """Join of boxed rows with ``marks(mk, mh, ...)``, one row a document."""
     return rows.join(marks, F.col("k").eqNullSafe(F.col("mk")) & (F.col("h") == F.col("mh")), how)
 
 
-def segment(n, number: int, most: int):
-    """Start (from 1) and length of a segment of a line of ``n`` characters; the last ones take the rest."""
-    size, rest = F.floor(n / F.lit(most + 1)), n % (most + 1)
-    short = most + 1 - rest  # so many segments have the smaller size
-    before = F.lit(number)
-    start = before * size + F.greatest(F.lit(0), before - short) + 1
-    return start.cast("int"), (size + (before >= short).cast("int")).cast("int")
-
-
-def segment_rows(line: Column, n: Column, most: int) -> tuple[Column, Column]:
-    """Hashes of a line's index segments, and of the substrings to probe for."""
+def segment_names(lines: DataFrame, most: int, probes: bool) -> DataFrame:
+    """``lines(line, n, ...)`` -> the same with ``segment``, a row for each index segment or each probe.
 
-    def name(length, number, part):
-        return F.xxhash64(length.cast("int"), F.lit(number), part)
-
-    index = F.array(*[name(n, i, F.substring(line, *segment(n, i, most))) for i in range(most + 1)])
-    probes = []
-    for more in range(most + 1):  # the other line is so much shorter
-        length = n - more
-        for i in range(most + 1):
-            start, size = segment(length, i, most)
-            # places that leave at most i errors on the left and most - i on the right
-            for shift in range(max(-i, more - (most - i)), min(i, more + most - i) + 1):
-                at = start + shift
-                probes.append(F.when((length > most) & (at >= 1) & (at + size - 1 <= n), name(length, i, F.substring(line, at, size))))
-    return index, F.array_compact(F.array(*probes))
+    A line of n characters has ``most`` + 1 segments, the last ``n % (most + 1)`` of them
+    longer by one. What differs between a line's rows is data (number, shortening,
+    shift), so that generated code stays small enough to be compiled.
+    """
+    places = [(i, 0, 0) for i in range(most + 1)]
+    if probes:  # the other line is so much shorter, and at most i errors lie on the left, most - i on the right
+        places = [(i, more, shift) for more in range(most + 1) for i in range(most + 1) for shift in range(max(-i, more - (most - i)), min(i, more + most - i) + 1)]
+    place = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("i", "more", "shift"), p, strict=True)]) for p in places])).alias("_p")
+    rows = lines.select("*", place).withColumn("_length", F.col("n") - F.col("_p.more")).where(F.col("_length") > most)
+    short = F.lit(most + 1) - F.col("_length") % (most + 1)
+    rows = rows.withColumn("_size", F.expr(f"_length div {most + 1}").cast("int") + (F.col("_p.i") >= short).cast("int"))
+    start = F.col("_p.i") * F.expr(f"_length div {most + 1}").cast("int") + F.greatest(F.lit(0), F.col("_p.i") - short) + 1 + F.col("_p.shift")
+    rows = rows.withColumn("_at", start).where((F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.col("n")))
+    return rows.select(*lines.columns, F.xxhash64("_length", "_p.i", F.substring("line", F.col("_at"), F.col("_size"))).alias("segment"))
 
 
 def within(a: Column, b: Column, most: int) -> Column:
@@ -98,23 +94,52 @@ def within(a: Column, b: Column, most: int) -> Column:
             new.append(old[e].bitwiseAND(same).bitwiseOR(old[e - 1]).bitwiseOR(F.shiftright(old[e - 1], 1)).bitwiseOR(left(new[-1])))
         return F.struct(*[w.alias(f"e{e}") for e, w in enumerate(new)])
 
-    start = F.struct(*[w.alias(f"e{e}") for e, w in enumerate(words)])
-    places = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(places, start, step, lambda s: s[f"e{most}"])
+    # equal beginnings add no edit; from the first difference on, most pairs die within
+    # a few characters, and only the others are followed to the end
+    begin = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int") - 1
+    ends = F.size(b) - 1
+
+    def follow(state, first, last):
+        places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, state, step)
+
+    state = F.struct(*[w.alias(f"e{e}") for e, w in enumerate(words)])
+    soon = F.least(begin + 8 * (most + 1), ends)
     apart = F.size(a) - F.size(b)
-    return (F.abs(apart) <= most) & _bit(last, apart + most)
+    done = F.aggregate(F.array(follow(state, begin, soon)), F.lit(False), lambda _, s: F.when(s[f"e{most}"] == 0, F.lit(False)).otherwise(_bit(follow(s, soon + 1, ends)[f"e{most}"], apart + most)))
+    return F.when(F.abs(apart) > most, F.lit(False)).when(begin < 0, F.lit(True)).otherwise(done)
+
+
+#: Counts of these letters are compared before a pair is made; others would do as well.
+LETTERS = "etnaoi"
+
+
+def letter_counts(line: Column, n: Column) -> Column:
+    """A byte for each letter of :data:`LETTERS`: its count, modulo 256."""
+    counts = [F.shiftleft(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 256).cast("long"), 8 * i) for i, c in enumerate(LETTERS)]
+    return sum(counts[1:], counts[0])
+
+
+def counts_apart(x: Column, y: Column) -> Column:
+    """A lower bound of twice the edits between two lines, from their letter counts."""
+
+    def one(i):
+        d = F.abs(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(y, 8 * i).bitwiseAND(F.lit(255)))
+        return F.least(d, 256 - d)
+
+    return sum((one(i) for i in range(1, len(LETTERS))), one(0))
 
 
 def _bit(word: Column, place: Column) -> Column:
     return F.bit_get(word.cast("long"), F.least(F.greatest(place, F.lit(0)), F.lit(63))) == 1
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, most: int = 2, least_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, most: int = 1, least_chars: int = 20) -> DataFrame:
     """The rows of ``docs`` with what stays of their text, and ``n_lines``, ``kept_lines`` behind them (in ``_line_dedup``)."""
     if least_chars <= most:
         raise ValueError("least_chars must exceed the number of edits")
     rows = boxed(docs, key, text)
-    lines = F.split(F.col("box")[0][text], BREAK)
+    lines = F.split(whole()[text], BREAK)
     order = ["last", "k", "h", "pos"]
     seen = docs.select(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("h"), F.posexplode(F.split(F.col(text), BREAK)).alias("pos", "line"))
     seen = written(seen.where(F.length("line") >= least_chars).select(*order, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")), "lines-seen")
@@ -125,11 +150,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, mos
     # index and probe rows of the first occurrences
     here = joined(rows, copies).select("k", "h", "gone", F.posexplode(lines).alias("pos", "line"))
     here = here.where((F.length("line") >= least_chars) & ~F.coalesce(F.array_contains("gone", F.col("pos")), F.lit(False)))
-    index, probes = segment_rows(F.col("line"), F.length("line"), most)
-    named = here.select(F.xxhash64("line").alias("h1"), index.alias("index"), probes.alias("probes"))
-    a = named.select(F.col("h1").alias("a"), F.explode("index").alias("segment"))
-    b = named.select(F.col("h1").alias("b"), F.explode("probes").alias("segment"))
-    met = a.join(b, "segment").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    here = here.select("line", F.length("line").alias("n"))
+    here = here.withColumn("id", F.xxhash64("line")).withColumn("counts", letter_counts(F.col("line"), F.col("n")))
+    a = segment_names(here, most, False).select(F.col("id").alias("a"), F.col("counts").alias("counts_a"), "segment")
+    b = segment_names(here, most, True).select(F.col("id").alias("b"), F.col("counts").alias("counts_b"), "segment")
+    met = a.join(b, "segment").where((F.col("a") != F.col("b")) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # the lines of the pairs, from the documents where they come first
     wanted = met.select(F.col("a").alias("h1")).union(met.select("b")).distinct()
@@ -141,11 +166,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, mos
     marks = copies.select("mk", "mh", "gone").union(near.groupBy(F.col("at.k").alias("mk"), F.col("at.h").alias("mh")).agg(F.collect_set("at.pos").alias("gone")))
     marks = marks.groupBy("mk", "mh").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
-    whole = F.col("box")[0]
     stays = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)))
-    out = joined(rows, marks).select("box", "gone", lines.alias("lines")).select("box", "gone", "lines", stays.alias("stays"))
-    kept = F.when(F.col("gone").isNull(), whole[text]).otherwise(F.array_join("stays", BREAK))
-    return out.select(*[(kept if c == text else whole[c]).alias(c) for c in docs.columns], F.struct(F.greatest(F.size("lines"), F.lit(0)).alias("n_lines"), F.greatest(F.size("stays"), F.lit(0)).alias("kept_lines")).alias("_line_dedup"))
+    out = joined(rows, marks).select("h", "box", "gone", lines.alias("lines")).select("h", "box", "gone", "lines", stays.alias("stays"))
+    kept = F.when(F.col("gone").isNull(), whole()[text]).otherwise(F.array_join("stays", BREAK))
+    return out.select(*[(kept if c == text else whole()[c]).alias(c) for c in docs.columns], F.struct(F.greatest(F.size("lines"), F.lit(0)).alias("n_lines"), F.greatest(F.size("stays"), F.lit(0)).alias("kept_lines")).alias("_line_dedup"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
