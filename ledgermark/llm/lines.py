@@ -43,7 +43,7 @@ def boxed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def whole() -> Column:
     """The row in ``box``. The place is computed, as a literal one would let pruning take the row apart."""
-    return F.col("box")[0]
+    return F.get("box", F.pmod(F.col("h"), F.lit(1)).cast("int"))
 
 
 def joined(rows: DataFrame, marks: DataFrame, how: str = "left") -> DataFrame:

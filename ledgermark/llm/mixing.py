@@ -21,10 +21,11 @@ result. Extra columns do not matter, only ``key``, ``source`` and ``text`` are r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermark.llm.common import WORD, table, written
+from ledgermark.llm.lines import boxed, whole
 
 SEED = 20_260_101
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -109,7 +110,7 @@ def _leaf(seed: int, level: int, last: bool):
     def work(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["source", "size", "key"], ascending=[True, False, True], na_position="last", kind="stable")
+        pdf = pdf.sort_values(["source", "size", "key", "h"], ascending=[True, False, True, True], na_position="last", kind="stable")
         out = []
         for _, group in pdf.groupby("source", dropna=False, sort=False):
             rows = group[["key", "size", "fraction"]].astype(object).values.tolist()
@@ -122,24 +123,24 @@ def _leaf(seed: int, level: int, last: bool):
             out += [(r[3], r[2], True) for r in done] + ([(held[3], held[2], False)] if held is not None else [])
         index, fraction, done = zip(*out, strict=True)
         got = pd.DataFrame({"fraction": fraction, "done": done}, index=list(index))
-        return pdf.drop(columns=["fraction"]).join(got)[["key", "source", "size", "source_size", "target", "base", "leaf", "fraction", "done"]]
+        return pdf.drop(columns=["fraction"]).join(got)[["key", "source", "size", "h", "source_size", "target", "base", "leaf", "fraction", "done"]]
 
     return work
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = SEED, leaf: int = 256) -> DataFrame:
-    """-> ``(key, source, size, source_size, target, copies)``, one row for each row of ``docs``."""
+    """-> ``(key, h, source, size, source_size, target, copies)``, ``h`` a hash of the text, one row for each row of ``docs``."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size")), "mix-sizes")
+    slim = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("h")), "mix-sizes")
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     aim = written(targets(sums, weights, share, most), "mix-targets")
     at = slim.alias("d").join(aim.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    n = slim.count()
+    n, kind = slim.count(), slim.schema["key"].dataType.simpleString()
     leaves, level, done = max(1, -(-n // leaf)), 0, []
     rows = at.withColumn("base", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.floor(ratio)).withColumn("leaf", F.pmod(F.xxhash64(F.lit(seed), "key", "size"), F.lit(leaves)))
     while True:
-        got = written(rows.groupBy("leaf").applyInPandas(_leaf(seed, level, leaves == 1), "key long, source string, size long, source_size long, target double, base long, leaf long, fraction double, done boolean"), "mix-level")
+        got = written(rows.groupBy("leaf").applyInPandas(_leaf(seed, level, leaves == 1), f"key {kind}, source string, size long, h long, source_size long, target double, base long, leaf long, fraction double, done boolean"), "mix-level")
         done.append(got.where("done"))
         if leaves == 1:
             break
@@ -149,7 +150,21 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return out.select("key", "source", "size", "source_size", "target", (F.col("base") + F.col("fraction").cast("long")).alias("copies"))
+    return out.select("key", "h", "source", "size", "source_size", "target", (F.col("base") + F.col("fraction").cast("long")).alias("copies"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, each as many times as :func:`mix` takes it.
+
+    Rows that share key and text are numbered, and the numbered copies meet.
+    """
+    rows = boxed(docs, key, text)
+    same = Window.partitionBy("k", "h")
+    rows = rows.withColumn("nth", F.row_number().over(same.orderBy(F.xxhash64("box"))))
+    taken = mix(docs, key, source, text, **options).where("copies > 0").select(F.col("key").alias("mk"), F.col("h").alias("mh"), "copies")
+    taken = written(taken.withColumn("m", F.row_number().over(Window.partitionBy("mk", "mh").orderBy("copies"))), "mix-taken")
+    both = rows.join(taken, F.col("k").eqNullSafe(F.col("mk")) & (F.col("h") == F.col("mh")) & (F.col("nth") == F.col("m")))
+    return both.select(whole().alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermark.llm.common import slices, table, written
-from ledgermark.llm.lines import boxed, joined
+from ledgermark.llm.lines import boxed, joined, whole
 
 KEY = b"replace this key in production"
 
@@ -232,7 +232,7 @@ def pseudonymized(docs: DataFrame, key: str = "doc_id", text: str = "text", *, s
     else:
         marks = found.join(odd, ["kind", "value"]).groupBy(F.col("k").alias("mk"), F.col("h").alias("mh")).agg(F.collect_set(F.struct("kind", "value", "nonce")).alias("nonces"))
         shared = spark.sparkContext.broadcast({})
-        ready = joined(rows, marks).select(F.col("box")[0].alias("row"), F.col("box")[0][text].alias("text"), "nonces")
+        ready = joined(rows, marks).select(whole().alias("row"), whole()[text].alias("text"), "nonces")
 
     def work(batches):
         import pyarrow as pa

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermark.llm.common import flat_bytes, slices, table, written
-from ledgermark.llm.lines import boxed, joined
+from ledgermark.llm.lines import boxed, joined, whole
 
 LONG = 2048  # windows in a span at most; a longer run becomes several
 
@@ -262,7 +262,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     left = written(left.where("open > 0 and (kinds > 1 or twice)").select("digit", F.ceil(F.col("kinds") / block).cast("long").alias("blocks")), "suffix-left")
     asked = kinds.join(left, "digit").select("digit", "blocks", "name", "n", (F.col("c") == 1).alias("open"), "where.*")
     asked = asked.groupBy(F.col("k").alias("mk"), F.col("h").alias("mh")).agg(F.collect_set(F.struct("digit", "blocks", "name", "n", "open", "at")).alias("asked"))
-    cut = joined(rows, asked, "inner").select("k", "h", F.encode(F.coalesce(F.col("box")[0][text], F.lit("")), "UTF-8").alias("data"), F.explode("asked").alias("s"))
+    cut = joined(rows, asked, "inner").select("k", "h", F.encode(F.coalesce(whole()[text], F.lit("")), "UTF-8").alias("data"), F.explode("asked").alias("s"))
     cut = cut.select("k", "h", "s.*", F.substring("data", F.col("s.at") + 1, F.col("s.n") + (window - 1)).alias("bytes"))
     # rows that share key and text would bring one span twice
     own = F.pmod(F.xxhash64("name", "n"), F.col("blocks"))
@@ -272,7 +272,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     edges = cut.mapInArrow(_compared(window), f"mk {kind}, mh long, a int, b int")
 
     marks = copied.union(edges).groupBy("mk", "mh").agg(F.collect_set(F.struct("a", "b")).alias("marks"))
-    out = joined(rows, marks).select(F.col("k").alias("key"), F.encode(F.coalesce(F.col("box")[0][text], F.lit("")), "UTF-8").alias("data"), "marks")
+    out = joined(rows, marks).select(F.col("k").alias("key"), F.encode(F.coalesce(whole()[text], F.lit("")), "UTF-8").alias("data"), "marks")
     return out.mapInArrow(_removed(), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("key", key)
 
 
