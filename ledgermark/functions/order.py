@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ledgermark-checkpoints").rstrip("/")
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder that goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/ledgermark-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage in the folder that ``spark.checkpoint.dir`` names."""
+    """``df`` cut from its lineage by a checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ledgermark-checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

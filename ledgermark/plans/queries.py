@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermark.functions import dates, money, residual
 from ledgermark.functions.gate import threshold
-from ledgermark.functions.order import positioned
-from ledgermark.functions.similarity import cosine
-from ledgermark.operators import audit, blocking, decide, evaluate, features, learn, rank, settle, solver
+from ledgermark.functions.order import checkpointed, scratch_path
+from ledgermark.operators import audit, blocking, decide, evaluate, features, learn, models, rank, settle, solver
 from ledgermark.plans import fixture as fx
-from ledgermark.plans.fixture import BANK, BASE, CAND, DECISIONS, LEDGER, PAIRED, RANKED, cand_sql, table, with_
+from ledgermark.plans.fixture import BASE, CAND, DECISIONS, LEDGER, PAIRED, RANKED, table, with_
+from ledgermark.streaming import feed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -314,3 +314,66 @@ query("money_parse", f"SELECT id, coalesce(CASE WHEN regexp_full_match(replace(t
 query("date_parse", "SELECT o_orderkey, date_diff('day', DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders")(
     lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", dates.parse_day(F.date_format("o_orderdate", "M/d/yyyy"), "M/d/yyyy").cast("long").alias("day"))
 )
+
+
+# trained models and streams: no SQL says these
+
+
+def _split(x: View) -> DataFrame:
+    return evaluate.temporal_split(x.bank).select(F.col("grp").alias("match_id"), "split")
+
+
+@query("gbt_rank")
+def gbt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-1 and MRR of a trained ranker on the test split, beside the rules."""
+    x = View(spark, sf_dir)
+    pairs = checkpointed(x.pairs().join(x.bank.select("record_id", "match_id"), "record_id").join(_split(x), "match_id"))
+    model = models.fit_ranker(rank.training_pairs(pairs.where("split = 'train'")))
+    test = pairs.where("split = 'test'")
+    labels = test.select("record_id", "label").distinct()
+    out = None
+    for name, scored in (("gbt", models.rank_scores(model, test)), ("rules", rank.rules_score(test))):
+        row = evaluate.top1_mrr(rank.with_ranks(scored).join(labels, "record_id")).withColumn("ranker", F.lit(name))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query("gbt_multiplicity")
+def gbt_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion of a trained detector at 0.7 on the test split."""
+    x = View(spark, sf_dir)
+    bank = x.bank.join(_split(x), "match_id")
+    prior = features.account_prior(bank.where("split = 'train'"))
+    rows = checkpointed(features.mult_features(x.bank, x.pairs(), prior).join(bank.select("record_id", F.col("is_mult").cast("int").alias("is_mult"), "split"), "record_id"))
+    model = models.fit_detector(rows.where("split = 'train'"))
+    scores = models.multiple_scores(model, rows.where("split = 'test'")).join(rows.select("record_id", F.col("is_mult").alias("truth")), "record_id")
+    return evaluate.confusion(scores.withColumnRenamed("p_multiple", "score"), 0.7)
+
+
+@query("isotonic_gate")
+def isotonic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration error of sigmoid and isotonic confidence on the test split; isotonic is fitted on validation."""
+    x = View(spark, sf_dir)
+    at = rank.ranked(x.scored()).join(x.bank, "record_id").join(_split(x), "match_id").where("margin is not null")
+    at = checkpointed(at.select("split", "margin", (F.col("key") == F.col("label")).cast("int").alias("right")))
+    model = models.fit_isotonic(at.where("split = 'val'"))
+    test = models.calibrated(model, at.where("split = 'test'"))
+    out = None
+    for name, score in (("isotonic", F.col("confidence")), ("sigmoid", 1 / (1 + F.exp(-F.col("margin"))))):
+        row = evaluate.reliability(test.select(score.alias("score"), F.col("right").alias("truth"))).agg(F.round(F.sum("ece_part"), 6).alias("ece"), F.round(F.sum("brier_part"), 6).alias("brier")).withColumn("calibrator", F.lit(name))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query("stream_parity")
+def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose streamed decision differs from the batch one, by outcome; equal plans give none."""
+    x = View(spark, sf_dir)
+    root = scratch_path(spark)
+    cols = ["record_id", "account", "amount_minor", "day"]
+    x.bank.select(*cols).repartition(4).write.parquet(f"{root}/bank")
+    stream = spark.readStream.schema(x.bank.select(*cols).schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/bank")
+    feed.decision_feed(stream, x.ledger, f"{root}/decisions", f"{root}/state").awaitTermination()
+    got = spark.read.parquet(f"{root}/decisions").select("record_id", F.col("outcome").alias("streamed"), F.col("key").alias("streamed_key"))
+    both = feed.decide_batch(x.bank.select(*cols), x.ledger).join(got, "record_id", "full")
+    return both.groupBy("outcome", "streamed").agg(F.count("*").alias("n"), F.count_if(~F.col("key").eqNullSafe(F.col("streamed_key"))).alias("differ"))
