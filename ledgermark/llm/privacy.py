@@ -129,8 +129,8 @@ def surrogate(key: bytes, kind: str, value: str, nonce: int = 0) -> str:
         digits = "0123456789abcdef" if value == value.lower() else "0123456789ABCDEF"
         return "".join(digits[draw.below(16)] for _ in value)
     out = value[:keep] + _shaped(draw, value[keep:])
-    if kind == "card" and _luhn(value) == 0:
-        out = next(out[:-1] + str(d) for d in range(10) if _luhn(out[:-1] + str(d)) == 0)
+    if kind == "card":
+        out = next(out[:-1] + d for d in (out[-1], *"0123456789") if (_luhn(out[:-1] + d) == 0) == (_luhn(value) == 0))
     return out
 
 
@@ -190,13 +190,13 @@ def _found(columns: list[str]):
     return work
 
 
-def nonces(found: DataFrame, key: bytes, name: str = "pii") -> DataFrame:
+def nonces(found: DataFrame, key: bytes, name: str = "pii", draw=surrogate) -> DataFrame:
     """``found(kind, value)`` of all documents -> the entities whose nonce isn't 0, as ``kind, value, nonce``."""
     spark = found.sparkSession
 
     def drawn(batches):
         for pdf in batches:
-            pdf["new"] = [surrogate(key, k, v, n) for k, v, n in zip(pdf["kind"], pdf["value"], pdf["nonce"], strict=True)]
+            pdf["new"] = [draw(key, k, v, n) for k, v, n in zip(pdf["kind"], pdf["value"], pdf["nonce"], strict=True)]
             yield pdf[["kind", "value", "nonce", "new"]]
 
     schema = "kind string, value string, nonce long, new string"
