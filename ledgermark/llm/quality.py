@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgermark.llm.common import table, written
 
 #: Bins of each measure; bin 0 is for documents without words.
-BINS = {"marks": 32, "lone": 18, "variety": 160, "length": 24, "common": 18}
+BINS = {"marks": 32, "lone": 18, "variety": 160, "length": 24, "common": 18, "stutter": 18}
 SMOOTH = 4.0
 
 
@@ -41,7 +41,7 @@ def measures(text: Column) -> Column:
 def binned(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with ``_bins``, an array of bin numbers in the order of :data:`BINS`."""
     m = docs.withColumn("_m", measures(F.col(text)))
-    m = m.withColumn("_s", F.struct(F.size("_m.words").alias("n"), F.size(F.array_distinct("_m.words")).alias("kinds"), F.col("_m.chars").alias("chars"), F.col("_m.marks").alias("marks"), F.size(F.filter("_m.words", lambda w: F.length(w) == 1)).alias("lone"), F.size(F.filter("_m.words", lambda w: F.length(w) <= 3)).alias("short")))
+    m = m.withColumn("_s", F.struct(F.size("_m.words").alias("n"), F.size(F.array_distinct("_m.words")).alias("kinds"), F.col("_m.chars").alias("chars"), F.col("_m.marks").alias("marks"), F.size(F.filter("_m.words", lambda w: F.length(w) == 1)).alias("lone"), F.size(F.filter("_m.words", lambda w: F.length(w) <= 3)).alias("short"), F.size(F.filter("_m.words", lambda w, i: (i > 0) & (w == F.get("_m.words", i - 1)))).alias("stutter")))
     n = F.col("_s.n")
 
     def bin_of(x: Column, name: str) -> Column:
@@ -54,6 +54,7 @@ def binned(docs: DataFrame, text: str) -> DataFrame:
         bin_of(size * 11 + F.floor(10 * F.col("_s.kinds") / n), "variety"),
         bin_of(F.col("_s.chars") / n, "length"),
         bin_of(16 * F.col("_s.short") / n, "common"),
+        bin_of(16 * F.col("_s.stutter") / n, "stutter"),
     ]
     return m.withColumn("_bins", F.coalesce(F.array(*bins), F.array(*[F.lit(0)] * len(bins)))).drop("_m", "_s")
 
@@ -87,7 +88,7 @@ def _strength(groups: DataFrame, mean: str, within: str) -> float:
     return min(1e6, max(1.0, level * (1 - level) / spread - 1))
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", label_key: str = "doc_id", label: str = "quality", cut: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", label_key: str = "doc_id", label: str = "quality", cut: float = 0.3) -> DataFrame:
     """The rows of ``docs`` with ``_quality``: a struct of evidence, prior, p and keep."""
     host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
     given = labels.select(F.col(label_key).alias("_key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
