@@ -55,7 +55,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of each entity, in order and apart."""
     digits, out = bool(_DIGIT.search(text)), []
     for kind, pattern in KINDS:
-        if kind == "email" and "@" not in text or kind == "name" and not _TITLED.search(text) or kind not in ("email", "name", "secret") and not digits:
+        if kind == "email" and "@" not in text or kind == "name" and not _TITLED.search(text) or kind not in ("email", "name", "secret", "awskey") and not digits:
             continue
         for m in pattern.finditer(text):
             a, b = m.span(1)
