@@ -6,8 +6,8 @@ Lines shorter than ``least_chars`` characters are left alone.
 
 Equal lines are grouped by two 64-bit hashes. Each distinct line is then cut into
 ``most`` + 1 segments, of which a line within ``most`` edits must hold one unchanged:
-index rows name a segment by line length, number and hash, probe rows name the
-substrings of a line that may be a segment of a line of the same or smaller length, at
+index rows name a segment by line length, number and hash, probe rows so name the
+substrings of a line that may be a segment of a shorter line, at
 the places that multi-match-aware selection leaves (Li, Deng, Wang and Feng, 2011).
 Pairs that meet, and whose counts of a few letters allow it, are verified by a banded bit-parallel automaton: for each number of
 errors a word of 2 * most + 1 bits holds the diagonals reached.
@@ -51,23 +51,25 @@ def joined(rows: DataFrame, marks: DataFrame, how: str = "left") -> DataFrame:
     return rows.join(marks, F.col("k").eqNullSafe(F.col("mk")) & (F.col("h") == F.col("mh")), how)
 
 
-def segment_names(lines: DataFrame, most: int, probes: bool) -> DataFrame:
-    """``lines(line, n, ...)`` -> the same with ``segment``, a row for each index segment or each probe.
+def segment_names(lines: DataFrame, most: int) -> DataFrame:
+    """``lines(line, n, ...)`` -> the same with ``segment`` and ``own``, a row for each substring that may be a segment.
 
     A line of n characters has ``most`` + 1 segments, the last ``n % (most + 1)`` of them
-    longer by one. What differs between a line's rows is data (number, shortening,
-    shift), so that generated code stays small enough to be compiled.
+    longer by one; these rows are ``own``. The others are substrings that may be a
+    segment of a line that is shorter by up to ``most``, at places that leave at most i
+    errors on the left of segment i and ``most`` - i on its right. What differs between a
+    line's rows is data (number, shortening, shift), so that generated code stays small
+    enough to be compiled.
     """
-    places = [(i, 0, 0) for i in range(most + 1)]
-    if probes:  # the other line is so much shorter, and at most i errors lie on the left, most - i on the right
-        places = [(i, more, shift) for more in range(most + 1) for i in range(most + 1) for shift in range(max(-i, more - (most - i)), min(i, more + most - i) + 1)]
+    places = [(i, more, shift) for more in range(most + 1) for i in range(most + 1) for shift in range(max(-i, more - (most - i)), min(i, more + most - i) + 1)]
     place = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("i", "more", "shift"), p, strict=True)]) for p in places])).alias("_p")
     rows = lines.select("*", place).withColumn("_length", F.col("n") - F.col("_p.more")).where(F.col("_length") > most)
     short = F.lit(most + 1) - F.col("_length") % (most + 1)
     rows = rows.withColumn("_size", F.expr(f"_length div {most + 1}").cast("int") + (F.col("_p.i") >= short).cast("int"))
     start = F.col("_p.i") * F.expr(f"_length div {most + 1}").cast("int") + F.greatest(F.lit(0), F.col("_p.i") - short) + 1 + F.col("_p.shift")
     rows = rows.withColumn("_at", start).where((F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.col("n")))
-    return rows.select(*lines.columns, F.xxhash64("_length", "_p.i", F.substring("line", F.col("_at"), F.col("_size"))).alias("segment"))
+    own = (F.col("_p.more") == 0) & (F.col("_p.shift") == 0)
+    return rows.select(*lines.columns, F.xxhash64("_length", "_p.i", F.substring("line", F.col("_at"), F.col("_size"))).alias("segment"), own.cast("tinyint").alias("own"))
 
 
 def within(a: Column, b: Column, most: int) -> Column:
@@ -152,9 +154,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, mos
     here = here.where((F.length("line") >= least_chars) & ~F.coalesce(F.array_contains("gone", F.col("pos")), F.lit(False)))
     here = here.select("line", F.length("line").alias("n"))
     here = here.withColumn("id", F.xxhash64("line")).withColumn("counts", letter_counts(F.col("line"), F.col("n")))
-    a = segment_names(here, most, False).select(F.col("id").alias("a"), F.col("counts").alias("counts_a"), "segment")
-    b = segment_names(here, most, True).select(F.col("id").alias("b"), F.col("counts").alias("counts_b"), "segment")
-    met = a.join(b, "segment").where((F.col("a") != F.col("b")) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parts = segment_names(here, most).select("segment", "id", "counts", "own")
+    a, b = (parts.select("segment", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "counts", "own")]) for x in "ab")
+    # one of the two must be the line's own segment; as the condition has both sides in
+    # it, it stays in the join, whose sides are then one exchange
+    pair = (F.col("own_a") > F.col("own_b")) | ((F.col("own_a") == 1) & (F.col("own_b") == 1) & (F.col("id_a") < F.col("id_b")))
+    met = a.join(b, "segment").where(pair & (F.col("id_a") != F.col("id_b")) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * most))
+    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
     # the lines of the pairs, from the documents where they come first
     wanted = met.select(F.col("a").alias("h1")).union(met.select("b")).distinct()
