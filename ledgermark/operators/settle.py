@@ -98,3 +98,25 @@ def arms(decisions: DataFrame, truth: DataFrame) -> DataFrame:
         rows = learn.simulate(decisions, truth, arm=arm).withColumn("arm", F.lit(arm))
         out = rows if out is None else out.union(rows)
     return out
+
+
+def verdicts(solved: DataFrame, truth: DataFrame, cand: DataFrame, cap: int = 64) -> DataFrame:
+    """What to say of each answer; ``unreachable`` where the true parts were not all in the pool, or it was over the cap.
+
+    The status comes first: an empty answer to an empty truth is no find.
+    """
+    held = cand.join(truth.select("record_id", F.explode("truth").alias("key")), ["record_id", "key"]).groupBy("record_id").agg(F.count_distinct("key").alias("held"))
+    at = solved.join(truth, "record_id").join(held, "record_id", "left")
+    found = F.col("members") == F.array_join("truth", ",")
+    verdict = F.when((F.col("status") == "solved") & found, "found").when(F.col("status") == "solved", "wrong").when(F.col("status") == "ambiguous", "two fit").otherwise("unresolved")
+    return at.select("record_id", verdict.alias("verdict"), ((F.coalesce("held", F.lit(0)) < F.size("truth")) | (F.col("n_pool") > cap)).alias("unreachable"))
+
+
+def near_events(events: DataFrame, first: str, second: str, days: int) -> DataFrame:
+    """Pairs of two kinds of a user's events within some days: a band join by bins, counted per user."""
+    width = days * 86_400
+    at = events.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    bin_of = lambda us: F.floor(us / (width * 1_000_000)).cast("long")
+    a = at.where(F.col("event_type") == first).select("user_id", F.col("us").alias("a"), F.explode(F.sequence(bin_of(F.col("us")) - 1, bin_of(F.col("us")) + 1)).alias("bin"))
+    b = at.where(F.col("event_type") == second).select("user_id", F.col("us").alias("b"), bin_of(F.col("us")).alias("bin"))
+    return a.join(b, ["user_id", "bin"]).where(F.abs(F.col("a") - F.col("b")) <= width * 1_000_000).groupBy("user_id").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgermark.functions import dates, money, residual
 from ledgermark.functions.gate import threshold
 from ledgermark.functions.order import checkpointed, scratch_path
-from ledgermark.operators import audit, blocking, decide, evaluate, features, learn, models, rank, settle, solver
+from ledgermark.operators import audit, blocking, decide, evaluate, features, learn, models, narrate, rank, settle, solver
 from ledgermark.plans import fixture as fx
 from ledgermark.plans.fixture import BASE, CAND, DECISIONS, LEDGER, PAIRED, RANKED, table, with_
 from ledgermark.streaming import feed
@@ -160,7 +160,7 @@ query(
 
 # residuals
 
-_R0 = """, near AS (SELECT d.*, s.n_rows, (SELECT a FROM (SELECT unnest(s.amounts) AS a) ORDER BY abs(d.amount_minor - a), a LIMIT 1) AS nearest FROM decided d JOIN stats s ON d.key = s.key WHERE d.path = 'ranked'),
+_R0 = """, near AS (SELECT d.record_id, d.amount_minor, s.n_rows, (SELECT a FROM (SELECT unnest(s.amounts) AS a) ORDER BY abs(d.amount_minor - a), a LIMIT 1) AS nearest FROM decided d JOIN ranked b ON d.record_id = b.record_id JOIN stats s ON b.key = s.key WHERE d.outcome <> 'posted'),
 r AS (SELECT record_id, amount_minor AS amount, n_rows, amount_minor - nearest AS residual FROM near WHERE amount_minor <> nearest),
 g AS (SELECT *, unnest([{'p': 0, 'c': 'BANK_CHARGE', 'g': abs(amount) * 25 // 10000}, {'p': 1, 'c': 'ROUNDING', 'g': greatest(n_rows, 1)}, {'p': 2, 'c': 'FX_DIFFERENCE', 'g': abs(amount) // 100}, {'p': 3, 'c': 'PARTIAL_PAYMENT', 'g': abs(amount)}, {'p': 4, 'c': 'UNEXPLAINED', 'g': NULL}]) AS u FROM r),
 fits AS (SELECT record_id, amount, residual, n_rows, u.p AS place, u.c AS cause, CASE WHEN u.p = 4 THEN 0.05::DOUBLE ELSE 1.0 / (1.0 + abs(abs(residual) - u.g) / greatest(least(abs(residual), u.g), 1)::DOUBLE) END AS fit FROM g),
@@ -168,7 +168,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY fit DESC,
 
 
 def _residuals(x: View, fee_bps: int = 25) -> DataFrame:
-    d = x.decisions().where("path = 'ranked'").select("record_id", "key", "amount_minor").join(x.stats(), "key")
+    best = rank.ranked(x.scored()).select("record_id", "key")
+    d = x.decisions().where("outcome <> 'posted'").select("record_id", "amount_minor").join(best, "record_id").join(x.stats(), "key")
     near = F.array_min(F.transform("amounts", lambda a: F.struct(F.abs(F.col("amount_minor") - a).alias("gap"), a.alias("a"))))["a"]
     r = d.select("record_id", F.col("amount_minor").alias("amount"), "n_rows", (F.col("amount_minor") - near).alias("residual")).where("residual <> 0")
     return r.withColumn("causes", residual.causes(F.col("residual"), F.col("amount"), F.col("n_rows"), fee_bps))
@@ -305,6 +306,24 @@ query("case_retain")(v(lambda x: learn.retain(table(x.spark, x.sf_dir, "embeddin
 query("learning_arms")(v(lambda x: settle.arms(x.decisions(), x.bank.where("not is_mult").select("record_id", "label"))))
 query("group_proposals")(v(lambda x: solver.solve_general(x.bank.where("is_mult").select("record_id", F.col("amount_minor").alias("target")), solver.pools(x.cand(), x.ledger), tolerance=100, cap=24)))
 
+query(
+    "settlement_verdicts",
+    SOLVED + f""", {_TRUE}, x AS (SELECT s.*, members FROM solved s JOIN truth USING (record_id)), c AS (SELECT record_id, count(DISTINCT key) AS n FROM cand GROUP BY 1),
+      h AS (SELECT t.record_id, count(*) FILTER (EXISTS (SELECT 1 FROM cand WHERE cand.record_id = t.record_id AND cand.key = k)) AS held, count(*) AS n FROM (SELECT record_id, unnest(string_split(members, ',')) AS k FROM truth) t GROUP BY 1)
+      SELECT CASE WHEN status = 'solved' AND m = x.members THEN 'found' WHEN status = 'solved' THEN 'wrong' WHEN status = 'ambiguous' THEN 'two fit' ELSE 'unresolved' END AS verdict, held < h.n OR n_pool > 64 AS unreachable, count(*) AS n
+      FROM x JOIN h USING (record_id) GROUP BY ALL""",
+)(v(lambda x: settle.verdicts(_solved(x), x.ledger.groupBy(F.concat(F.lit("g"), F.concat_ws("_", "account", "day")).alias("record_id")).agg(F.array_sort(F.collect_list("key")).alias("truth")), x.cand()).groupBy("verdict", "unreachable").agg(F.count("*").alias("n"))))
+query("case_totals", "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT count(*) AS n_cases, CAST(sum(n) AS BIGINT) AS confirmations FROM c")(v(lambda x: table(x.spark, x.sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_cases"), F.sum("n").alias("confirmations"))))
+query("latest_cases", "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 10")(v(lambda x: table(x.spark, x.sf_dir, "events").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(10)))
+query("rank_of_label", RANKED + "SELECT record_id, CAST(rank AS BIGINT) AS position FROM ranks WHERE key = label")(v(lambda x: rank.ranked(x.scored()).join(x.bank.select("record_id", "label"), "record_id").select("record_id", learn.rank_of(F.array("label"), F.col("ranked_keys")).alias("position")).where("position is not null")))
+query("train_test_keys", BASE + ", g AS (SELECT DISTINCT label FROM bank WHERE NOT is_mult AND day < 0), h AS (SELECT DISTINCT label FROM bank WHERE NOT is_mult AND day >= 0) SELECT label FROM g INTERSECT SELECT label FROM h")(
+    v(lambda x: x.bank.where("not is_mult and day < 0").select("label").intersect(x.bank.where("not is_mult and day >= 0").select("label")))
+)
+query("near_events", "SELECT a.user_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 7 DAY AND a.ts + INTERVAL 7 DAY WHERE a.event_type = 'purchase' AND b.event_type = 'click' GROUP BY 1")(
+    v(lambda x: settle.near_events(table(x.spark, x.sf_dir, "events"), "purchase", "click", 7))
+)
+query("narrated", None)(v(lambda x: narrate.narrated(_residuals(x).withColumn("cause", F.col("causes")[0]["cause"]))))
+
 # text of money and dates
 
 _MONEY = "VALUES (1, '100'), (2, '34,233.97'), (3, '0.01'), (4, '-5.50'), (5, ' 1,000.5 '), (6, '10.005'), (7, 'abc'), (8, ''), (9, CAST(NULL AS VARCHAR)), (10, '1.'), (11, '.5')"
