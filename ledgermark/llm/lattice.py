@@ -250,3 +250,14 @@ def _slim(tables: int, scale: float, probes: int, seed: int):
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_vectors(table(spark, sf_dir, "embeddings"))
     return got.select("vec_id", "n_links", F.col("component").cast("long").alias("component_id"), "kept")
+
+
+#: Every pair compared; equal as long as no link is missed.
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
+u AS (SELECT vec_id, e, len(e) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.n = b.n AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component_id, v.vec_id)::BIGINT AS component_id, v.vec_id = coalesce(c.component_id, v.vec_id) AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY 1) n ON n.a = v.vec_id LEFT JOIN (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY 1) c ON c.vec_id = v.vec_id
+"""

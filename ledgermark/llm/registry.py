@@ -17,6 +17,8 @@ QUERIES = {
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 SQL = {
+    "op3_suffix_dedup": suffixes.OP3_SQL,
     "op4_tool_calls": toolcalls.OP4_SQL,
+    "op7_embedding_near_dedup": lattice.OP7_SQL,
     "op9_exact_top_k": topk.OP9_SQL,
 }

@@ -278,3 +278,17 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(len(h) // 2 - 199)) AS i, h FROM d WHERE len(h) >= 400),
+k AS (SELECT r, i, md5(substring(h, 2 * i + 1, 400)) AS s FROM w),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS c FROM k) WHERE c > 1),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM s)),
+p AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, span),
+q AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM p),
+c AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substring((SELECT h FROM d WHERE d.r = q.r), 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM q GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substring(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN c USING (r)
+"""
