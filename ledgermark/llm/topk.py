@@ -35,7 +35,9 @@ def _pack(pdf):
 
     ids = pdf["key"].to_numpy(dtype="float64", na_value=np.nan)
     keys = pdf["key"].astype("Int64").fillna(0).to_numpy(dtype="int64")
-    return pd.DataFrame([{"dim": int(pdf["dim"].iloc[0]), "part": int(pdf["part"].iloc[0]), "keys": keys.tobytes(), "nulls": np.isnan(ids).tobytes(), "matrix": np.stack(pdf["q"].to_numpy()).astype("int64").tobytes()}])
+    matrix = np.stack(pdf["q"].to_numpy()).astype("int64")
+    kind = next(k for k in ("i2", "i4", "i8") if matrix.min() >= np.iinfo(k).min and matrix.max() <= np.iinfo(k).max)
+    return pd.DataFrame([{"dim": int(pdf["dim"].iloc[0]), "part": int(pdf["part"].iloc[0]), "keys": keys.tobytes(), "nulls": np.isnan(ids).tobytes(), "kind": kind, "matrix": matrix.astype(kind).tobytes()}])
 
 
 def scores(a, b):
@@ -61,7 +63,7 @@ def _tiles(k: int):
                 dim = row["dim"]
                 q_keys, c_keys = (np.frombuffer(row[n], np.int64) for n in ("q_keys", "keys"))
                 c_null = np.frombuffer(row["nulls"], bool)
-                got = scores(np.frombuffer(row["q_matrix"], np.int64).reshape(-1, dim), np.frombuffer(row["matrix"], np.int64).reshape(-1, dim))
+                got = scores(*(np.frombuffer(row[f"{side}matrix"], row[f"{side}kind"]).reshape(-1, dim).astype(np.int64) for side in ("q_", "")))
                 out = []
                 for i, key in enumerate(q_keys):
                     s = got[i]
@@ -77,18 +79,18 @@ def _tiles(k: int):
     return work
 
 
-def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", *, k: int = 5, scale: int = 256, shard: int = 512, block: int = 512, fan: int = 32) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", *, k: int = 5, scale: int = 256, shard: int = 2048, block: int = 1024, fan: int = 32) -> DataFrame:
     """-> ``(query_id, rank, vec_id, score)`` for the rows where the condition ``is_query`` on the key holds."""
     rows = written(quantized(vectors, key, vector, scale).withColumn("dim", F.size("q")), "topk-rows")
     n_all, n_query = rows.agg(F.count("*"), F.count_if(is_query(F.col("key")))).first()
     shards, blocks = max(1, -(-n_all // shard)), max(1, -(-n_query // block))
-    schema = "dim int, part long, keys binary, nulls binary, matrix binary"
+    schema = "dim int, part long, keys binary, nulls binary, kind string, matrix binary"
 
     def packed(df, parts):
         return df.withColumn("part", F.pmod(F.xxhash64("key", "q"), F.lit(parts))).groupBy("dim", "part").applyInPandas(_pack, schema)
 
     packs = packed(rows, shards)
-    asks = packed(rows.where(is_query(F.col("key"))), blocks).select("dim", F.col("keys").alias("q_keys"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
+    asks = packed(rows.where(is_query(F.col("key"))), blocks).select("dim", F.col("keys").alias("q_keys"), F.col("kind").alias("q_kind"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
     tiles = asks.join(packs, ["dim", "part"]).mapInArrow(_tiles(k), "query_id long, vec_id long, score long, part long")
     order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last()]
     while shards > 1:
