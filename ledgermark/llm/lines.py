@@ -137,7 +137,8 @@ def _bit(word: Column, place: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, most: int = 1, least_chars: int = 20) -> DataFrame:
-    """The rows of ``docs`` with what stays of their text, and ``n_lines``, ``kept_lines`` behind them (in ``_line_dedup``)."""
+    """The rows of ``docs`` with what stays of their text, and ``n_lines``, ``kept_lines`` behind them (in ``_line_dedup``, in place of a column so named)."""
+    docs = docs.drop("_line_dedup")
     if least_chars <= most:
         raise ValueError("least_chars must exceed the number of edits")
     rows = boxed(docs, key, text)

@@ -218,7 +218,8 @@ def nonces(found: DataFrame, key: bytes, name: str = "pii", draw=surrogate) -> D
 
 
 def pseudonymized(docs: DataFrame, key: str = "doc_id", text: str = "text", *, secret: bytes = KEY, most_broadcast: int = 100_000) -> DataFrame:
-    """The rows of ``docs`` with surrogates in their text, and the number of replacements in ``_entities``."""
+    """The rows of ``docs`` with surrogates in their text, and the number of replacements in ``_entities`` (in place of a column so named)."""
+    docs = docs.drop("_entities")
     spark = docs.sparkSession
     rows = boxed(docs, key, text)
     kind = docs.schema[key].dataType.simpleString()

@@ -89,7 +89,8 @@ def _strength(groups: DataFrame, mean: str, within: str) -> float:
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", label_key: str = "doc_id", label: str = "quality", cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with ``_quality``: a struct of evidence, prior, p and keep."""
+    """The rows of ``docs`` with ``_quality`` (in place of a column so named): a struct of evidence, prior, p and keep."""
+    docs = docs.drop("_quality")
     host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
     given = labels.select(F.col(label_key).alias("_key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     slim = docs.select(F.col(key).alias("_key"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(text).alias("_text"))

@@ -451,3 +451,23 @@ def test_pieces_query(spark, duck, library):
     assert got == {k: (len(i), sha(",".join(map(str, i))), sha(library.decode(i))) for k, i in ids.items()}
     whole = pieces.encode_documents(frame(spark, [None, "", "a b"]), pieces.model_path()).collect()
     assert sorted((r["n_tokens"], r["ids"], r["decoded"]) for r in whole)[:2] == [(0, [], ""), (0, [], "")]
+
+
+# all
+
+
+def test_very_long_texts(spark, library):
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefghé") for _ in range(random.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(60_000)), "x" * 200_000, "\n".join([" ".join(word() for _ in range(8))] * 5_000), "a"]
+    df = frame(spark, texts).withColumn("doc_id", F.col("h"))
+    m = pieces.encode_documents(df, pieces.model_path(), with_ids=False).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in m] == [len(library.encode(t)) for t in texts]
+    cut = {r["doc_id"]: r for r in suffixes.without_repeats(df).collect()}
+    assert cut[0]["n_removed"] == cut[3]["n_removed"] == 0 and cut[1]["n_removed"] == 200_000 and cut[2]["n_removed"] == len(texts[2].encode())
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+    assert kept[0] == texts[0] and kept[2] == texts[2].split("\n")[0] and kept[1] == texts[1]
+    assert {r["doc_id"]: r["fp"] % 2**64 for r in simhash.with_fingerprints(df).collect()} == {i: print_of(t) for i, t in enumerate(texts)}
+    assert {r["key"]: r["size"] for r in mixing.mix(df).collect()} == {i: len(t.split()) for i, t in enumerate(texts)}
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert quality.scored(df, labels, path="pos").count() == privacy.pseudonymized(df).count() == 4

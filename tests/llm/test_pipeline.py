@@ -77,3 +77,12 @@ def test_null_and_repeated_rows(spark):
     for _, f in cp.STAGES:
         docs = written(f(spark, docs, DATA), "test")
     assert docs.count() > 0
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    for c in ("_quality", "_line_dedup", "_entities", "k", "h", "box", "gone", "copies", "fp", "kept", "key", "component"):
+        docs = docs.withColumn(c, F.lit("x"))
+    for _, f in cp.STAGES:
+        docs = written(f(spark, docs, DATA), "test")
+    assert docs.count() > 0
