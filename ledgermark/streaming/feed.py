@@ -38,3 +38,45 @@ def near_in_time(left: DataFrame, right: DataFrame, key: str, days: int = 7, lat
 def distinct_situations(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Each situation once while the watermark holds it."""
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["situation"])
+
+
+def retain_feed(arrivals, duplicate: float = 0.95, most: int = 50_000):
+    """Streams ``(seq, case_id, locus, situation)`` -> ``locus, seq, case_id, event``.
+
+    The same rule as the batch form: a near duplicate of a case that its locus holds is
+    ``confirmed`` for the first such case, anything else is ``kept`` and, over ``most``,
+    the least confirmed leaves. The state of a locus is its cases, at most ``most``;
+    arrivals of a micro-batch are taken in the order of ``seq``.
+    """
+
+    def step(key, frames, state):
+        import numpy as np
+        import pandas as pd
+
+        ids, counts, seqs, flat = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        rows = pd.concat(list(frames)).sort_values("seq")
+        out = []
+        for r in rows.itertuples():
+            v = np.asarray(r.situation, float)
+            norm = float(np.linalg.norm(v))
+            unit = v / norm if norm else v
+            held = np.array(flat).reshape(len(ids), -1) if ids else np.empty((0, len(v)))
+            hits = np.flatnonzero(held @ unit >= duplicate) if len(ids) and norm else []
+            if len(hits):
+                counts[hits[0]] += 1
+                out.append((key[0], r.seq, ids[hits[0]], "confirmed"))
+                continue
+            ids.append(r.case_id)
+            counts.append(0)
+            seqs.append(int(r.seq))
+            flat += [float(x) for x in unit]
+            out.append((key[0], r.seq, r.case_id, "kept"))
+            if len(ids) > most:
+                drop = min(range(len(ids)), key=lambda i: (counts[i], seqs[i]))
+                wide = len(v)
+                del ids[drop], counts[drop], seqs[drop], flat[drop * wide : (drop + 1) * wide]
+        state.update((ids, counts, seqs, flat))
+        yield pd.DataFrame(out, columns=["locus", "seq", "case_id", "event"])
+
+    state = "ids array<string>, counts array<bigint>, seqs array<bigint>, flat array<double>"
+    return arrivals.groupBy("locus").applyInPandasWithState(step, "locus string, seq long, case_id string, event string", state, "append", "NoTimeout")
