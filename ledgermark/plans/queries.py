@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgermark.functions import dates, money, residual
 from ledgermark.functions.gate import threshold
 from ledgermark.functions.order import checkpointed, scratch_path
+from ledgermark.functions.similarity import situation_vector
 from ledgermark.operators import audit, blocking, decide, evaluate, features, learn, models, narrate, rank, settle, solver
 from ledgermark.plans import fixture as fx
 from ledgermark.plans.fixture import BASE, CAND, DECISIONS, LEDGER, PAIRED, RANKED, table, with_
@@ -259,6 +260,18 @@ query("full_report", DECISIONS.rstrip() + ", m AS (SELECT DISTINCT key FROM deci
     v(lambda x: x.decisions().select("record_id", F.when(F.col("outcome") == "posted", F.col("key")).alias("k")).join(x.ledger.select("key").distinct(), F.col("k") == F.col("key"), "full").groupBy(F.when(F.col("record_id").isNull(), "ledger_only").when(F.col("k").isNull(), "bank_only").otherwise("both").alias("side")).agg(F.count("*").alias("n")))
 )
 
+query("split_table", BASE.rstrip() + """, g AS (SELECT match_id AS grp, min(day) AS first_day FROM bank GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY first_day, grp) AS p, count(*) OVER () AS n FROM g WHERE first_day IS NOT NULL),
+  s AS (SELECT grp, CASE WHEN p <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN p <= floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM r UNION ALL SELECT grp, 'train' FROM g WHERE first_day IS NULL)
+  SELECT split, count(*) AS n_records, count(*) FILTER (is_mult) AS n_grouped, CAST(sum(abs(amount_minor)) AS BIGINT) AS value FROM bank JOIN s ON bank.match_id = s.grp GROUP BY 1""")(
+    v(lambda x: x.bank.join(_split(x), "match_id").groupBy("split").agg(F.count("*").alias("n_records"), F.count_if(F.col("is_mult")).alias("n_grouped"), F.sum(F.abs("amount_minor")).alias("value")))
+)
+query("recall_by_account", CAND.rstrip() + ", h AS (SELECT b.account, b.record_id, bool_or(c.key = b.label) AS hit FROM bank b LEFT JOIN cand c USING (record_id) WHERE NOT is_mult AND account IS NOT NULL GROUP BY 1, 2) SELECT account, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) >= 20 AS meaningful FROM h GROUP BY 1")(
+    v(lambda x: x.bank.where("not is_mult and account is not null").join(x.cand().withColumnRenamed("key", "label").withColumn("hit", F.lit(True)), ["record_id", "label"], "left").groupBy("account").agg(F.count("*").alias("n"), F.count_if(F.col("hit")).alias("hits")).withColumn("meaningful", F.col("n") >= 20))
+)
+query("situation_vectors", DECISIONS + "SELECT record_id, round(log10(greatest(abs(amount_minor), 1)) + n_scored + coalesce(CASE WHEN path = 'ranked' THEN margin END, 0.0) + coalesce(confidence, 0.0) + (n_exact = 1)::INT, 5) AS total FROM decided")(
+    v(lambda x: x.decisions().select("record_id", F.round(F.aggregate(situation_vector(F.col("amount_minor"), F.col("n_scored"), F.col("margin"), F.col("confidence"), F.col("lone_exact")), F.lit(0.0), lambda s, y: s + y), 5).alias("total")))
+)
+
 # settlements, corrections, cases
 
 _ITEMS = "items AS (SELECT 'p' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS entity_id, CASE WHEN l_orderkey % 11 <> 0 THEN 'st' || l_suppkey || '_' || strftime(l_shipdate, '%Y%m') END AS settlement_id, CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(round(l_extendedprice * 100) AS BIGINT) END AS credit, CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END AS debit, CASE WHEN l_suppkey % 2 = 0 THEN 'INR' ELSE 'USD' END AS currency, CAST(l_shipdate AS DATE) AS settled_at FROM lineitem) "

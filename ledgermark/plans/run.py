@@ -96,3 +96,16 @@ def train(bank: DataFrame, ledger: DataFrame, splits: DataFrame, slack: int = 7,
     best = rank.ranked(models.rank_scores(ranker, pairs.join(of.where("split = 'val'"), "record_id"))).join(bank, "record_id")
     calibrator = models.fit_isotonic(best.where("margin is not null").select("margin", (F.col("key") == F.col("label")).cast("double").alias("right")))
     return Bundle(ranker, detector, calibrator, prior)
+
+
+def export_json(frames: dict[str, DataFrame], path: str) -> None:
+    """Each frame as JSON lines below ``path``; what is there already is not replaced."""
+    for name, df in frames.items():
+        df.write.mode("errorifexists").json(f"{path}/{name}")
+
+
+def checked_uploads(bank: DataFrame, ledger: DataFrame, most_bank: int | None = None, most_ledger: int | None = None) -> None:
+    """Raises where an upload holds more rows than its caller allows; by default there is no limit."""
+    for name, df, most in (("bank", bank, most_bank), ("ledger", ledger, most_ledger)):
+        if most is not None and df.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} {name} rows")
