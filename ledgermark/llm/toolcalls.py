@@ -12,7 +12,7 @@ synthetic table has no such marks, so :func:`op4_tool_calls` reads every user tu
 call of the tool ``reply``, whose identifier is its turn and whose argument is its text,
 and the assistant turn that follows as the result.
 
-Canonical JSON: keys in a fixed order, no spaces, ``/`` and non-ASCII characters as they
+Canonical JSON: keys in order, within arguments too, no spaces, ``/`` and non-ASCII characters as they
 are, control characters as ``to_json`` escapes them.
 
 Cases: rows with a null conversation form one conversation; null identifiers never link;
@@ -43,6 +43,11 @@ def json_text(x: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
 
 
+def canonical(x: Column) -> Column:
+    """JSON with the keys of every object in order and without spaces; null if it is none, or repeats a key."""
+    return F.to_json(F.try_parse_json(x))
+
+
 def marked_calls(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Calls and results written in the turns' texts."""
     base = [F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn")]
@@ -95,7 +100,7 @@ def records(pairs: DataFrame) -> DataFrame:
     chain within the conversation's own row, each step cutting what is resolved, so a
     cycle ends where it began. Rows of one level keep the order of turns.
     """
-    one = F.struct(F.coalesce("turn", "r_turn").alias("at"), F.coalesce("part", "r_part").alias("part"), F.coalesce("id", F.lit("")).alias("id"), "name", "arguments", "content", "state", "fault", F.get_json_object("arguments", "$.after").alias("after"))
+    one = F.struct(F.coalesce("turn", "r_turn").alias("at"), F.coalesce("part", "r_part").alias("part"), F.coalesce("id", F.lit("")).alias("id"), "name", "arguments", "content", "state", "fault", F.get_json_object("arguments", "$.after").alias("after"), canonical(F.col("arguments")).alias("canonical"))
     rows = pairs.groupBy("conv").agg(F.sort_array(F.collect_list(one)).alias("calls"))
     # placed: (level, calls so far, identifiers so far); a call waits until its `after` is there
     ids = F.transform("calls", lambda c: c["id"])
@@ -113,7 +118,7 @@ def records(pairs: DataFrame) -> DataFrame:
     text = F.transform(
         "ordered",
         lambda c: F.concat(
-            F.lit('{"arguments":'), F.when(c["fault"].isNull() & (c["state"] != "orphan"), c["arguments"]).otherwise(F.when(c["arguments"].isNull(), F.lit("null")).otherwise(_quoted(c["arguments"]))),
+            F.lit('{"arguments":'), F.when(c["fault"].isNull() & c["canonical"].isNotNull(), c["canonical"]).otherwise(F.when(c["arguments"].isNull(), F.lit("null")).otherwise(_quoted(c["arguments"]))),
             F.lit(',"content":'), F.when(c["state"] == "open", F.lit("null")).otherwise(_quoted(c["content"])),
             F.lit(',"fault":'), F.when(c["fault"].isNull(), F.lit("null")).otherwise(_quoted(c["fault"])),
             F.lit(',"id":'), _quoted(c["id"]),
@@ -152,8 +157,8 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH c AS (SELECT conv_id, turn, 't' || turn AS id,
-             '{"text":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"turn":' || turn
-               || CASE WHEN turn >= 2 THEN ',"after":"t' || (turn - 2) || '"' ELSE '' END || '}' AS arguments,
+             '{' || CASE WHEN turn >= 2 THEN '"after":"t' || (turn - 2) || '",' ELSE '' END
+               || '"text":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"turn":' || turn || '}' AS arguments,
              row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) AS nth
            FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, turn, 't' || (turn - 1) AS id, coalesce(text, '') AS content,

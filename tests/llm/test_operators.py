@@ -213,6 +213,8 @@ def test_tool_calls(spark):
     assert {c["id"]: c["fault"] for c in json.loads(got[2]["record"])} == {"c": "missing turn", "d": "unknown tool", "e": "no object", "f": "bad turn"}
     assert got[None]["n_linked"] == 1 and len(json.loads(got[3]["record"])) == 2 and 4 not in got
     assert toolcalls.records(toolcalls.linked(*toolcalls.marked_calls(df.limit(0)))).count() == 0
+    forms = spark.createDataFrame([('{"b": [1, {"z":null, "a": true}],\n "a":"é\\n"}',), ("{",)], "x string").select(toolcalls.canonical(F.col("x")).alias("c")).collect()
+    assert [r["c"] for r in forms] == ['{"a":"é\\n","b":[1,{"a":true,"z":null}]}', None]
 
 
 # 5
