@@ -4,7 +4,7 @@ The first occurrence of a line stays (order: key, nulls last, then place); later
 copies go, and so does a line within ``most`` edits of a line that occurs earlier.
 Lines shorter than ``least_chars`` characters are left alone.
 
-Equal lines are grouped by two 64-bit hashes. Each distinct line is then cut into
+Equal lines are grouped by two 64-bit hashes of different seeds. Each distinct line is then cut into
 ``most`` + 1 segments, of which a line within ``most`` edits must hold one unchanged:
 index rows name a segment by line length, number and hash, probe rows so name the
 substrings of a line that may be a segment of a shorter line, at
@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, mos
     lines = F.split(whole()[text], BREAK)
     order = ["last", "k", "h", "pos"]
     seen = docs.select(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("h"), F.posexplode(F.split(F.col(text), BREAK)).alias("pos", "line"))
-    seen = written(seen.where(F.length("line") >= least_chars).select(*order, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")), "lines-seen")
+    seen = written(seen.where(F.length("line") >= least_chars).select(*order, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines-seen")
     first = written(seen.groupBy("h1", "h2").agg(F.min(F.struct(*order)).alias("first")), "lines-first")
     later = seen.join(first, ["h1", "h2"]).where(~F.struct(*order).eqNullSafe(F.col("first")))
     copies = written(later.groupBy(F.col("k").alias("mk"), F.col("h").alias("mh")).agg(F.collect_set("pos").alias("gone")), "lines-copies")

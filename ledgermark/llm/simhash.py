@@ -147,8 +147,8 @@ def _linked(most: int):
         out_a, out_b = [], []
         at = 0
         total = np.cumsum(behind)
-        while at < len(key):  # about four million pairs at a time
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 4_000_000, "right")))
+        while at < len(key):  # about a million pairs at a time
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, "right")))
             i = np.repeat(np.arange(at, to), behind[at:to])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind[at:to]) - behind[at:to], behind[at:to])
             ok = (side[i] == 2) | (side[i] != side[j])
