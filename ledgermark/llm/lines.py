@@ -4,13 +4,13 @@ The first occurrence of a line stays (order: key, nulls last, then place); later
 copies go, and so does a line within ``most`` edits of a line that occurs earlier.
 Lines shorter than ``least_chars`` characters are left alone.
 
-Equal lines are grouped by two 64-bit hashes of different seeds. Each distinct line is then cut into
-``most`` + 1 segments, of which a line within ``most`` edits must hold one unchanged:
-index rows name a segment by line length, number and hash, probe rows so name the
-substrings of a line that may be a segment of a shorter line, at
-the places that multi-match-aware selection leaves (Li, Deng, Wang and Feng, 2011).
-Pairs that meet, and whose counts of a few letters allow it, are verified by a banded bit-parallel automaton: for each number of
-errors a word of 2 * most + 1 bits holds the diagonals reached.
+Equal lines are grouped by two 64-bit hashes of different seeds. Each distinct line is
+then cut into ``most`` + 1 segments, of which a line within ``most`` edits must hold one
+unchanged: rows name a line's own segments by line length, number and hash, and in the
+same way the substrings that may be a segment of a shorter line, at the places that
+multi-match-aware selection leaves (Li, Deng, Wang and Feng, 2011). Pairs that meet, and
+whose counts of a few letters allow it, are verified by a banded bit-parallel automaton:
+for each number of errors a word of 2 * most + 1 bits holds the diagonals reached.
 
 Texts travel once: from the first occurrences on, all is one plan, in which the
 exchange that deals documents out by key is the same for three joins, so Spark reuses
