@@ -22,11 +22,10 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """``df`` as a written table in the shared folder, computed once and cut from its lineage."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def positioned(df: DataFrame, order: list, totals: dict[str, Column] | None = None) -> DataFrame:
@@ -37,7 +36,8 @@ def positioned(df: DataFrame, order: list, totals: dict[str, Column] | None = No
     """
     totals = totals or {}
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    rows = df.select("*", *[t.alias(f"_v_{n}") for n, t in totals.items()])
+    # written first, as dealing out by range reads its rows twice
+    rows = checkpointed(df.select("*", *[t.alias(f"_v_{n}") for n, t in totals.items()]))
     rows = checkpointed(rows.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
     sums = rows.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -40,7 +40,7 @@ def queue(decisions: DataFrame) -> DataFrame:
     """What was not posted, largest first, with its share and the running share of the whole queue."""
     q = decisions.where("outcome <> 'posted'").select("record_id", F.abs("amount_minor").alias("value"))
     at = positioned(q, [F.col("value").desc(), "record_id"], {"upto": F.col("value")})
-    total = q.agg(F.sum("value").alias("total"))
+    total = at.agg(F.sum("value").alias("total"))
     return at.crossJoin(F.broadcast(total)).select("record_id", "value", F.round(F.col("value") / F.col("total"), 9).alias("share"), F.round(F.col("upto") / F.col("total"), 6).alias("cum_share"))  # one row
 
 
