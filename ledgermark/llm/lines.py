@@ -117,8 +117,8 @@ LETTERS = "etnaoi"
 
 
 def letter_counts(line: Column, n: Column) -> Column:
-    """A byte for each letter of :data:`LETTERS`: its count, modulo 256."""
-    counts = [F.shiftleft(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 256).cast("long"), 8 * i) for i, c in enumerate(LETTERS)]
+    """Four bits for each letter of :data:`LETTERS`: its count, modulo 16."""
+    counts = [F.shiftleft(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(LETTERS)]
     return sum(counts[1:], counts[0])
 
 
@@ -126,8 +126,8 @@ def counts_apart(x: Column, y: Column) -> Column:
     """A lower bound of twice the edits between two lines, from their letter counts."""
 
     def one(i):
-        d = F.abs(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(y, 8 * i).bitwiseAND(F.lit(255)))
-        return F.least(d, 256 - d)
+        d = F.abs(F.shiftright(x, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(y, 4 * i).bitwiseAND(F.lit(15)))
+        return F.least(d, 16 - d)
 
     return sum((one(i) for i in range(1, len(LETTERS))), one(0))
 
@@ -136,7 +136,7 @@ def _bit(word: Column, place: Column) -> Column:
     return F.bit_get(word.cast("long"), F.least(F.greatest(place, F.lit(0)), F.lit(63))) == 1
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, most: int = 1, least_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, most: int = 2, least_chars: int = 20) -> DataFrame:
     """The rows of ``docs`` with what stays of their text, and ``n_lines``, ``kept_lines`` behind them (in ``_line_dedup``, in place of a column so named)."""
     docs = docs.drop("_line_dedup")
     if least_chars <= most:
@@ -155,12 +155,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, mos
     here = here.where((F.length("line") >= least_chars) & ~F.coalesce(F.array_contains("gone", F.col("pos")), F.lit(False)))
     here = here.select("line", F.length("line").alias("n"))
     here = here.withColumn("id", F.xxhash64("line")).withColumn("counts", letter_counts(F.col("line"), F.col("n")))
-    parts = segment_names(here, most).select("segment", "id", "counts", "own")
-    a, b = (parts.select("segment", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "counts", "own")]) for x in "ab")
+    # one long for 39 bits of the segment's hash, whether it is own, and the counts: at two
+    # edits a line has twelve of these rows, and lists that meet by chance are verified
+    packed = F.shiftleft("segment", 25).bitwiseOR(F.shiftleft(F.col("own").cast("long"), 24)).bitwiseOR(F.col("counts"))
+    parts = segment_names(here, most).select(packed.alias("packed"), "id")
+    a, b = (parts.select(F.col("packed").alias(f"packed_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+    own = {x: F.shiftright(f"packed_{x}", 24).bitwiseAND(F.lit(1)) for x in "ab"}
     # one of the two must be the line's own segment; as the condition has both sides in
     # it, it stays in the join, whose sides are then one exchange
-    pair = (F.col("own_a") > F.col("own_b")) | ((F.col("own_a") == 1) & (F.col("own_b") == 1) & (F.col("id_a") < F.col("id_b")))
-    met = a.join(b, "segment").where(pair & (F.col("id_a") != F.col("id_b")) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * most))
+    pair = (own["a"] > own["b"]) | ((own["a"] == 1) & (own["b"] == 1) & (F.col("id_a") < F.col("id_b")))
+    same = F.shiftright("packed_a", 25) == F.shiftright("packed_b", 25)
+    met = a.join(b, same & pair & (F.col("id_a") != F.col("id_b")) & (counts_apart(F.col("packed_a"), F.col("packed_b")) <= 2 * most))
     met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
     # the lines of the pairs, from the documents where they come first

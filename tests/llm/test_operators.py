@@ -264,6 +264,14 @@ def test_lines(spark, most):
     assert lines.dedup_lines(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_lines_two_edits_apart_by_default(spark, tmp_path):
+    line = "a line that is long enough to be compared"
+    texts = [line, line.replace("long", "lung").replace("that", "thet"), line.replace("long", "lxng").replace("enough", "enxugh").replace("compared", "cxmpared")]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["kept_lines"] for r in registry.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert [edits(line, t) for t in texts] == [0, 2, 3] and got == {0: 1, 1: 0, 2: 1}
+
+
 def test_edit_automaton(spark):
     random.seed(4)
     data = []
