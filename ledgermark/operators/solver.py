@@ -61,7 +61,8 @@ def solve_one(target: int, amounts: list[int], *, tolerance: int = 0, most: int
     for i, a in usable:
         for k in range(most, 0, -1):
             for total, sets in list(ways[k - 1].items()):
-                if total + a <= target + tolerance:
+                # nothing builds on a sum of all the parts, so only those in reach are kept
+                if total + a <= target + tolerance and (k < most or total + a >= target - tolerance):
                     have = ways[k].setdefault(total + a, [])
                     have += [(*s, i) for s in sets][: 2 - len(have)]
     hits = [(abs(target - total), total > target, k, total) for k in range(1, most + 1) for total in ways[k] if abs(target - total) <= tolerance]

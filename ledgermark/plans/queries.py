@@ -317,7 +317,7 @@ query("negative_sample")(v(lambda x: rank.training_pairs(x.pairs()).select("reco
 query("placebo_keys")(v(lambda x: learn.wrong_keys(x.bank.where("not is_mult").select("record_id", "label"), x.ledger.select("key"))))
 query("case_retain")(v(lambda x: learn.retain(table(x.spark, x.sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.concat(F.lit("c"), "vec_id").alias("case_id"), F.col("label").cast("string").alias("locus"), F.col("embedding").alias("situation")))))
 query("learning_arms")(v(lambda x: settle.arms(x.decisions(), x.bank.where("not is_mult").select("record_id", "label"))))
-query("group_proposals")(v(lambda x: solver.solve_general(x.bank.where("is_mult").select("record_id", F.col("amount_minor").alias("target")), solver.pools(x.cand(), x.ledger), tolerance=100, cap=24)))
+query("group_proposals")(v(lambda x: solver.solve_general(x.bank.where("is_mult").select("record_id", F.col("amount_minor").alias("target")), solver.pools(x.cand(), x.ledger), tolerance=100, cap=solver.CAP)))
 
 query(
     "settlement_verdicts",
