@@ -2,7 +2,9 @@
 
 The first occurrence of a line stays (order: key, nulls last, then place); later
 copies go, and so does a line within ``most`` edits of a line that occurs earlier.
-Lines shorter than ``least_chars`` characters are left alone.
+Lines shorter than ``least_chars`` characters are left alone, unless ``short`` is set:
+then later copies of every line go that is not blank, and the edit join takes lines from
+``most`` + 1 characters on, the fewest that can be cut into segments.
 
 Equal lines are grouped by two 64-bit hashes of different seeds. Each distinct line is
 then cut into ``most`` + 1 segments, of which a line within ``most`` edits must hold one
@@ -136,23 +138,26 @@ def _bit(word: Column, place: Column) -> Column:
     return F.bit_get(word.cast("long"), F.least(F.greatest(place, F.lit(0)), F.lit(63))) == 1
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, most: int = 2, least_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, most: int = 2, least_chars: int = 20, short: bool = False) -> DataFrame:
     """The rows of ``docs`` with what stays of their text, and ``n_lines``, ``kept_lines`` behind them (in ``_line_dedup``, in place of a column so named)."""
     docs = docs.drop("_line_dedup")
     if least_chars <= most:
         raise ValueError("least_chars must exceed the number of edits")
+    taken = F.length("line") >= least_chars
+    if short:
+        taken = taken | F.col("line").rlike(r"\S")
     rows = boxed(docs, key, text)
     lines = F.split(whole()[text], BREAK)
     order = ["last", "k", "h", "pos"]
     seen = docs.select(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("h"), F.posexplode(F.split(F.col(text), BREAK)).alias("pos", "line"))
-    seen = written(seen.where(F.length("line") >= least_chars).select(*order, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines-seen")
+    seen = written(seen.where(taken).select(*order, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines-seen")
     first = written(seen.groupBy("h1", "h2").agg(F.min(F.struct(*order)).alias("first")), "lines-first")
     later = seen.join(first, ["h1", "h2"]).where(~F.struct(*order).eqNullSafe(F.col("first")))
     copies = written(later.groupBy(F.col("k").alias("mk"), F.col("h").alias("mh")).agg(F.collect_set("pos").alias("gone")), "lines-copies")
 
     # index and probe rows of the first occurrences
     here = joined(rows, copies).select("k", "h", "gone", F.posexplode(lines).alias("pos", "line"))
-    here = here.where((F.length("line") >= least_chars) & ~F.coalesce(F.array_contains("gone", F.col("pos")), F.lit(False)))
+    here = here.where(taken & (F.length("line") > most) & ~F.coalesce(F.array_contains("gone", F.col("pos")), F.lit(False)))
     here = here.select("line", F.length("line").alias("n"))
     here = here.withColumn("id", F.xxhash64("line")).withColumn("counts", letter_counts(F.col("line"), F.col("n")))
     # one long for 39 bits of the segment's hash, whether it is own, and the counts: at two
@@ -185,5 +190,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, mos
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return got.select("doc_id", F.col("_line_dedup.n_lines").alias("n_lines"), F.col("_line_dedup.kept_lines").alias("kept_lines"), F.length("text").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")

@@ -272,6 +272,14 @@ def test_lines_two_edits_apart_by_default(spark, tmp_path):
     assert [edits(line, t) for t in texts] == [0, 2, 3] and got == {0: 1, 1: 0, 2: 1}
 
 
+def test_short_lines_go_too(spark, tmp_path):
+    texts = ["one\n\nab\n  ", "one\n\nab\n  \nab", "seventeen chars..\nx", "seventeen chars!.\n\nx", "far from the others"]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in registry.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: texts[0], 1: "\n  ", 2: texts[2], 3: "", 4: texts[4]}
+
+
 def test_edit_automaton(spark):
     random.seed(4)
     data = []
