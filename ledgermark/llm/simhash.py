@@ -211,17 +211,24 @@ def links(classes: DataFrame, most: int = 3, block: int = 1024) -> DataFrame:
     return dealt.mapInArrow(_linked(most), "a long, b long")
 
 
+def named(rows: DataFrame, edges: DataFrame, key: str, classes: DataFrame | None = None) -> DataFrame:
+    """``rows(key, fp)``, written, and links of ``fp`` -> key, ``fp`` and ``component``, the smallest key that links reach."""
+    if classes is None:
+        classes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "sim-classes")
+    found = written(components(edges, "sim-cc"), "sim-components")
+    owned = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    least = written(owned.groupBy("root").agg(F.min("least").alias("component")), "sim-least")  # so that both sides of the join are shuffled
+    name = written(owned.join(least, "root").select("fp", "component"), "sim-named")
+    return rows.join(name, "fp").select(key, "fp", "component")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 3, seed: int = 42, most: int = 3, block: int = 1024) -> DataFrame:
     """-> key, ``fp`` and ``component``, the smallest key that links reach."""
     if most > 3:
         raise ValueError("the count filter guarantees five shared bytes only up to three differing bits")
     rows = written(with_fingerprints(docs, key, text, words, seed), "sim-fp")
     classes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "sim-classes")
-    found = written(components(links(classes.select("fp"), most, block), "sim-cc"), "sim-components")
-    owned = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = written(owned.groupBy("root").agg(F.min("least").alias("component")), "sim-least")  # so that both sides of the join are shuffled
-    named = written(owned.join(least, "root").select("fp", "component"), "sim-named")
-    return rows.join(named, "fp").select(key, "fp", "component")
+    return named(rows, links(classes.select("fp"), most, block), key, classes)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
