@@ -10,13 +10,15 @@ Equal lines are grouped by two 64-bit hashes of different seeds. Each distinct l
 then cut into ``most`` + 1 segments, of which a line within ``most`` edits must hold one
 unchanged: rows name a line's own segments by line length, number and hash, and in the
 same way the substrings that may be a segment of a shorter line, at the places that
-multi-match-aware selection leaves (Li, Deng, Wang and Feng, 2011). Pairs that meet, and
-whose counts of a few letters allow it, are verified by a banded bit-parallel automaton:
-for each number of errors a word of 2 * most + 1 bits holds the diagonals reached.
+multi-match-aware selection leaves (Li, Deng, Wang and Feng, 2011). Lines that meet another
+there, whose counts of a few letters allow it, go into a second such index that holds their
+text; in it lines are verified by a banded bit-parallel automaton: for each number of errors
+a word of 2 * most + 1 bits holds the diagonals reached. Both are semi joins, which stop at
+the first match, so no pairs are made however many near copies a line has.
 
-Texts travel once: from the first occurrences on, all is one plan, in which the
-exchange that deals documents out by key is the same for three joins, so Spark reuses
-it. Only hashes travel for the index.
+Documents are dealt out by key for three joins, one exchange that Spark reuses. Only hashes
+travel for the first index. Which lines of a document are meant travels as bits, 64 in a
+word, so that the work is linear in its lines.
 
 Cases: null and empty texts are returned as they are; a document whose lines all go is
 left with an empty text (``kept_lines`` 0); rows that share key and text count as one
@@ -43,6 +45,21 @@ def boxed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("h"), F.array(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("box"))
 
 
+def marked(places: DataFrame) -> DataFrame:
+    """``places(k, h, pos)`` -> ``mk, mh, bits``: for each document an array of words, bit pos % 64 of word pos / 64 set."""
+    word = F.expr("pos div 64").cast("int")
+    words = places.select("k", "h", word.alias("word"), F.expr("shiftleft(1L, cast(pos % 64 as int))").alias("bit")).repartition("k", "h").groupBy("k", "h", "word").agg(F.bit_or("bit").alias("bit"))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    dense = F.aggregate(F.sort_array(F.collect_list(F.struct("word", "bit"))), F.array().cast("array<bigint>"), lambda done, x: F.concat(done, zeros(x["word"] - F.size(done)), F.array(x["bit"])))
+    return words.groupBy(F.col("k").alias("mk"), F.col("h").alias("mh")).agg(dense.alias("bits"))
+
+
+def is_marked(bits: Column, pos: Column) -> Column:
+    """Whether the bit of place ``pos`` is set; ``bits`` may be null."""
+    word = F.get(bits, F.shiftright(pos, 6))
+    return F.coalesce(F.call_function("shiftrightunsigned", word, pos.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+
+
 def whole() -> Column:
     """The row in ``box``. The place is computed, as a literal one would let pruning take the row apart."""
     return F.get("box", F.pmod(F.col("h"), F.lit(1)).cast("int"))
@@ -114,24 +131,30 @@ def within(a: Column, b: Column, most: int) -> Column:
     return F.when(F.abs(apart) > most, F.lit(False)).when(begin < 0, F.lit(True)).otherwise(done)
 
 
-#: Counts of these letters are compared before a pair is made; others would do as well.
-LETTERS = "etnaoi"
+#: Counts of these letters are compared before two lines are; others would do as well. The
+#: first index has room for the first six, the second for all.
+LETTERS = "etnaoisrdlucmpg"
 
 
-def letter_counts(line: Column, n: Column) -> Column:
-    """Four bits for each letter of :data:`LETTERS`: its count, modulo 16."""
-    counts = [F.shiftleft(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(LETTERS)]
+def letter_counts(line: Column, n: Column, letters: str) -> Column:
+    """Four bits for each letter: its count, modulo 16."""
+    counts = [F.shiftleft(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
     return sum(counts[1:], counts[0])
 
 
-def counts_apart(x: Column, y: Column) -> Column:
+def counts_apart(x: Column, y: Column, letters: str) -> Column:
     """A lower bound of twice the edits between two lines, from their letter counts."""
 
     def one(i):
         d = F.abs(F.shiftright(x, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(y, 4 * i).bitwiseAND(F.lit(15)))
         return F.least(d, 16 - d)
 
-    return sum((one(i) for i in range(1, len(LETTERS))), one(0))
+    return sum((one(i) for i in range(1, len(letters))), one(0))
+
+
+def lines_within(a: Column, b: Column, most: int) -> Column:
+    """:func:`within` for two lines that are not empty, whose characters are told apart once."""
+    return F.aggregate(F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))), F.lit(False), lambda _, p: within(p["a"], p["b"], most))
 
 
 def _bit(word: Column, place: Column) -> Column:
@@ -153,39 +176,40 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, mos
     seen = written(seen.where(taken).select(*order, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines-seen")
     first = written(seen.groupBy("h1", "h2").agg(F.min(F.struct(*order)).alias("first")), "lines-first")
     later = seen.join(first, ["h1", "h2"]).where(~F.struct(*order).eqNullSafe(F.col("first")))
-    copies = written(later.groupBy(F.col("k").alias("mk"), F.col("h").alias("mh")).agg(F.collect_set("pos").alias("gone")), "lines-copies")
+    copies = written(marked(later), "lines-copies")
 
     # index and probe rows of the first occurrences
-    here = joined(rows, copies).select("k", "h", "gone", F.posexplode(lines).alias("pos", "line"))
-    here = here.where(taken & (F.length("line") > most) & ~F.coalesce(F.array_contains("gone", F.col("pos")), F.lit(False)))
-    here = here.select("line", F.length("line").alias("n"))
-    here = here.withColumn("id", F.xxhash64("line")).withColumn("counts", letter_counts(F.col("line"), F.col("n")))
+    here = joined(rows, copies).select("bits", F.posexplode(lines).alias("pos", "line"))
+    here = here.where(taken & (F.length("line") > most) & ~is_marked(F.col("bits"), F.col("pos")))
+    here = here.select("line", F.length("line").alias("n")).withColumn("id", F.xxhash64("line"))
+    few = LETTERS[:6]
+    here = here.withColumn("counts", letter_counts(F.col("line"), F.col("n"), few))
     # one long for 39 bits of the segment's hash, whether it is own, and the counts: at two
-    # edits a line has twelve of these rows, and lists that meet by chance are verified
+    # edits a line has twelve of these rows
     packed = F.shiftleft("segment", 25).bitwiseOR(F.shiftleft(F.col("own").cast("long"), 24)).bitwiseOR(F.col("counts"))
     parts = segment_names(here, most).select(packed.alias("packed"), "id")
-    a, b = (parts.select(F.col("packed").alias(f"packed_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
-    own = {x: F.shiftright(f"packed_{x}", 24).bitwiseAND(F.lit(1)) for x in "ab"}
+    own = {x: F.shiftright(f"{x}.packed", 24).bitwiseAND(F.lit(1)) for x in "ab"}
     # one of the two must be the line's own segment; as the condition has both sides in
     # it, it stays in the join, whose sides are then one exchange
-    pair = (own["a"] > own["b"]) | ((own["a"] == 1) & (own["b"] == 1) & (F.col("id_a") < F.col("id_b")))
-    same = F.shiftright("packed_a", 25) == F.shiftright("packed_b", 25)
-    met = a.join(b, same & pair & (F.col("id_a") != F.col("id_b")) & (counts_apart(F.col("packed_a"), F.col("packed_b")) <= 2 * most))
-    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-
-    # the lines of the pairs, from the documents where they come first
-    wanted = met.select(F.col("a").alias("h1")).union(met.select("b")).distinct()
-    places = first.join(wanted, "h1", "left_semi").select("h1", "first.*")
-    asked = places.groupBy(F.col("k").alias("mk"), F.col("h").alias("mh")).agg(F.collect_set(F.struct("h1", *order)).alias("asked"))
-    found = joined(rows, asked, "inner").select(F.explode("asked").alias("at"), lines.alias("lines")).select("at.h1", F.struct(*[F.col(f"at.{c}").alias(c) for c in order]).alias("at"), F.split(F.get("lines", F.col("at.pos")), "").alias("chars"))
-    pairs = met.join(found.select(F.col("h1").alias("a"), F.col("at").alias("at_a"), F.col("chars").alias("chars_a")), "a").join(found.select(F.col("h1").alias("b"), F.col("at").alias("at_b"), F.col("chars").alias("chars_b")), "b")
-    near = pairs.where(within(F.col("chars_a"), F.col("chars_b"), most)).select(F.greatest("at_a", "at_b").alias("at")).distinct()
-    marks = copies.select("mk", "mh", "gone").union(near.groupBy(F.col("at.k").alias("mk"), F.col("at.h").alias("mh")).agg(F.collect_set("at.pos").alias("gone")))
-    marks = marks.groupBy("mk", "mh").agg(F.flatten(F.collect_list("gone")).alias("gone"))
-
-    stays = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)))
-    out = joined(rows, marks).select("h", "box", "gone", lines.alias("lines")).select("h", "box", "gone", "lines", stays.alias("stays"))
-    kept = F.when(F.col("gone").isNull(), whole()[text]).otherwise(F.array_join("stays", BREAK))
+    same = F.shiftright("a.packed", 25) == F.shiftright("b.packed", 25)
+    met = parts.alias("a").join(parts.alias("b"), same & (own["a"] + own["b"] > 0) & (F.col("a.id") != F.col("b.id")) & (counts_apart(F.col("a.packed"), F.col("b.packed"), few) <= 2 * most), "left_semi")
+
+    # these lines, from the documents where they come first, and the second index
+    places = first.join(met.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi").select("first.*")
+    asked = joined(rows, marked(places), "inner").select("k", "h", "bits", F.posexplode(lines).alias("pos", "line")).where(is_marked(F.col("bits"), F.col("pos")))
+    asked = written(asked.select(F.struct(F.col("k").isNull().alias("last"), "k", "h", "pos").alias("at"), "line", F.length("line").alias("n")), "lines-asked")
+    asked = asked.withColumn("counts", letter_counts(F.col("line"), F.col("n"), LETTERS))
+    parts = segment_names(asked, most).drop("n")
+    near = (F.col("a.segment") == F.col("b.segment")) & (F.col("a.own") + F.col("b.own") > 0) & (F.col("b.at") < F.col("a.at"))
+    near = near & (counts_apart(F.col("a.counts"), F.col("b.counts"), LETTERS) <= 2 * most) & lines_within(F.col("a.line"), F.col("b.line"), most)
+    near = written(marked(parts.alias("a").join(parts.alias("b"), near, "left_semi").select("at.*").distinct()), "lines-near")
+    marks = copies.union(near).groupBy("mk", "mh").agg(F.collect_list("bits").alias("bits"))
+    none = F.lit(0).cast("long")
+    marks = marks.withColumn("bits", F.aggregate("bits", F.array().cast("array<bigint>"), lambda done, x: F.zip_with(done, x, lambda p, q: F.coalesce(p, none).bitwiseOR(F.coalesce(q, none)))))
+
+    stays = F.when(F.col("bits").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~is_marked(F.col("bits"), i)))
+    out = joined(rows, marks).select("h", "box", "bits", lines.alias("lines")).select("h", "box", "bits", "lines", stays.alias("stays"))
+    kept = F.when(F.col("bits").isNull(), whole()[text]).otherwise(F.array_join("stays", BREAK))
     return out.select(*[(kept if c == text else whole()[c]).alias(c) for c in docs.columns], F.struct(F.greatest(F.size("lines"), F.lit(0)).alias("n_lines"), F.greatest(F.size("stays"), F.lit(0)).alias("kept_lines")).alias("_line_dedup"))
 
 
