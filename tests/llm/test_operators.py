@@ -207,16 +207,96 @@ def test_tool_calls(spark):
     import json
 
     one = json.loads(got[1]["record"])
-    assert [c["id"] for c in one] == ["b", "zz", "a"] or [c["id"] for c in one] == ["b", "a", "zz"]
-    assert [c["state"] for c in one if c["id"] != "zz"] == ["linked", "open"] and got[1]["n_orphans"] == 1
+    assert [c["id"] for c in one] == ["b", "a", "zz"]
+    assert [c["state"] for c in one] == ["linked", "open", "orphan"] and got[1]["n_orphans"] == 1
     assert one[0]["arguments"] == {"text": 'é"', "turn": 2} and one[0]["content"] == "done"
     assert {c["id"]: c["fault"] for c in json.loads(got[2]["record"])} == {"c": "missing turn", "d": "unknown tool", "e": "no object", "f": "bad turn"}
-    assert got[None]["n_linked"] == 1 and len(json.loads(got[3]["record"])) == 2 and 4 not in got
+    assert [c["id"] for c in json.loads(got[3]["record"])] == ["a", "b"] and 4 not in got
+    none = [r for r in toolcalls.records(pairs).collect() if r["conv"] is None]
+    assert sorted((r["n_calls"], r["n_linked"], r["n_orphans"]) for r in none) == [(0, 0, 1), (1, 0, 0)]
     assert toolcalls.records(toolcalls.linked(*toolcalls.marked_calls(df.limit(0)))).count() == 0
     forms = spark.createDataFrame([('{"b": [1, {"z":null, "a": true}],\n "a":"é\\n"}',), ("{",)], "x string").select(toolcalls.canonical(F.col("x")).alias("c")).collect()
     assert [r["c"] for r in forms] == ['{"a":"é\\n","b":[1,{"a":true,"z":null}]}', None]
 
 
+def in_order(calls):
+    """Brute force: calls ``(place, id, names)`` as positions, put into order."""
+    n = len(calls)
+    first = {}
+    for i, (_, x, _) in enumerate(calls):
+        first.setdefault(x, i)
+    deps = [{first[x] for x in names if x in first and x != own} for _, own, names in calls]
+
+    def ways(i, seen):  # (last place, steps to it) over all ways without a turn back; None: a cycle among the last
+        last = max(seen)
+        for j in deps[i]:
+            last = max(last, j if j in seen else ways(j, seen | {j}))
+        return last
+
+    last = [ways(i, frozenset([i])) for i in range(n)]
+    tight = [[j for j in deps[i] if last[j] == last[i]] for i in range(n)]
+
+    def steps(i, seen):
+        return max([0, *(n if j in seen else 1 + steps(j, seen | {j}) for j in tight[i])])
+
+    t = [steps(i, frozenset([i])) for i in range(n)]
+    return sorted(range(n), key=lambda i: ((i, 0, i) if t[i] >= n else (last[i], t[i], i)))
+
+
+def test_tool_calls_order(spark):
+    import json
+
+    random.seed(12)
+    rows, want = [], {}
+    for conv in range(60):
+        calls = sorted((turn, part, f"c{random.randrange(9)}") for turn in range(4) for part in range(random.randrange(3)))
+        calls += [random.choice(calls)] * 2 if calls and conv % 3 == 0 else []
+        calls = [(a, b, x, tuple(sorted(f"c{random.randrange(9)}" for _ in range(random.choice([0, 1, 1, 2]))))) for a, b, x in calls]
+        made = sorted((a, b, x, "t", json.dumps({f"k{i}": v for i, v in enumerate(names)}), names) for a, b, x, names in calls)
+        rows += [(conv, a, b, x, name, args) for a, b, x, name, args, _ in made]
+        want[conv] = [made[i][2] + made[i][4] for i in in_order([(m[0], m[2], m[5]) for m in made])]
+    calls = spark.createDataFrame(rows, "conv long, turn long, part int, id string, name string, arguments string").repartition(3)
+    none = spark.createDataFrame([], "conv long, turn long, part int, id string, content string")
+    got = {r["conv"]: [c["id"] + c["arguments"] for c in json.loads(r["record"])] for r in toolcalls.records(toolcalls.linked(calls, none)).collect()}
+    assert got == {c: w for c, w in want.items() if w} and sum(w != sorted(w) for w in want.values()) > 10
+
+
+def test_tool_calls_types_and_repeats(spark):
+    import json
+
+    kinds = {"s": "string", "i": "integer", "n": "number", "b": "boolean", "o": "object", "a": "array"}
+    values = {"s": '"1"', "i": "1", "n": "1.5", "b": "true", "o": '{"x":1}', "a": "[1]", "none": "null"}
+    fits = {(k, k) for k in kinds} | {("n", "i")}
+    calls = [(i, 0, 0, "x", k, f'{{"v": {v}}}') for i, (k, v) in enumerate((k, v) for k in kinds for v in values.values())]
+    calls += [(99, 0, 0, "r", "s", '{"v": "later"}')] * 3 + [(99, 1, 0, "later", "s", '{"v": "é"}')] * 2
+    results = [(99, 2, 0, "r", "one"), (99, 2, 0, "r", "one"), (99, 3, 0, "gone", None)]
+    schemas = {k: {"required": ["v"], "types": {"v": t}} for k, t in kinds.items()}
+    pairs = toolcalls.linked(spark.createDataFrame(calls, "conv long, turn long, part int, id string, name string, arguments string"), spark.createDataFrame(results, "conv long, turn long, part int, id string, content string"), schemas)
+    got = {r["conv"]: r for r in toolcalls.records(pairs).collect()}
+    names = [(k, v) for k in kinds for v in values]
+    assert {names[i] for i in range(len(names)) if got[i]["n_invalid"] == 0} == fits
+    assert [json.loads(got[i]["record"])[0]["fault"] for i, (_, v) in enumerate(names) if v == "none"] == ["bad v"] * len(kinds)
+    r = got[99]
+    assert (r["n_calls"], r["n_linked"], r["n_orphans"]) == (5, 2, 1)
+    assert [(c["id"], c["state"]) for c in json.loads(r["record"])] == [("later", "open")] * 2 + [("r", "open")] + [("r", "linked")] * 2 + [("gone", "orphan")] or [c["id"] for c in json.loads(r["record"])] == ["later", "r", "r", "r", "later", "gone"]
+
+
+def test_tool_calls_of_long_conversations(spark):
+    import json
+
+    n = 10_000
+    after = {i: i - 1 if i % 10 else i for i in range(n)} | {5: 9_991, 44: 50, 50: 61, 700: 701, 701: 700}  # an own identifier names nothing
+    rows = [(1, i, 0, f"t{i}", "reply", json.dumps({"text": "x" * (300_000 if i == 3 else 5), "turn": i, "after": f"t{after[i]}"})) for i in range(n)]
+    calls = spark.createDataFrame(rows, "conv long, turn long, part int, id string, name string, arguments string").repartition(4)
+    results = spark.createDataFrame([(1, i + 1, 0, f"t{i}", "r") for i in range(n)], "conv long, turn long, part int, id string, content string")
+    [r] = toolcalls.records(toolcalls.linked(calls, results)).collect()
+    got = [int(c["id"][1:]) for c in json.loads(r["record"])]
+    place = {x: i for i, x in enumerate(got)}
+    assert sorted(got) == list(range(n)) and r["n_linked"] == n and r["n_invalid"] == 0
+    assert [i for i in range(n) if place[after[i]] > place[i]] == [700]
+    assert got[9_981:] == [*range(9_991 - 5, 9_992), 5, 6, 7, 8, 9, *range(9_992, n)]
+
+
 # 5
 
 
