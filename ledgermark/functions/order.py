@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,8 +10,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ledgermark-checkpoints").rstrip("/")
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset and the master is local.
+
+    On a cluster each executor would write to a disk of its own, and later reads would
+    miss those files without an error, so there the setting is required.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{tempfile.gettempdir()}/ledgermark-scratch"
+    return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession) -> str:

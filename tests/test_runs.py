@@ -69,3 +69,17 @@ def test_narration(spark):
 
     assert {r["source"] for r in narrate.narrated(rows, broken).collect()} == {"template"}
     assert narrate.json_part('x {"a": [1]} y') in ([1], {"a": [1]}) and narrate.json_part("none") is None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from ledgermark.functions.order import shared_dir
+
+    def session(master, path=None):
+        conf = Some(get=lambda k, default=None: path)
+        return Some(conf=conf, sparkContext=Some(master=master, getConf=lambda: conf))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("spark://host:7077", "s3a://b/x/")) == "s3a://b/x" and shared_dir(session("local[2]"))
