@@ -7,9 +7,10 @@ is taken by path, host and globally; a host is shrunk toward the global mean and
 toward its host, by as many pseudo documents as a method-of-moments fit of the spread
 between hosts, or between paths, gives. The prior's log odds and the evidence add up.
 
-Everything but the final row is grouped aggregation with partial sums, so a host that
-holds a third of all rows is no burden. What goes to the driver is the table of bins,
-whose size is fixed by the measures (:data:`BINS`), and a few sums.
+Texts are measured once: their bins are written without the text, and all that follows
+reads these. Everything but the final row is grouped aggregation with partial sums, so a
+host that holds a third of all rows is no burden. What goes to the driver is the table of
+bins, whose size is fixed by the measures (:data:`BINS`), and a few sums.
 
 Cases: null, empty and wordless texts fall into bins of their own; null hosts and paths
 are groups of their own; labels that are null, or of unknown documents, are ignored, and
@@ -59,17 +60,17 @@ def binned(docs: DataFrame, text: str) -> DataFrame:
     return m.withColumn("_bins", F.coalesce(F.array(*bins), F.array(*[F.lit(0)] * len(bins)))).drop("_m", "_s")
 
 
-def weights(binned_labels: DataFrame) -> list[list[float]] | None:
-    """Log odds of each bin from rows ``(_bins, label)``; None if a class has no rows."""
+def weights(binned_labels: DataFrame) -> tuple[list[list[float]] | None, float]:
+    """Log odds of each bin and of a document from rows ``(_bins, label)``; None and 0 if a class has no rows."""
     rows = binned_labels.select("label", F.posexplode("_bins").alias("measure", "bin")).groupBy("measure", "bin").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad")).collect()
     total = [sum(r.good for r in rows if r.measure == 0), sum(r.bad for r in rows if r.measure == 0)]
     if not min(total):
-        return None
+        return None, 0.0
     out = [[0.0] * n for n in BINS.values()]
     for r in rows:
         share = (r.good + r.bad) / sum(total)
         out[r.measure][r.bin] = math.log((r.good + SMOOTH * share) / (total[0] + SMOOTH)) - math.log((r.bad + SMOOTH * share) / (total[1] + SMOOTH))
-    return out
+    return out, math.log(total[0] / total[1])
 
 
 def evidence(odds: list[list[float]] | None) -> Column:
@@ -88,16 +89,13 @@ def _strength(groups: DataFrame, mean: str, within: str) -> float:
     return min(1e6, max(1.0, level * (1 - level) / spread - 1))
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", label_key: str = "doc_id", label: str = "quality", cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with ``_quality`` (in place of a column so named): a struct of evidence, prior, p and keep."""
-    docs = docs.drop("_quality")
+def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", label_key: str = "doc_id", label: str = "quality", cut: float = 0.3) -> DataFrame:
+    """A row for each of ``docs``, without its text: ``_key, _h`` (a hash of the text), ``_host, _path`` and evidence, prior, p and keep."""
     host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
     given = labels.select(F.col(label_key).alias("_key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    slim = docs.select(F.col(key).alias("_key"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(text).alias("_text"))
+    slim = docs.select(F.col(key).alias("_key"), _hashed(text), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(text).alias("_text"))
     slim = written(binned(slim, "_text").drop("_text"), "quality-bins")
-    odds = weights(slim.join(given, "_key"))
-    good, bad = given.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    base = math.log(good / bad) if odds is not None else 0.0
+    odds, base = weights(slim.join(given, "_key"))
     own = 1 / (1 + F.exp(-(evidence(odds) + F.lit(base))))
     sums = slim.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(own).alias("good"))
     paths = written(sums, "quality-paths")
@@ -106,18 +104,42 @@ def scored(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     mean = min(1 - 1e-6, max(1e-6, total / n)) if n else 0.5
     hosts = hosts.withColumn("all", F.lit(mean)).withColumn("mean", F.col("good") / F.col("n"))
     weight = _strength(hosts, "mean", "all")
-    hosts = hosts.select(F.col("_host").alias("_h"), ((F.col("good") + weight * F.lit(mean)) / (F.col("n") + weight)).alias("host_p"))
-    both = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).withColumn("mean", F.col("good") / F.col("n"))
+    hosts = hosts.select(F.col("_host").alias("_h_host"), ((F.col("good") + weight * F.lit(mean)) / (F.col("n") + weight)).alias("host_p"))
+    both = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h_host"))).withColumn("mean", F.col("good") / F.col("n"))
     weight = _strength(both, "mean", "host_p")
-    prior = written(both.select("_h", F.col("_path").alias("_p"), F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (F.col("good") + weight * F.col("host_p")) / (F.col("n") + weight))).alias("prior")), "quality-priors")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(text).alias("_text"))
-    at = binned(whole, "_text").join(prior, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
+    prior = written(both.select(F.col("_h_host"), F.col("_path").alias("_p"), F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (F.col("good") + weight * F.col("host_p")) / (F.col("n") + weight))).alias("prior")), "quality-priors")
+    at = slim.join(prior, F.col("_host").eqNullSafe(F.col("_h_host")) & F.col("_path").eqNullSafe(F.col("_p")))
     prior_p = F.col("prior") if odds is not None else F.lit(0.5)
-    out = at.select("_row", evidence(odds).alias("evidence"), prior_p.alias("prior"))
+    out = at.select("_key", "_h", "_host", "_path", evidence(odds).alias("evidence"), prior_p.alias("prior"))
     p = 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("prior") / (1 - F.col("prior"))))))
-    return out.select("_row.*", F.struct("evidence", "prior", p.alias("p"), (p >= cut).alias("keep")).alias("_quality"))
+    return out.withColumn("p", p).withColumn("keep", F.col("p") >= cut)
+
+
+def _hashed(text: str) -> Column:
+    return F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("_h")
+
+
+def _beside(docs: DataFrame, marks: DataFrame, how: str, key: str, text: str, host: Column | str, path: Column | str) -> DataFrame:
+    """``docs``, as rows ``_row``, joined with rows of :func:`judged` that are one for each key, text, host and path."""
+    host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_k"), _hashed(text).alias("_x"), host.cast("string").alias("_a"), path.cast("string").alias("_b"))
+    same = F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_x") == F.col("_h")) & F.col("_a").eqNullSafe(F.col("_host")) & F.col("_b").eqNullSafe(F.col("_path"))
+    return rows.join(marks, same, how)
+
+
+def scored(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", **rest) -> DataFrame:
+    """The rows of ``docs`` with ``_quality`` (in place of a column so named): a struct of evidence, prior, p and keep."""
+    docs = docs.drop("_quality")
+    marks = judged(docs, labels, key=key, text=text, host=host, path=path, **rest).dropDuplicates(["_key", "_h", "_host", "_path"])
+    return _beside(docs, marks, "inner", key, text, host, path).select("_row.*", F.struct("evidence", "prior", "p", "keep").alias("_quality"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", **rest) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject."""
+    gone = judged(docs, labels, key=key, text=text, host=host, path=path, **rest).where(~F.col("keep")).select("_key", "_h", "_host", "_path").distinct()
+    return _beside(docs, gone, "left_anti", key, text, host, path).select("_row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = scored(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
-    return got.select("doc_id", F.round("_quality.evidence", 6).alias("evidence"), F.round("_quality.prior", 6).alias("prior"), F.round("_quality.p", 6).alias("p_quality"), F.col("_quality.keep").alias("keep"))
+    got = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select(F.col("_key").alias("doc_id"), F.round("evidence", 6).alias("evidence"), F.round("prior", 6).alias("prior"), F.round("p", 6).alias("p_quality"), "keep")

@@ -558,6 +558,62 @@ def test_quality_edges(spark):
     assert quality.scored(df.limit(0), labels, path="pos").count() == 0
 
 
+def test_quality_equals_brute_force(spark, duck):
+    import math
+
+    docs = duck.execute("SELECT doc_id, text, source, lang FROM documents").fetchall() + [(-1, None, None, "en"), (-2, "", "s", None), (-1, None, None, "en")]
+    labels = duck.execute("SELECT doc_id, quality FROM labels").fetchall() + [(0, 1), (0, 0), (10**9, 1), (None, 0), (3, None)]
+
+    def bins(t):
+        words = [w for w in re.split(r"[ \t-\r]+", (t or "").lower()) if w]
+        n = len(words)
+        if not n:
+            return [0] * 6
+        marks = sum(not (c.isalnum() or c.isspace() or c in ".,") for c in t)
+        size = min(13, math.floor(math.log2(n)))
+        x = [math.log2(1 + 4096 * marks / len(t)) * 2, 16 * sum(len(w) == 1 for w in words) / n, size * 11 + math.floor(10 * len(set(words)) / n), len(t) / n, 16 * sum(len(w) <= 3 for w in words) / n, 16 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / n]
+        return [1 + min(most - 2, max(0, math.floor(v))) for v, most in zip(x, quality.BINS.values(), strict=True)]
+
+    of = [bins(t) for _, t, _, _ in docs]
+    counts = [defaultdict(lambda: [0, 0]) for _ in range(6)]
+    total = [0, 0]
+    for (k, *_), b in zip(docs, of, strict=True):
+        for key, q in labels:
+            if key == k and q is not None:
+                total[q] += 1
+                for m in range(6):
+                    counts[m][b[m]][q] += 1
+    s, both = quality.SMOOTH, sum(total)
+    odd = lambda bad, good: math.log((good + s * (good + bad) / both) / (total[1] + s)) - math.log((bad + s * (good + bad) / both) / (total[0] + s))
+    evidence = [sum(odd(*counts[m][b[m]]) if b[m] in counts[m] else 0.0 for m in range(6)) for b in of]
+    own = [1 / (1 + math.exp(-(e + math.log(total[1] / total[0])))) for e in evidence]
+
+    def strength(groups):  # (n, mean, level)
+        many = [g for g in groups if g[0] > 1]
+        between = sum((m - w) ** 2 for _, m, w in many) / len(many)
+        noise = sum(w * (1 - w) / n for n, _, w in many) / len(many)
+        level = sum(w for _, _, w in groups) / len(groups)
+        return min(1e6, max(1.0, level * (1 - level) / max(between - noise, 1e-6) - 1))
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (_, _, h, p), x in zip(docs, own, strict=True):
+        hosts[h].append(x)
+        paths[h, p].append(x)
+    mean = sum(own) / len(own)
+    w = strength([(len(x), sum(x) / len(x), mean) for x in hosts.values()])
+    host_p = {h: (sum(x) + w * mean) / (len(x) + w) for h, x in hosts.items()}
+    w = strength([(len(x), sum(x) / len(x), host_p[h]) for (h, _), x in paths.items()])
+    prior = {(h, p): (sum(x) + w * host_p[h]) / (len(x) + w) for (h, p), x in paths.items()}
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").withColumn("_key", F.lit("x"))
+    given = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality.scored(df, given)
+    assert got.columns == [*df.columns, "_quality"]
+    got = sorted((r["doc_id"], *r["_quality"]) for r in got.collect())
+    want = sorted((k, e, prior[h, p], 1 / (1 + math.exp(-(e + math.log(prior[h, p] / (1 - prior[h, p])))))) for (k, _, h, p), e in zip(docs, evidence, strict=True))
+    assert len(got) == len(want) and all(g[:4] == pytest.approx(x, rel=1e-9, abs=1e-12) and g[4] == (g[3] >= 0.3) for g, x in zip(got, want, strict=True))
+    assert sorted(r["doc_id"] for r in quality.kept(df, given).collect()) == sorted(g[0] for g in got if g[4])
+
+
 def test_sparse_hosts_shrink(spark):
     good, bad = "the cat sat on a mat and then it went away again", "### *** $$$ ### *** $$$"
     hosts = [("big", i % 10 != 0) for i in range(400)] + [("one", False)] + [(f"h{i % 20}", i % 5 != 0) for i in range(200)]

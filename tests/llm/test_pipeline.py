@@ -9,7 +9,7 @@ import corpus_pipeline as cp
 from ledgermark.llm import pieces
 from ledgermark.llm.common import written
 from tests.conftest import DATA
-from tests.llm.test_operators import linked_groups, print_of
+from tests.llm.test_jaccard import grouped, shingles
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_line_dedup_leaves_each_long_line_once(stages):
 
 def test_near_dedup_keeps_the_smallest_id_of_each_group(stages):
     docs = sorted((r["doc_id"], r["text"]) for r in stages[2].collect())
-    groups = linked_groups([print_of(t) for _, t in docs])
+    groups = grouped([shingles(t) for _, t in docs])
     assert {r["doc_id"] for r in stages[3].collect()} == {docs[g][0] for g in groups}
 
 
