@@ -36,10 +36,10 @@ def rank_of(correct_keys: Column, ranked_keys: Column) -> Column:
     return F.array_min(F.filter(F.transform(correct_keys, lambda k: F.array_position(ranked_keys, k)), lambda p: p > 0))
 
 
-def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.85) -> DataFrame:
-    """``queries(query_id, locus, situation)`` against ``cases(case_id, locus, situation, retired)``: the k most similar of the locus."""
+def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.85, also=None) -> DataFrame:
+    """``queries(query_id, locus, situation)`` against ``cases(case_id, locus, situation, retired)``: the k most similar of the locus, of pairs that ``also`` allows."""
     sim = cosine(F.col("q.situation"), F.col("c.situation"))
-    at = queries.alias("q").join(cases.where("not retired").alias("c"), F.col("q.locus") == F.col("c.locus")).select("query_id", "case_id", sim.alias("similarity")).where(F.col("similarity") >= least)
+    at = queries.alias("q").join(cases.where("not retired").alias("c"), (F.col("q.locus") == F.col("c.locus")) & (F.lit(True) if also is None else also)).select("query_id", "case_id", sim.alias("similarity")).where(F.col("similarity") >= least)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "case_id")
     return at.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermark.functions.order import positioned
-from ledgermark.functions.similarity import cosine
 from ledgermark.operators import learn
 
 #: Days that part the buckets, and the shortest span worth aging.
@@ -83,12 +82,10 @@ def loci(judged: DataFrame, cand: DataFrame) -> DataFrame:
 
 
 def retrieve_vectors(vectors: DataFrame, k: int = 5, least: float = 0.1) -> DataFrame:
-    """Every 50th vector as a query against the vectors of its label: the k most similar."""
-    a = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    at = a.join(vectors, (F.col("ql") == F.col("label")) & (F.col("query_id") != F.col("vec_id")))
-    s = at.select("query_id", F.col("vec_id").alias("case_id"), cosine(F.col("qe"), F.col("embedding")).alias("similarity")).where(F.col("similarity") >= least)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "case_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "case_id", F.round("similarity", 6).alias("similarity"), "rank")
+    """Every 20th vector as a query against the other vectors of its label: the k most similar."""
+    at = vectors.select("vec_id", F.col("label").alias("locus"), F.col("embedding").alias("situation"))
+    found = learn.retrieve(at.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), at.withColumnRenamed("vec_id", "case_id").withColumn("retired", F.lit(False)), k, least, F.col("query_id") != F.col("case_id"))
+    return found.select("query_id", "case_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def arms(decisions: DataFrame, truth: DataFrame) -> DataFrame:

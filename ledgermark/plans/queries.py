@@ -12,6 +12,7 @@ from ledgermark.functions.similarity import situation_vector
 from ledgermark.operators import audit, blocking, decide, evaluate, features, learn, models, narrate, rank, settle, solver
 from ledgermark.plans import fixture as fx
 from ledgermark.plans.fixture import BASE, CAND, DECISIONS, LEDGER, PAIRED, RANKED, table, with_
+from ledgermark.sources import csv_files
 from ledgermark.streaming import feed
 
 QUERIES: dict = {}
@@ -309,7 +310,7 @@ query("latest_decision", f"SELECT * FROM ({_EVENTS}) QUALIFY row_number() OVER (
 query("audit_summary", f"SELECT run_id, outcome, count(*) AS n FROM ({_EVENTS}) GROUP BY ALL")(v(lambda x: _trail(x).groupBy("run_id", "outcome").agg(F.count("*").alias("n"))))
 query(
     "case_retrieve",
-    """WITH c AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS case_id, list_cosine_similarity(a.e, b.e) AS sim FROM c a JOIN c b ON a.label = b.label WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    """WITH c AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS case_id, list_cosine_similarity(a.e, b.e) AS sim FROM c a JOIN c b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, case_id) AS rank FROM s WHERE sim >= 0.1) SELECT query_id, case_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
 )(v(lambda x: settle.retrieve_vectors(table(x.spark, x.sf_dir, "embeddings"))))
 query("case_outcomes", "SELECT CAST(user_id AS VARCHAR) AS case_id, count(*) AS applications, round(count(*) FILTER (event_type <> 'purchase') / count(*)::DOUBLE, 6) AS accuracy, count(*) >= 3 AND count(*) FILTER (event_type <> 'purchase') / count(*)::DOUBLE < 0.9 AS retired FROM events GROUP BY 1")(v(lambda x: learn.outcomes(table(x.spark, x.sf_dir, "events").select(F.col("user_id").cast("string").alias("case_id"), (F.col("event_type") != "purchase").alias("correct")))))
@@ -337,6 +338,44 @@ query("near_events", "SELECT a.user_id, count(*) AS n FROM events a JOIN events
 )
 query("narrated", None)(v(lambda x: narrate.narrated(_residuals(x).withColumn("cause", F.col("causes")[0]["cause"]))))
 
+query(
+    "audit_rows",
+    DECISIONS + "SELECT record_id, path, outcome, key, CAST(n_blocked AS BIGINT) AS n_candidates, amount_minor, round(threshold, 9) AS threshold, '1' AS policy_version, 'decision' AS kind, row_number() OVER (ORDER BY record_id) AS seq FROM decided",
+)(v(lambda x: audit.entries(x.decisions()).select("record_id", "path", "outcome", "key", "n_candidates", "amount_minor", F.round("threshold", 9).alias("threshold"), "policy_version", "kind", "seq")))
+
+
+# uploads: orders written as files with faults, and read again
+
+
+def _upload(spark: SparkSession, sf_dir: str, header: list[str], key: bool) -> str:
+    k = F.col("o_orderkey")
+    at = table(spark, sf_dir, "orders").orderBy("o_orderkey")
+    amount = F.when(k % 50 == 1, "abc").when(k % 50 == 2, "").otherwise(F.translate(F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), ",.", ".,"))
+    day = F.when(k % 50 == 3, "not a date").when(k % 50 == 4, "").otherwise(F.date_format("o_orderdate", "d/M/yyyy"))
+    account = F.when(k % 50 == 5, "  ").otherwise(F.concat(F.lit('a "quoted"\n'), F.col("o_custkey").cast("string")))
+    cols = [amount, day, account, *([F.concat(F.lit("B"), k)] if key else [])]
+    path = scratch_path(spark)
+    at.select(*[c.alias(h) for c, h in zip(cols, header, strict=True)]).write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return path
+
+
+_UPLOADED = """SELECT *, CASE WHEN k % 50 = 1 THEN 'unreadable amount' WHEN k % 50 = 2 THEN 'blank amount' WHEN k % 50 = 3 THEN 'unreadable date' WHEN k % 50 = 4 THEN 'blank date' END AS error FROM (
+  SELECT o_orderkey AS k, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) * 100 AS BIGINT) AS m, CASE WHEN o_orderkey % 50 = 5 THEN NULL ELSE 'a "quoted"' || chr(10) || o_custkey END AS account,
+         CAST(date_diff('day', DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS d, 1 + row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)"""
+
+
+def _both(good: DataFrame, bad: DataFrame, name: str) -> DataFrame:
+    none = F.lit(None)
+    return good.select(name, "account", "amount_minor", "day", none.cast("string").alias("error")).union(bad.select(name, none.cast("string"), none.cast("long"), none.cast("int"), "error"))
+
+
+query("upload_bank", f"SELECT 'B' || k AS record_id, CASE WHEN error IS NULL THEN account END AS account, CASE WHEN error IS NULL THEN m END AS amount_minor, CASE WHEN error IS NULL THEN d END AS day, error FROM ({_UPLOADED})")(
+    lambda spark, sf_dir: _both(*csv_files.read_bank(spark, _upload(spark, sf_dir, ["Txn Amt (EUR)", "Booked", "IBAN", "Ref"], True))[:2], "record_id")
+)
+query("upload_ledger", f"SELECT 'row-' || n AS key, CASE WHEN error IS NULL THEN account END AS account, CASE WHEN error IS NULL THEN m END AS amount_minor, CASE WHEN error IS NULL THEN d END AS day, error FROM ({_UPLOADED})")(
+    lambda spark, sf_dir: _both(*csv_files.read_ledger(spark, _upload(spark, sf_dir, ["amount", "Val Dt", "A/c No"], False))[:2], "key")
+)
+
 # text of money and dates
 
 _MONEY = "VALUES (1, '100'), (2, '34,233.97'), (3, '0.01'), (4, '-5.50'), (5, ' 1,000.5 '), (6, '10.005'), (7, 'abc'), (8, ''), (9, CAST(NULL AS VARCHAR)), (10, '1.'), (11, '.5')"
@@ -359,7 +398,7 @@ def _split(x: View) -> DataFrame:
 def gbt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-1 and MRR of a trained ranker on the test split, beside the rules."""
     x = View(spark, sf_dir)
-    pairs = checkpointed(x.pairs().join(x.bank.select("record_id", "match_id"), "record_id").join(_split(x), "match_id"))
+    pairs = checkpointed(x.pairs().join(_split(x), "match_id"))
     model = models.fit_ranker(rank.training_pairs(pairs.where("split = 'train'")))
     test = pairs.where("split = 'test'")
     labels = test.select("record_id", "label").distinct()

@@ -1,7 +1,10 @@
 """Bank and ledger uploads: delimited text whose columns, dates and decimals are found out.
 
 Everything is read as text; money becomes whole minor units and is refused, never
-rounded, when it doesn't fit. Rows that cannot be used are returned with a reason.
+rounded, when it doesn't fit. Rows whose amount or date cannot be used are returned with
+their number and a reason; a file without a header, rows, or a column for account, amount
+or date is refused as a whole. Rows are numbered from 2 on, the header being 1 and rows
+without any text left out; files of a folder follow each other by name.
 """
 
 from __future__ import annotations
@@ -14,14 +17,16 @@ from pyspark.sql import functions as F
 
 from ledgermark.functions.dates import LAYOUTS, parse_day
 from ledgermark.functions.money import strict_minor, upload_minor
+from ledgermark.functions.order import positioned
 
 DELIMITERS = (",", ";", "\t", "|")
+REQUIRED = ("account", "amount", "date")
 #: What headers of a field look like, the likeliest first.
 HEADERS = {
-    "amount": (r"^amount$", r"\bamt\b", r"amount", r"\bvalue\b(?!.*date)", r"\bcredit\b", r"\btotal\b"),
-    "date": (r"^date$", r"value\s*date", r"\bdt\b", r"date", r"\bposted\b"),
-    "account": (r"^account$", r"\ba/?c\b", r"account", r"\bcounterparty\b", r"\bcustomer\b"),
-    "key": (r"^key$", r"\bkey\b", r"reference", r"\bref\b", r"invoice", r"\bid\b"),
+    "amount": (r"^amount$", r"\bamt\b", r"amount", r"\bvalue\b(?!.*date)", r"\bcredit\b", r"\bdebit\b", r"\btotal\b"),
+    "date": (r"^date$", r"value\s*date", r"\bdt\b", r"date", r"^day$", r"\bposted\b", r"\bbook(ed|ing)\b"),
+    "account": (r"^account$", r"\ba/?c\b", r"account", r"\bacct\b", r"\biban\b", r"\bcounterparty\b", r"\bcustomer\b"),
+    "key": (r"^key$", r"\bkey\b", r"reference", r"\bref\b", r"invoice", r"allocation", r"\bid\b"),
 }
 
 
@@ -58,46 +63,56 @@ def date_layout(rows: DataFrame, column: str) -> str | None:
 
 
 def text_rows(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """All-text rows with ``_row``, the line's place in the file (blank lines counted), and the delimiter."""
-    first = spark.read.text(path).first()
-    header = (first["value"] if first else "").removeprefix("﻿")
+    """All-text rows with ``_row``, their number, and the delimiter.
+
+    A file is read in parts, unless a line with an unpaired quote shows that values
+    hold line breaks.
+    """
+    lines = spark.read.text(path)
+    first = lines.first()
+    header = (first["value"] if first else "").removeprefix("\ufeff")
     if not header.strip():
         raise ValueError("the file has no header")
     sep = delimiter(header)
-    df = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
-    df = df.toDF(*[c.removeprefix("﻿") for c in df.columns])
-    df = df.where(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in df.columns]) != "")
-    return df.withColumn("_row", F.monotonically_increasing_id()), sep
-
-
-def _parsed(spark: SparkSession, path: str, backend):
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = not lines.where(quotes % 2 == 1).isEmpty()
+    df = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("encoding", "UTF-8").option("escape", '"').option("multiLine", broken).csv(path)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line")]
+    df = df.select(*[F.col(f"`{c}`").alias(c.removeprefix("\ufeff")) for c in df.columns], *place)
+    names = df.columns[:-3]
+    df = df.where(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in names]) != "")
+    rows = positioned(df, ["_file", "_start", "_line"])
+    return rows.select(*[F.col(f"`{c}`") for c in names], (F.col("position") + 1).alias("_row")), sep
+
+
+def _parsed(spark: SparkSession, path: str, name: str, backend) -> tuple[DataFrame, DataFrame, str | None]:
     rows, sep = text_rows(spark, path)
-    found = columns([c for c in rows.columns if c != "_row"], backend)
-    if "amount" not in found:
-        raise ValueError("no amount column")
-    layout = date_layout(rows, found["date"]) if "date" in found else None
-    raw = F.col(f"`{found['amount']}`")
-    minor = upload_minor(raw, "," if sep == ";" else ".")
-    day = parse_day(F.col(f"`{found['date']}`"), layout) if layout else F.lit(None).cast("int")
-    account = F.nullif(F.trim(F.col(f"`{found['account']}`")), F.lit("")) if "account" in found else F.lit(None).cast("string")
-    error = F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", "blank amount").when(minor.isNull(), "unreadable amount")
-    return rows, found, layout, account, minor, day, error
+    headers = [c for c in rows.columns if c != "_row"]
+    found = columns(headers, backend)
+    missing = [f for f in REQUIRED if f not in found]
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)}; the file has {', '.join(headers)}")
+    if rows.isEmpty():
+        raise ValueError("the file has no rows below its header")
+    layout = date_layout(rows, found["date"])
+    text = lambda field: F.nullif(F.trim(F.col(f"`{found[field]}`")), F.lit(""))
+    minor = upload_minor(F.col(f"`{found['amount']}`"), "," if sep == ";" else ".")
+    day = parse_day(text("date"), layout) if layout else F.lit(None).cast("int")
+    place = F.concat(F.lit("row-"), F.col("_row"))
+    own = F.coalesce(text("key"), place) if "key" in found else place
+    error = F.when(text("amount").isNull(), "blank amount").when(minor.isNull(), "unreadable amount").when(text("date").isNull(), "blank date").when(day.isNull(), "unreadable date")
+    at = rows.select("_row", own.alias(name), text("account").alias("account"), minor.alias("amount_minor"), day.alias("day"), error.alias("error"))
+    return at.where("error is null").drop("error", "_row"), at.where("error is not null").select("_row", name, "error"), layout
 
 
 def read_bank(spark: SparkSession, path: str, backend=None) -> tuple[DataFrame, DataFrame, str | None]:
-    """Usable records, refused rows with their reason, and the date layout."""
-    rows, _, layout, account, minor, day, error = _parsed(spark, path, backend)
-    at = rows.select("_row", F.concat(F.lit("r"), "_row").alias("record_id"), account.alias("account"), minor.alias("amount_minor"), day.alias("day"), error.alias("error"))
-    return at.where("error is null").drop("error", "_row"), at.where("error is not null").select("_row", "error"), layout
+    """Usable records under their own ids (``row-N`` where they have none), refused rows with their reason, and the date layout."""
+    return _parsed(spark, path, "record_id", backend)
 
 
 def read_ledger(spark: SparkSession, path: str, backend=None) -> tuple[DataFrame, DataFrame, str | None]:
-    """As :func:`read_bank`; rows without a key are named by their place."""
-    rows, found, layout, account, minor, day, error = _parsed(spark, path, backend)
-    own = F.concat(F.lit("row-"), F.col("_row") + 1)
-    key = F.coalesce(F.nullif(F.trim(F.col(f"`{found['key']}`")), F.lit("")), own) if "key" in found else own
-    at = rows.select("_row", key.alias("key"), account.alias("account"), minor.alias("amount_minor"), day.alias("day"), error.alias("error"))
-    return at.where("error is null").drop("error", "_row"), at.where("error is not null").select("_row", "error"), layout
+    """As :func:`read_bank`, with a ``key`` for each row."""
+    return _parsed(spark, path, "key", backend)
 
 
 def wide_frame(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -135,11 +135,14 @@ def test_trail(spark, tmp_path):
     t = audit.Trail(spark, str(tmp_path / "trail"))
     with pytest.raises(ValueError, match="approver"):
         t.start_run("")
-    run = t.start_run("someone")
+    run = t.start_run("someone", blocking={"days": 7}, gate={"base": 0.85}, notes="first")
+    assert t.runs().select("blocking", "notes", "finished_at").first() == ('{"days": 7}', "first", None)
     d = spark.createDataFrame([("r1", "queued", "ranked", "k", 0.5, 0.85, 100, ["k", "j"], 0.1, 2, 2), ("r2", "posted", "direct", "k", 0.99, 0.85, 100, ["k"], None, 1, 1)], "record_id string, outcome string, path string, key string, confidence double, threshold double, amount_minor long, ranked_keys array<string>, margin double, n_blocked long, n_scored long")
     t.record(run, d)
-    t.record_corrections(run, spark.createDataFrame([("r1", ["j"], "ranking")], "record_id string, correct_keys array<string>, locus string"))
+    t.record_corrections(run, spark.createDataFrame([("r1", ["j"], "ranking")], "record_id string, correct_keys array<string>, locus string"), reviewer="me")
     assert t.decisions(run).count() == 3 and {r["record_id"]: r["outcome"] for r in t.latest(run).collect()} == {"r1": "correction", "r2": "posted"}
+    assert [(r["seq"], r["record_id"], r["n_candidates"], r["policy_version"], list(r["keys"])) for r in t.decisions(run).collect()] == [(1, "r1", 2, "1", ["k"]), (2, "r2", 1, "1", ["k"]), (3, "r1", 2, "1", ["j"])]
+    assert all(r["decided_at"] for r in t.decisions(run).collect()) and t.decisions(run).where("reviewer = 'me'").count() == 1
     assert t.latest(run, machine_only=True).where("record_id = 'r1'").first()["outcome"] == "queued"
     t.finish_run(run)
     assert t.status(run) == "completed"
@@ -150,13 +153,21 @@ def test_trail(spark, tmp_path):
 
 def test_uploads(spark, tmp_path):
     p = tmp_path / "bank.csv"
-    p.write_text("﻿Val Dt;Txn Amt (EUR);A/c No\n01/03/2026;1.234,56;ACC1\n;;\n02/03/2026;10,005;ACC1\n25/03/2026;(7,00);\n")
+    p.write_text("﻿Val Dt;Txn Amt (EUR);A/c No\n01/03/2026;1.234,56;ACC1\n;;\n02/03/2026;10,005;ACC1\n25/03/2026;(7,00);\n;1,00;A\n31/31/2026;1,00;A\n")
     good, bad, layout = csv_files.read_bank(spark, str(p))
-    assert layout == "d/M/yyyy" and sorted(r["amount_minor"] for r in good.collect()) == [-700, 123456] and [r["error"] for r in bad.collect()] == ["unreadable amount"]
+    assert layout == "d/M/yyyy" and sorted(r["amount_minor"] for r in good.collect()) == [-700, 123456] and [tuple(r) for r in bad.orderBy("_row").collect()] == [(3, "row-3", "unreadable amount"), (5, "row-5", "blank date"), (6, "row-6", "unreadable date")]
+    assert sorted((r["record_id"], r["account"]) for r in good.collect()) == [("row-2", "ACC1"), ("row-4", None)]
     q = tmp_path / "ledger.csv"
     q.write_text("key,account,amount,date\nINV-1,ACC1,12.00,2026-03-01\n,ACC1,3,2026-03-02\n")
     keys = [r["key"] for r in csv_files.read_ledger(spark, str(q))[0].collect()]
-    assert keys[0] == "INV-1" and keys[1].startswith("row-")
+    assert sorted(keys) == ["INV-1", "row-3"]
+    q.write_text('id,account,amount,date\nb1,"A\nB ""x""",1.00,2026-03-01\nb2,A,2,2026-03-02\n')
+    assert sorted((r["record_id"], r["account"]) for r in csv_files.read_bank(spark, str(q))[0].collect()) == [("b1", 'A\nB "x"'), ("b2", "A")]
+    for text, said in (("id,account,amount\nb1,A,1.00\n", "no column for date"), ("id,account,amount,date\n", "no rows"), ("", "no header")):
+        q.write_text(text)
+        with pytest.raises(ValueError, match=said):
+            csv_files.read_bank(spark, str(q))
+    assert csv_files.columns(["Debit", "Booking day", "IBAN", "Allocation"]) == {"amount": "Debit", "date": "Booking day", "account": "IBAN", "key": "Allocation"}
     assert csv_files.columns(["x", "y"], lambda h: {"amount": "x", "date": "nope"}) == {"amount": "x"}
 
 
