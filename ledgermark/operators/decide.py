@@ -2,6 +2,9 @@
 
 The order of the cases is the meaning: nothing blocked, nothing scorable, suspected
 grouped, ranked, direct, no support. ``n_blocked`` and ``n_scored`` are both given.
+A record that cannot be scored (its margin or confidence is no number) is queued as
+``model_error``, and without any ranker every record is queued as ``no_ranker``; a batch
+goes on in both cases.
 """
 
 from __future__ import annotations
@@ -38,8 +41,10 @@ def decided(at: DataFrame, calibrate=None, policy: Policy = Policy(), grouped_at
     path = F.when(n_blocked == 0, "blocked").when(n_scored == 0, "unscorable").when(grouped, "multiplicity").when(n_scored >= 2, "ranked").when(n_exact == 1, "direct").otherwise("lone")
     at = at.withColumn("path", path)
     sure = calibrate(F.col("margin")) if calibrate else 1 / (1 + F.exp(-F.col("margin")))
+    broken = F.coalesce(F.isnan(sure.cast("double")), F.lit(True)) | F.isnan(F.coalesce(F.col("margin"), F.lit(float("nan"))).cast("double"))
+    at = at.withColumn("path", F.when((F.col("path") == "ranked") & broken, "model_error").otherwise(F.col("path")))
     at = at.withColumn("confidence", F.when(F.col("path") == "ranked", sure).when(F.col("path") == "direct", F.lit(DIRECT)))
-    absent = F.when(F.col("path") == "blocked", "no_candidates").when(F.col("path") == "unscorable", "unscorable").when(F.col("path") == "multiplicity", "grouped").otherwise("no_support")
+    absent = F.when(F.col("path") == "blocked", "no_candidates").when(F.col("path") == "unscorable", "unscorable").when(F.col("path") == "multiplicity", "grouped").when(F.col("path") == "model_error", "model_error").otherwise("no_support")
     at = at.withColumn("absent", F.when(F.col("confidence").isNull(), absent)).withColumn("gate", gate(F.col("confidence"), F.col("amount_minor"), F.col("absent"), policy))
     outcome = F.when(F.col("path") == "blocked", "no_candidate").when(F.col("path") == "unscorable", "unscorable").when(F.col("path") == "multiplicity", "suspected_grouped").when(F.col("gate") == "post", "posted").otherwise("queued")
     chosen = F.when(F.col("path").isin("ranked", "direct", "lone"), F.col("key"))
@@ -51,6 +56,14 @@ def decided(at: DataFrame, calibrate=None, policy: Policy = Policy(), grouped_at
     ).withColumn("explanation", explanation())
 
 
+def without_ranker(bank: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Every record queued, with the columns of :func:`decisions`: what is left to do when no ranker can be loaded."""
+    at = bank.select("record_id", "account", "amount_minor", "day", *[F.lit(0).cast("long").alias(c) for c in ("n_blocked", "n", "n_exact")], F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("margin"), F.lit(None).cast("array<string>").alias("ranked_keys"), F.lit(0.0).alias("p_multiple"))
+    out = decided(at, policy=policy)
+    said = {"outcome": "queued", "path": "no_ranker", "absent": "no_ranker", "explanation": "No ranker was there to score this record; it needs a review."}
+    return out.withColumns({c: F.lit(x) for c, x in said.items()}).withColumn("gate", gate(F.col("confidence"), F.col("amount_minor"), F.col("absent"), policy))
+
+
 def explanation() -> Column:
     """A sentence for a reviewer."""
     key, need = F.col("key"), F.round(F.col("threshold") * 100, 1)
@@ -59,6 +72,7 @@ def explanation() -> Column:
         F.when(F.col("outcome") == "no_candidate", "No ledger entry of this account has this amount or a day near it.")
         .when(F.col("outcome") == "unscorable", "Ledger entries were found, but nothing is known about their keys.")
         .when(F.col("outcome") == "suspected_grouped", "No single entry explains this amount; it may cover several keys.")
+        .when(F.col("path") == "model_error", "This record could not be scored; it needs a review.")
         .when(F.col("confidence").isNull(), F.concat(key, F.lit(" is the only entry near, and its amount differs; nothing supports it.")))
         .when(F.col("outcome") == "posted", F.concat(F.lit("Posted to "), key, F.lit(" at "), sure, F.lit(" %, above the required "), need, F.lit(" %.")))
         .otherwise(F.concat(F.lit("Best entry is "), key, F.lit(" at "), sure, F.lit(" %, below the required "), need, F.lit(" %.")))

@@ -127,3 +127,9 @@ def temporal_split(rows: DataFrame, group: str = "match_id", day: str = "day", t
 def split_overlap(rows: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups in more than one split; a sound split gives no rows."""
     return rows.groupBy(F.col(group).alias("grp")).agg(F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
+
+
+def incumbent(rows: DataFrame, group: str = "match_id", method: str = "method", order: str = "place") -> DataFrame:
+    """How each match was made before: ``MANUAL`` if any of its rows was, else the method of its first row."""
+    by = rows.groupBy(F.col(group).alias("match_id")).agg(F.max(F.col(method) == "MANUAL").alias("by_hand"), F.min_by(method, order).alias("first"))
+    return by.select("match_id", F.when(F.col("by_hand"), "MANUAL").otherwise(F.col("first")).alias("rule"))

@@ -48,32 +48,48 @@ def retain(arrivals: DataFrame, duplicate: float = 0.95, most: int = 50_000) ->
     """``arrivals(seq, case_id, locus, situation)`` in order -> kept cases with their confirmations.
 
     A near duplicate confirms the first case it matches instead of entering; over
-    ``most`` the least confirmed leaves. The order matters, so a locus is worked
-    through in one task; the cases kept, not the arrivals, bound its memory.
+    ``most`` the least confirmed leaves, the earliest of several. The order matters, so a
+    locus is worked through by one task, which takes its rows as they come: what it
+    holds are the cases kept, at most ``most`` of them, not the arrivals.
     """
 
-    def work(pdf):
+    def work(batches):
         import numpy as np
         import pandas as pd
 
-        kept, unit = [], np.empty((0, 0))
-        for row in pdf.sort_values("seq").itertuples():
-            v = np.asarray(row.situation, float)
-            norm = np.linalg.norm(v)
-            u = v / norm if norm else v
-            hits = np.flatnonzero(unit @ u >= duplicate) if len(kept) and norm else []
-            if len(hits):
-                kept[hits[0]][1] += 1
-                continue
-            kept.append([row.case_id, 0, row.seq])
-            unit = np.vstack([unit, u]) if len(kept) > 1 else u[None, :]
-            if len(kept) > most:
-                drop = min(range(len(kept)), key=lambda i: (kept[i][1], kept[i][2]))
-                kept.pop(drop)
-                unit = np.delete(unit, drop, axis=0)
-        return pd.DataFrame({"locus": pdf["locus"].iloc[0], "case_id": [c[0] for c in kept], "confirmations": [c[1] for c in kept]})
-
-    return arrivals.groupBy("locus").applyInPandas(work, "locus string, case_id string, confirmations long")
+        locus, ids, seen, unit, n = None, [], [], None, 0
+
+        def out():
+            return pd.DataFrame({"locus": [locus] * n, "case_id": ids, "confirmations": seen})
+
+        for pdf in batches:
+            for row in pdf.itertuples():
+                if unit is None or row.locus != locus and not (pd.isna(row.locus) and pd.isna(locus)):
+                    if n:
+                        yield out()
+                    locus, ids, seen, unit, n = row.locus, [], [], np.zeros((64, len(row.situation))), 0
+                v = np.asarray(row.situation, float)
+                norm = np.linalg.norm(v)
+                hits = np.flatnonzero(unit[:n] @ (v / norm) >= duplicate) if n and norm else []
+                if len(hits):
+                    seen[hits[0]] += 1
+                    continue
+                if n == len(unit):
+                    unit = np.concatenate([unit, np.zeros_like(unit)])
+                unit[n] = v / norm if norm else v
+                ids.append(row.case_id)
+                seen.append(0)
+                n += 1
+                if n > most:
+                    drop = int(np.argmin(seen))
+                    del ids[drop], seen[drop]
+                    unit[drop : n - 1] = unit[drop + 1 : n]
+                    n -= 1
+        if n:
+            yield out()
+
+    dealt = arrivals.where("situation is not null").select("locus", "seq", "case_id", "situation").repartition("locus").sortWithinPartitions("locus", "seq")
+    return dealt.mapInPandas(work, "locus string, case_id string, confirmations long")
 
 
 def outcomes(applied: DataFrame, least_applied: int = 3, least_right: float = 0.9) -> DataFrame:
@@ -87,7 +103,8 @@ def wrong_keys(labels: DataFrame, keys: DataFrame, seed: int = 7) -> DataFrame:
     pool = positioned(keys.select("key").distinct(), ["key"])
     n = pool.count()
     at = labels.join(pool.withColumnRenamed("key", "label").withColumnRenamed("position", "own"), "label")
-    step = F.pmod(F.xxhash64("record_id", F.lit(seed)), F.lit(max(n - 1, 1))) + 1
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "record_id", F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    step = F.pmod(drawn, F.lit(max(n - 1, 1))) + 1
     at = at.withColumn("position", F.pmod(F.col("own") - 1 + step, F.lit(n)) + 1)
     return at.join(pool, "position").select("record_id", "label", F.col("key").alias("wrong_key"))
 
@@ -97,9 +114,10 @@ def simulate(decisions: DataFrame, truth: DataFrame, *, batch_size: int = 500, s
 
     A key confirmed by feedback is preferred from the next batch on for records of its
     account and amount. Arms: ``off`` gives no feedback, ``corrections`` that of queued
-    records, ``spot_check`` also a share of the posted ones, ``placebo`` confirms wrong
-    keys, ``shuffled`` those of other records. Returns per batch: decided, posted,
-    wrong, corrected.
+    records, ``spot_check`` also a share of the posted ones, ``placebo`` confirms keys of
+    other records, never the right one, in both cases, ``shuffled`` what the batch's next
+    record was told. Returns per batch: decided, posted, wrong, corrected, and the shares
+    that were posted (autonomy) and rightly so (precision).
     """
     if arm not in ("off", "corrections", "spot_check", "placebo", "shuffled"):
         raise ValueError(f"unknown arm {arm}")
@@ -109,11 +127,14 @@ def simulate(decisions: DataFrame, truth: DataFrame, *, batch_size: int = 500, s
     seen = F.col("outcome") == "queued"
     if arm in ("spot_check", "placebo", "shuffled"):
         seen = seen | ((F.col("outcome") == "posted") & (share < spot_check))
-    told = {"corrections": F.col("label"), "spot_check": F.col("label"), "placebo": F.concat(F.col("label"), F.lit("?")), "shuffled": F.lead("label").over(Window.partitionBy("batch").orderBy("record_id"))}.get(arm, F.lit(None))
+    if arm == "placebo":
+        at = at.join(wrong_keys(at.select("record_id", "label"), at.select(F.col("label").alias("key")), seed).select("record_id", "wrong_key"), "record_id", "left")
+    told = {"corrections": F.col("label"), "spot_check": F.col("label"), "placebo": F.col("wrong_key") if arm == "placebo" else None, "shuffled": F.lead("label").over(Window.partitionBy("batch").orderBy("record_id"))}.get(arm, F.lit(None))
     told = at.withColumn("told", told).where(seen & F.col("told").isNotNull()).select("account", "amount_minor", "batch", "told")
     known = told.groupBy("account", "amount_minor", "batch").agg(F.min("told").alias("told")).withColumnRenamed("batch", "known_from")
     use = at.join(known, ["account", "amount_minor"], "left").withColumn("told", F.when(F.col("known_from") < F.col("batch"), F.col("told")))
     use = use.groupBy("record_id", "batch", "outcome", "key", "label").agg(F.max_by("told", "known_from").alias("told"))
     final = F.coalesce("told", "key")
     posted = (F.col("outcome") == "posted") | F.col("told").isNotNull()
-    return use.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.count_if(posted).alias("posted"), F.count_if(posted & (final != F.col("label"))).alias("wrong"), F.count_if(F.col("outcome") == "queued").alias("corrected"))
+    by = use.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.count_if(posted).alias("posted"), F.count_if(posted & (final != F.col("label"))).alias("wrong"), F.count_if(F.col("outcome") == "queued").alias("corrected"))
+    return by.withColumn("autonomy", F.round(F.col("posted") / F.col("n"), 6)).withColumn("precision", F.round(1 - F.try_divide("wrong", "posted"), 6))

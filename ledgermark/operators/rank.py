@@ -32,5 +32,5 @@ def training_pairs(pair_rows: DataFrame, negatives: int = 24, seed: int = 7) ->
     """Pairs of single-key records whose key is a candidate: the right one and up to ``negatives`` others, by a seeded hash."""
     right = (F.col("key") == F.col("label")).cast("int")
     rows = pair_rows.where("not is_mult").withColumn("is_label", right).withColumn("has", F.max("is_label").over(Window.partitionBy("record_id"))).where("has = 1")
-    order = Window.partitionBy("record_id").orderBy(F.col("is_label").desc(), F.xxhash64("record_id", "key", F.lit(seed)), "key")
+    order = Window.partitionBy("record_id").orderBy(F.col("is_label").desc(), F.md5(F.concat_ws("|", "record_id", "key", F.lit(str(seed)))), "key")
     return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= negatives + 1).drop("r", "has")

@@ -109,6 +109,22 @@ def verdicts(solved: DataFrame, truth: DataFrame, cand: DataFrame, cap: int = 64
     return at.select("record_id", verdict.alias("verdict"), ((F.coalesce("held", F.lit(0)) < F.size("truth")) | (F.col("n_pool") > cap)).alias("unreachable"))
 
 
+def listing(solved: DataFrame, truth: DataFrame, cand: DataFrame, top: int = 50) -> DataFrame:
+    """The ``top`` largest settlements with answer, true parts and verdict."""
+    at = solved.orderBy(F.abs("target").desc(), "record_id").limit(top)
+    said = verdicts(at, truth.join(at.select("record_id"), "record_id", "left_semi"), cand)
+    return at.join(said, "record_id").join(truth, "record_id").select("record_id", "target", "n_pool", "status", F.coalesce("members", F.lit("")).alias("members"), F.array_join("truth", ",").alias("truth"), "verdict", "unreachable")
+
+
+def rates(solved: DataFrame, truth: DataFrame, cand: DataFrame) -> DataFrame:
+    """By the true number of parts: coverage (answered), precision of answers, share of wrong ones, and how many could not be reached."""
+    said = verdicts(solved, truth, cand).join(truth.select("record_id", F.size("truth").cast("long").alias("true_size")), "record_id")
+    found, wrong = (F.count_if(F.col("verdict") == v) for v in ("found", "wrong"))
+    by = said.groupBy("true_size").agg(F.count("*").alias("n"), found.alias("found"), wrong.alias("wrong"), F.count_if("unreachable").alias("unreachable"))
+    answered = F.col("found") + F.col("wrong")
+    return by.select("true_size", "n", F.round(answered / F.col("n"), 6).alias("coverage"), F.round(F.try_divide("found", answered), 6).alias("precision"), F.round(F.col("wrong") / F.col("n"), 6).alias("wrong_rate"), "unreachable")
+
+
 def near_events(events: DataFrame, first: str, second: str, days: int) -> DataFrame:
     """Pairs of two kinds of a user's events within some days: a band join by bins, counted per user."""
     width = days * 86_400

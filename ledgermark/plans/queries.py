@@ -49,15 +49,17 @@ class View:
     def scored(self) -> DataFrame:
         return rank.rules_score(self.pairs())
 
-    def decisions(self) -> DataFrame:
-        """One pass over the pairs gives counts, exact hits and ranking."""
+    def features(self) -> DataFrame:
+        """What a decision needs of each record; one pass over the pairs gives counts, exact hits and ranking."""
         p = self.pairs()
         score = 4.0 / (1.0 + F.col("amount_delta_abs")) + 1.0 / (1.0 + F.col("date_gap_abs"))
         by = p.groupBy("record_id").agg(F.count("*").alias("n"), F.sum("amount_exact").cast("long").alias("n_exact"), F.array_sort(F.collect_list(F.struct((-score).alias("worse"), F.col("key").alias("key")))).alias("r"))
         by = by.select("record_id", "n", F.col("n").alias("n_blocked"), "n_exact", F.col("r")[0]["key"].alias("key"), (F.get("r", F.lit(1))["worse"] - F.col("r")[0]["worse"]).alias("margin"), F.transform("r", lambda x: x["key"]).alias("ranked_keys"))
         at = self.bank.select("record_id", "account", "amount_minor", "day").join(by, "record_id", "left")
-        at = at.withColumn("p_multiple", F.when(F.coalesce("n_exact", F.lit(0)) > 0, 0.0).otherwise(1.0))
-        return decide.decided(at)
+        return at.withColumn("p_multiple", F.when(F.coalesce("n_exact", F.lit(0)) > 0, 0.0).otherwise(1.0))
+
+    def decisions(self) -> DataFrame:
+        return decide.decided(self.features())
 
     def judged(self) -> DataFrame:
         return self.decisions().join(self.bank.select("record_id", "label", "is_mult", "match_id"), "record_id")
@@ -208,12 +210,22 @@ query(
     BASE.rstrip() + """, g AS (SELECT match_id AS grp, min(day) AS first_day FROM bank GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY first_day, grp) AS p, count(*) OVER () AS n FROM g WHERE first_day IS NOT NULL)
       SELECT grp, CAST(first_day AS VARCHAR) AS first_day, CASE WHEN p <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN p <= floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM r UNION ALL SELECT grp, NULL, 'train' FROM g WHERE first_day IS NULL""",
 )(v(lambda x: evaluate.temporal_split(x.bank).withColumn("first_day", F.col("first_day").cast("string"))))
-query("split_overlap", BASE + "SELECT match_id AS grp, count(DISTINCT record_id) AS n_splits FROM bank GROUP BY 1 HAVING count(DISTINCT record_id) > 1")(v(lambda x: evaluate.split_overlap(x.bank, "match_id", "record_id")))
+query("split_overlap", BASE + f"SELECT account AS grp, count(DISTINCT split) AS n_splits FROM bank JOIN ({SQL['temporal_split']}) s ON s.grp = bank.match_id GROUP BY 1 HAVING count(DISTINCT split) > 1")(
+    v(lambda x: evaluate.split_overlap(x.bank.join(_split(x), "match_id"), "account"))
+)
+
+
+def _methods(x: View) -> DataFrame:
+    """How lines were matched before: by hand at the two highest discounts, else by the line's place."""
+    at = table(x.spark, x.sf_dir, "lineitem")
+    return at.select(F.concat(F.lit("m"), "l_orderkey").alias("match_id"), F.col("l_linenumber").alias("place"), F.when(F.col("l_discount") >= 0.09, "MANUAL").otherwise(F.concat(F.lit("RULE-"), F.col("l_linenumber").cast("string"))).alias("method"))
+
+
 query(
     "incumbent_compare",
-    DECISIONS.rstrip() + """, i AS (SELECT *, hash_rule = 0 AS by_hand FROM (SELECT *, CAST(replace(replace(match_id, 'mg', ''), 'm', '') AS VARCHAR) AS m, length(match_id) % 3 AS hash_rule FROM decided))
-      SELECT CASE WHEN by_hand THEN 'MANUAL' ELSE 'AUTO' END AS rule, count(*) AS n, count(*) FILTER (outcome = 'posted') AS posted, count(*) FILTER (outcome = 'posted' AND key = label) AS posted_right FROM i GROUP BY 1""",
-)(v(lambda x: x.judged().withColumn("rule", F.when(F.length("match_id") % 3 == 0, "MANUAL").otherwise("AUTO")).groupBy("rule").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "posted").alias("posted"), F.count_if((F.col("outcome") == "posted") & (F.col("key") == F.col("label"))).alias("posted_right"))))
+    DECISIONS.rstrip() + """, m AS (SELECT 'm' || l_orderkey AS match_id, CASE WHEN bool_or(l_discount >= 0.09) THEN 'MANUAL' ELSE 'RULE-' || min(l_linenumber) END AS rule FROM lineitem GROUP BY 1)
+      SELECT coalesce(rule, 'NONE') AS rule, count(*) AS n, count(*) FILTER (outcome = 'posted') AS posted, count(*) FILTER (outcome = 'posted' AND key = label) AS posted_right FROM decided LEFT JOIN m USING (match_id) GROUP BY 1""",
+)(v(lambda x: x.judged().join(evaluate.incumbent(_methods(x)), "match_id", "left").groupBy(F.coalesce("rule", F.lit("NONE")).alias("rule")).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "posted").alias("posted"), F.count_if((F.col("outcome") == "posted") & (F.col("key") == F.col("label"))).alias("posted_right"))))
 query(
     "blocking_report",
     CAND.rstrip() + """, n AS (SELECT b.record_id, b.is_mult, count(c.key) AS n, max((c.key = b.label)::INT) AS hit FROM bank b LEFT JOIN cand c USING (record_id) GROUP BY 1, 2)
@@ -314,11 +326,22 @@ query(
        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, case_id) AS rank FROM s WHERE sim >= 0.1) SELECT query_id, case_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
 )(v(lambda x: settle.retrieve_vectors(table(x.spark, x.sf_dir, "embeddings"))))
 query("case_outcomes", "SELECT CAST(user_id AS VARCHAR) AS case_id, count(*) AS applications, round(count(*) FILTER (event_type <> 'purchase') / count(*)::DOUBLE, 6) AS accuracy, count(*) >= 3 AND count(*) FILTER (event_type <> 'purchase') / count(*)::DOUBLE < 0.9 AS retired FROM events GROUP BY 1")(v(lambda x: learn.outcomes(table(x.spark, x.sf_dir, "events").select(F.col("user_id").cast("string").alias("case_id"), (F.col("event_type") != "purchase").alias("correct")))))
-query("negative_sample")(v(lambda x: rank.training_pairs(x.pairs()).select("record_id", "key", "is_label")))
-query("placebo_keys")(v(lambda x: learn.wrong_keys(x.bank.where("not is_mult").select("record_id", "label"), x.ledger.select("key"))))
+query("negative_sample", PAIRED.rstrip() + """, s AS (SELECT record_id, key, (key = label)::INT AS is_label, max((key = label)::INT) OVER (PARTITION BY record_id) AS has FROM pairs WHERE NOT is_mult)
+   SELECT record_id, key, is_label FROM s WHERE has = 1 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY is_label DESC, md5(concat_ws('|', record_id, key, '7')), key) <= 25""")(v(lambda x: rank.training_pairs(x.pairs()).select("record_id", "key", "is_label")))
+query("placebo_keys", BASE.rstrip() + """, k AS (SELECT key, row_number() OVER (ORDER BY key) AS p, count(*) OVER () AS n FROM (SELECT DISTINCT key FROM ledger)),
+   d AS (SELECT record_id, label, (p - 1 + CAST('0x' || substr(md5(concat_ws('|', record_id, '7')), 1, 8) AS BIGINT) % greatest(n - 1, 1) + 1) % n + 1 AS q FROM bank JOIN k ON k.key = label WHERE NOT is_mult)
+   SELECT record_id, label, k.key AS wrong_key FROM d JOIN k ON k.p = d.q""")(v(lambda x: learn.wrong_keys(x.bank.where("not is_mult").select("record_id", "label"), x.ledger.select("key"))))
 query("case_retain")(v(lambda x: learn.retain(table(x.spark, x.sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.concat(F.lit("c"), "vec_id").alias("case_id"), F.col("label").cast("string").alias("locus"), F.col("embedding").alias("situation")))))
 query("learning_arms")(v(lambda x: settle.arms(x.decisions(), x.bank.where("not is_mult").select("record_id", "label"))))
-query("group_proposals")(v(lambda x: solver.solve_general(x.bank.where("is_mult").select("record_id", F.col("amount_minor").alias("target")), solver.pools(x.cand(), x.ledger), tolerance=100, cap=solver.CAP)))
+query("group_proposals", CAND.rstrip() + """, pool AS (SELECT DISTINCT c.record_id, c.key, l.amount_minor AS amount FROM cand c JOIN ledger l USING (key) WHERE c.record_id IN (SELECT record_id FROM bank WHERE is_mult)),
+   t AS (SELECT b.record_id, b.amount_minor AS target, p.n FROM bank b JOIN (SELECT record_id, count(*) AS n FROM pool GROUP BY 1) p USING (record_id) WHERE is_mult),
+   it AS (SELECT p.*, target, row_number() OVER (PARTITION BY p.record_id ORDER BY p.key, p.amount) AS i FROM pool p JOIN t USING (record_id) WHERE n <= 64 AND amount > 0 AND amount <= target + 100),
+   w AS (SELECT record_id, target, 1 AS k, amount AS total, key AS m FROM it WHERE abs(target - amount) <= 100
+     UNION ALL SELECT a.record_id, a.target, 2, a.amount + b.amount, array_to_string(list_sort([a.key, b.key]), ',') FROM it a JOIN it b ON a.record_id = b.record_id AND a.i < b.i WHERE abs(a.target - a.amount - b.amount) <= 100
+     UNION ALL SELECT a.record_id, a.target, 3, a.amount + b.amount + c.amount, array_to_string(list_sort([a.key, b.key, c.key]), ',') FROM it a JOIN it b ON a.record_id = b.record_id AND a.i < b.i AND a.amount + b.amount < a.target + 100 JOIN it c ON c.record_id = b.record_id AND b.i < c.i WHERE abs(a.target - a.amount - b.amount - c.amount) <= 100),
+   g AS (SELECT record_id, target, k, total, count(*) AS ways, min(m) AS m FROM w GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY abs(target - total), total > target, k, total) = 1)
+   SELECT t.record_id, CASE WHEN n > 64 THEN 'too_large' WHEN ways IS NULL THEN 'infeasible' WHEN ways = 1 THEN 'solved' ELSE 'ambiguous' END AS status, CASE WHEN ways = 1 THEN m ELSE '' END AS members, CAST(CASE WHEN ways IS NULL THEN t.target ELSE t.target - total END AS BIGINT) AS residual
+   FROM t LEFT JOIN g USING (record_id)""")(v(lambda x: solver.solve_general(x.bank.where("is_mult").select("record_id", F.col("amount_minor").alias("target")), solver.pools(x.cand(), x.ledger), tolerance=100, cap=solver.CAP)))
 
 query(
     "settlement_verdicts",
@@ -327,6 +350,23 @@ query(
       SELECT CASE WHEN status = 'solved' AND m = x.members THEN 'found' WHEN status = 'solved' THEN 'wrong' WHEN status = 'ambiguous' THEN 'two fit' ELSE 'unresolved' END AS verdict, held < h.n OR n_pool > 64 AS unreachable, count(*) AS n
       FROM x JOIN h USING (record_id) GROUP BY ALL""",
 )(v(lambda x: settle.verdicts(_solved(x), x.ledger.groupBy(F.concat(F.lit("g"), F.concat_ws("_", "account", "day")).alias("record_id")).agg(F.array_sort(F.collect_list("key")).alias("truth")), x.cand()).groupBy("verdict", "unreachable").agg(F.count("*").alias("n"))))
+
+
+def _truth(x: View) -> DataFrame:
+    return x.ledger.groupBy(F.concat(F.lit("g"), F.concat_ws("_", "account", "day")).alias("record_id")).agg(F.array_sort(F.collect_list("key")).alias("truth"))
+
+
+_VERDICTS = SOLVED + f""", {_TRUE}, c AS (SELECT record_id, key FROM cand GROUP BY 1, 2),
+  h AS (SELECT p.record_id, count(*) FILTER (c.key IS NOT NULL) AS held, count(*) AS size FROM (SELECT record_id, unnest(string_split(members, ',')) AS k FROM truth) p LEFT JOIN c ON c.record_id = p.record_id AND c.key = p.k GROUP BY 1),
+  verdicts AS (SELECT s.record_id, target, n_pool, status, CASE WHEN status = 'solved' THEN coalesce(m, '') ELSE '' END AS members, t.members AS truth, size AS true_size, held < size OR n_pool > 64 AS unreachable,
+     CASE WHEN status = 'solved' AND m = t.members THEN 'found' WHEN status = 'solved' THEN 'wrong' WHEN status = 'ambiguous' THEN 'two fit' ELSE 'unresolved' END AS verdict
+     FROM solved s JOIN truth t USING (record_id) JOIN h USING (record_id))"""
+query("settlement_listing", _VERDICTS + "SELECT record_id, target, n_pool, status, members, truth, verdict, unreachable FROM verdicts WHERE record_id IN (SELECT record_id FROM solved ORDER BY abs(target) DESC, record_id LIMIT 50)")(v(lambda x: settle.listing(_solved(x), _truth(x), x.cand())))
+query(
+    "solver_rates",
+    _VERDICTS + """SELECT true_size, count(*) AS n, round(count(*) FILTER (verdict IN ('found', 'wrong')) / count(*)::DOUBLE, 6) AS coverage, round(count(*) FILTER (verdict = 'found') / nullif(count(*) FILTER (verdict IN ('found', 'wrong')), 0)::DOUBLE, 6) AS precision,
+      round(count(*) FILTER (verdict = 'wrong') / count(*)::DOUBLE, 6) AS wrong_rate, count(*) FILTER (unreachable) AS unreachable FROM verdicts GROUP BY 1""",
+)(v(lambda x: settle.rates(_solved(x), _truth(x), x.cand())))
 query("case_totals", "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT count(*) AS n_cases, CAST(sum(n) AS BIGINT) AS confirmations FROM c")(v(lambda x: table(x.spark, x.sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_cases"), F.sum("n").alias("confirmations"))))
 query("latest_cases", "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 10")(v(lambda x: table(x.spark, x.sf_dir, "events").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(10)))
 query("rank_of_label", RANKED + "SELECT record_id, CAST(rank AS BIGINT) AS position FROM ranks WHERE key = label")(v(lambda x: rank.ranked(x.scored()).join(x.bank.select("record_id", "label"), "record_id").select("record_id", learn.rank_of(F.array("label"), F.col("ranked_keys")).alias("position")).where("position is not null")))
@@ -336,7 +376,7 @@ query("train_test_keys", BASE + ", g AS (SELECT DISTINCT label FROM bank WHERE N
 query("near_events", "SELECT a.user_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 7 DAY AND a.ts + INTERVAL 7 DAY WHERE a.event_type = 'purchase' AND b.event_type = 'click' GROUP BY 1")(
     v(lambda x: settle.near_events(table(x.spark, x.sf_dir, "events"), "purchase", "click", 7))
 )
-query("narrated", None)(v(lambda x: narrate.narrated(_residuals(x).withColumn("cause", F.col("causes")[0]["cause"]))))
+query("narrated", f"SELECT record_id, cause, sentence, 'template' AS source FROM ({SQL['residual_template']})")(v(lambda x: narrate.narrated(_residuals(x).withColumn("cause", F.col("causes")[0]["cause"]))))
 
 query(
     "audit_rows",
@@ -344,6 +384,14 @@ query(
 )(v(lambda x: audit.entries(x.decisions()).select("record_id", "path", "outcome", "key", "n_candidates", "amount_minor", F.round("threshold", 9).alias("threshold"), "policy_version", "kind", "seq")))
 
 
+query("no_ranker", BASE + "SELECT 'queued' AS outcome, 'no_ranker' AS path, count(*) AS n, count(*) FILTER (amount_minor < 0) AS negative FROM bank")(
+    v(lambda x: decide.without_ranker(x.bank).groupBy("outcome", "path").agg(F.count("*").alias("n"), F.count_if(F.col("amount_minor") < 0).alias("negative")))
+)
+# scores are made unusable for every third order: the batch goes on, and these records are queued
+query("model_errors", DECISIONS + "SELECT CASE WHEN path = 'ranked' AND confidence IS NOT NULL AND amount_minor % 3 = 0 THEN 'model_error' ELSE path END AS path, CASE WHEN path = 'ranked' AND confidence IS NOT NULL AND amount_minor % 3 = 0 THEN 'queued' ELSE outcome END AS outcome, count(*) AS n FROM decided GROUP BY ALL")(
+    v(lambda x: decide.decided(x.features().withColumn("margin", F.when(F.col("amount_minor") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("margin")))).groupBy("path", "outcome").agg(F.count("*").alias("n")))
+)
+
 # uploads: orders written as files with faults, and read again
 
 
@@ -436,7 +484,7 @@ def isotonic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("stream_parity")
+@query("stream_parity", DECISIONS + "SELECT outcome, outcome AS streamed, count(*) AS n, CAST(0 AS BIGINT) AS differ FROM decided GROUP BY 1")
 def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose streamed decision differs from the batch one, by outcome; equal plans give none."""
     x = View(spark, sf_dir)
