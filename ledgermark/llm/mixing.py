@@ -9,7 +9,7 @@ the last residual of a source moves its words away from the target, by less than
 that row's size.
 
 Rows meet in a reduction tree: leaves of about ``leaf`` rows, chosen by a hash of
-the key, leave one residual for each source and leaf; residuals of ``leaf`` leaves
+key and text, so that rows without a key spread too, leave one residual for each source and leaf; residuals of ``leaf`` leaves
 meet in the next level, and so on. Randomness is a hash of seed, level and key, so
 reruns and other partitionings agree.
 
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     n, kind = slim.count(), slim.schema["key"].dataType.simpleString()
     leaves, level, done = max(1, -(-n // leaf)), 0, []
-    rows = at.withColumn("base", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.floor(ratio)).withColumn("leaf", F.pmod(F.xxhash64(F.lit(seed), "key", "size"), F.lit(leaves)))
+    rows = at.withColumn("base", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.floor(ratio)).withColumn("leaf", F.pmod(F.xxhash64(F.lit(seed), "key", "size", "h"), F.lit(leaves)))
     while True:
         got = written(rows.groupBy("leaf").applyInPandas(_leaf(seed, level, leaves == 1), f"key {kind}, source string, size long, h long, source_size long, target double, base long, leaf long, fraction double, done boolean"), "mix-level")
         done.append(got.where("done"))

@@ -106,6 +106,20 @@ def test_mix_of_empty_and_wordless_tables(spark):
     assert mixing.mixed(df.union(df)).columns == df.columns
 
 
+def test_mixed_rows_are_those_taken(spark):
+    random.seed(13)
+    texts = ["", None, "one", "two words", "three words here"] * 30 + [" ".join("w" for _ in range(random.randint(1, 60))) for _ in range(200)]
+    rows = [(None if i % 3 == 0 else i % 40, t, random.choice("ab"), i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, source string, extra long")
+    want = Counter()
+    for r in mixing.mix(df, leaf=16).collect():
+        want[r["key"], r["h"]] += r["copies"]
+    got = Counter((r["doc_id"], r["h"]) for r in mixing.mixed(df, leaf=16).withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))).collect())
+    assert got == +want and sum(got.values()) > 100
+    known = {(k, t, s, e) for k, t, s, e in rows}
+    assert {tuple(r) for r in mixing.mixed(df, leaf=16).collect()} <= known
+
+
 # 2
 
 SECRETS = [
