@@ -44,5 +44,5 @@ def situation(cause: Column, residual: Column, lines: Column) -> Column:
 
 def figures_allowed(text: Column, allowed: Column) -> Column:
     """Whether every figure in a text equals one of ``allowed`` (decimals) by value, sign aside."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(\d[\d,]*(?:\.\d+)?)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(38,6)"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(38,6)"))
     return F.forall(found, lambda x: F.exists(allowed, lambda a: F.abs(a.cast("decimal(38,6)")) == x))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgermark.functions.residual import TEMPLATES, sentence, situation
 
-_FIGURE = re.compile(r"\d[\d,]*(?:\.\d+)?")
+_FIGURE = re.compile(r"[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?")
 
 
 def json_part(text: str):
