@@ -1,6 +1,7 @@
 """The operators against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -573,7 +574,6 @@ def test_quality_edges(spark):
 
 
 def test_quality_equals_brute_force(spark, duck):
-    import math
 
     docs = duck.execute("SELECT doc_id, text, source, lang FROM documents").fetchall() + [(-1, None, None, "en"), (-2, "", "s", None), (-1, None, None, "en")]
     labels = duck.execute("SELECT doc_id, quality FROM labels").fetchall() + [(0, 1), (0, 0), (10**9, 1), (None, 0), (3, None)]
@@ -646,10 +646,25 @@ def test_top_k_edges(spark):
     for shard, block in ((512, 512), (2, 1)):
         got = [tuple(r) for r in topk.top_k(df, lambda k: k % 50 == 0, shard=shard, block=block, fan=2).orderBy("query_id", "rank").collect()]
         s = 256 * 256 + 512 * 512
-        assert got[0][:3] == (0, 1, 8) and got[1:5] == [(0, 2, 1, s), (0, 3, 2, s), (0, 4, 50, s), (0, 5, None, s)] and len(got) == 10
+        assert got[0][:3] == (0, 1, 8) and got[1:5] == [(0, 2, 1, s), (0, 3, 2, s), (0, 4, 2, s), (0, 5, 50, s)] and len(got) == 10
     assert topk.top_k(df.limit(0), lambda k: k % 50 == 0).count() == 0
 
 
+def test_top_k_bars_only_the_query_row(spark):
+    rng = random.Random(9)
+    data = [(rng.choice([0, 50, 100, 1, 2, 3, None]), [rng.randint(0, 2) / 2, rng.randint(0, 2) / 2]) for _ in range(60)] + [(150, [1.0, 0.5])] * 7
+    df = spark.createDataFrame([(*d, "x", 1, 2, 3) for d in data], "vec_id long, embedding array<double>, row string, n int, part int, dim int")
+    q = [[math.floor(256 * x) for x in v] for _, v in data]
+    want = []
+    for i, (key, _) in enumerate(data):
+        if key is not None and key % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), data[j][0] is None, data[j][0] or 0) for j in range(len(data)) if j != i)[:5]
+            want += [(key, r, None if none else k, -s) for r, (s, none, k) in enumerate(found, 1)]
+    for shard, block in ((512, 512), (3, 2)):
+        got = [tuple(r) for r in topk.top_k(df, lambda k: k % 50 == 0, shard=shard, block=block, fan=2).collect()]
+        assert Counter(got) == Counter(want)
+
+
 # 10
 
 
