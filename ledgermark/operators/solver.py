@@ -1,19 +1,19 @@
 """Smallest unique subset of a record's pool that sums to its amount.
 
-Up to three parts without tolerance the search is three joins, the last one only for
-records that one or two parts do not explain; anything else runs per record in a bounded
-dynamic programme. Pools over ``cap`` entries and targets over ``ceiling`` are ``too_large``.
+Up to three parts without tolerance the search runs inside the row, over the record's
+pool as an array sorted by amount: the pool is bounded by ``cap``, so nothing is paired by
+a join, and three parts are tried only where fewer do not explain the record. Anything
+else runs per record in a bounded dynamic programme. Pools over ``cap`` entries and
+targets over ``ceiling`` are ``too_large``.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermark.functions.order import checkpointed
-
 CAP = 64
 CEILING = 5_000_000_000
 
@@ -27,14 +27,12 @@ def solve(targets: DataFrame, pool: DataFrame, cap: int = CAP, ceiling: int = CE
     """``targets(record_id, target)`` -> ``record_id, target, n_pool, status, k, members`` (sorted keys joined by commas)."""
     sized = pool.groupBy("record_id").agg(F.count("*").alias("n_pool"))
     todo = targets.join(sized, "record_id", "left").withColumn("n_pool", F.coalesce("n_pool", F.lit(0)).cast("long"))
-    order = Window.partitionBy("record_id").orderBy("key", "amount")
     small = todo.where((F.col("n_pool") <= cap) & (F.col("target") > 0) & (F.col("target") <= ceiling))
-    items = pool.join(small.select("record_id", "target"), "record_id").where("amount > 0 and amount <= target").withColumn("i", F.row_number().over(order))
-    items = checkpointed(items.select("record_id", "target", "i", "key", "amount"))
-    few = checkpointed(_ways(items, 2))
-    rest = items.join(few.select("record_id").distinct(), "record_id", "left_anti")
-    found = few.union(_ways(rest, 3))
-    best = found.groupBy("record_id").agg(F.min(F.struct("k", "ways", "keys")).alias("f"))
+    items = pool.join(small.select("record_id", "target"), "record_id").where("amount > 0 and amount <= target")
+    held = items.groupBy("record_id", "target").agg(F.array_sort(F.collect_list(F.struct("amount", "key"))).alias("items"))
+    few = held.withColumn("found", F.coalesce(*(F.when(F.size(w) > 0, w) for w in (_ways(1), _ways(2)))))
+    found = few.withColumn("found", F.coalesce("found", _ways(3))).where(F.size("found") > 0)
+    best = found.select("record_id", F.struct(F.size(F.col("found")[0]).alias("k"), F.size("found").alias("ways"), F.array_sort(F.col("found")[0]).alias("keys")).alias("f"))
     out = todo.join(best, "record_id", "left")
     status = F.when(F.col("target") < 0, "invalid").when(F.col("target") == 0, "solved").when((F.col("n_pool") > cap) | (F.col("target") > ceiling), "too_large").when(F.col("f").isNull(), "infeasible").when(F.col("f.ways") == 1, "solved").otherwise("ambiguous")
     out = out.withColumn("status", status)
@@ -42,19 +40,23 @@ def solve(targets: DataFrame, pool: DataFrame, cap: int = CAP, ceiling: int = CE
     return out.select("record_id", "target", "n_pool", "status", F.when(solved, F.col("f.k")).when(F.col("target") == 0, 0).alias("k"), F.when(solved, F.array_join("f.keys", ",")).when(F.col("target") == 0, "").alias("members"))
 
 
-def _ways(items: DataFrame, parts: int) -> DataFrame:
-    """Ways to make a record's target from one or two (``parts`` 2), or three of its items: ``record_id, k, ways, keys``."""
-    a = items.select("record_id", "target", F.col("i").alias("i1"), F.col("key").alias("k1"), F.col("amount").alias("a1"))
-    b = items.select("record_id", F.col("i").alias("i2"), F.col("key").alias("k2"), F.col("amount").alias("a2"))
-    c = items.select("record_id", F.col("i").alias("i3"), F.col("key").alias("k3"), F.col("amount").alias("a3"))
-    if parts == 2:
-        one = a.where("a1 = target").select("record_id", F.lit(1).alias("k"), F.array("k1").alias("keys"))
-        left = a.withColumn("a2", F.col("target") - F.col("a1")).where("a2 > 0")
-        found = one.union(left.join(b, ["record_id", "a2"]).where("i1 < i2").select("record_id", F.lit(2).alias("k"), F.array("k1", "k2").alias("keys")))
-    else:
-        both = a.join(b, "record_id").where("i1 < i2 and a1 + a2 < target").withColumn("a3", F.expr("target - a1 - a2"))
-        found = both.join(c, ["record_id", "a3"]).where("i2 < i3").select("record_id", F.lit(3).alias("k"), F.array("k1", "k2", "k3").alias("keys"))
-    return found.groupBy("record_id", "k").agg(F.count("*").alias("ways"), F.min(F.array_sort("keys")).alias("keys"))
+def _ways(parts: int) -> Column:
+    """The ways to make ``target`` of so many ``items``, each way as an array of keys.
+
+    Items ascend by amount, so a part is tried only if the ones after it, none of them
+    smaller, still fit.
+    """
+    items = F.col("items")
+
+    def more(left: Column, start: Column, parts: int) -> Column:
+        rest = F.slice(items, start, F.size(items))
+        if parts == 1:
+            return F.transform(F.filter(rest, lambda x: x["amount"] == left), lambda x: F.array(x["key"]))
+        none = F.array().cast("array<array<string>>")
+        tried = F.transform(rest, lambda x, i: F.when(x["amount"] * parts <= left, F.transform(more(left - x["amount"], start + i + 1, parts - 1), lambda w: F.concat(F.array(x["key"]), w))).otherwise(none))
+        return F.flatten(tried)
+
+    return more(F.col("target"), F.lit(1), parts)
 
 
 def solve_one(target: int, amounts: list[int], *, tolerance: int = 0, most: int = 3, cap: int = CAP, ceiling: int = CEILING, unique: bool = True) -> tuple[str, list[int], int]:
