@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermark.functions.order import checkpointed
+from ledgermark.operators.evaluate import reliability
 from ledgermark.operators.features import MULT, PAIR
 
 
@@ -47,9 +50,37 @@ def fit_isotonic(rows: DataFrame):
     return IsotonicRegression(featuresCol="margin", labelCol="right").fit(rows.select(F.col("margin").cast("double"), F.col("right").cast("double")))
 
 
+def fit_platt(rows: DataFrame) -> PipelineModel:
+    """A sigmoid of the margin, with the weight's square at unit strength against the summed loss; rows as for :func:`fit_isotonic`."""
+    n = rows.count()
+    sigmoid = LogisticRegression(labelCol="right", regParam=1 / max(n, 1), standardization=False)
+    return Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="features"), sigmoid]).fit(rows.select(F.col("margin").cast("double"), F.col("right").cast("double")))
+
+
 def calibrated(model, rows: DataFrame) -> DataFrame:
     out = model.transform(rows.where("margin is not null"))
-    return out.withColumn("confidence", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).drop("prediction")
+    sure = vector_to_array("probability")[1] if "probability" in out.columns else F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))
+    return out.withColumn("confidence", sure).select(*rows.columns, "confidence")
+
+
+def calibration_error(model, rows: DataFrame) -> float:
+    at = calibrated(model, rows).select(F.col("confidence").alias("score"), F.col("right").cast("double").alias("truth"))
+    return reliability(at).agg(F.coalesce(F.sum("ece_part"), F.lit(0.0))).first()[0]
+
+
+def pick_calibrator(rows: DataFrame) -> tuple[str, PipelineModel]:
+    """``rows(record_id, margin, right)`` of validation records -> kind and model of the better calibrator.
+
+    Both kinds are fitted on one half of the records, by a hash of their id, and compared
+    by calibration error on the other; the better one, the sigmoid of two equal ones, is
+    fitted again on all rows. Nothing is chosen on the records that report it.
+    """
+    rows = checkpointed(rows.where("margin is not null").select("margin", F.col("right").cast("double").alias("right"), (F.pmod(F.xxhash64("record_id"), F.lit(2)) == 0).alias("fitted")))
+    kinds = {"platt": fit_platt, "isotonic": lambda at: PipelineModel(stages=[fit_isotonic(at)])}
+    fit_on, judge_on = rows.where("fitted"), rows.where("not fitted")
+    errors = {kind: calibration_error(fit(fit_on), judge_on) for kind, fit in kinds.items()}
+    kind = min(errors, key=errors.get)
+    return kind, kinds[kind](rows)
 
 
 def importances(model, columns) -> list[tuple[str, float]]:

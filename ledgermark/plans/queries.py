@@ -471,15 +471,17 @@ def gbt_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("isotonic_gate")
 def isotonic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration error of sigmoid and isotonic confidence on the test split; isotonic is fitted on validation."""
+    """Calibration error on the test split of the bare sigmoid, and of Platt's and isotonic confidence fitted on validation; which of the two is picked there."""
     x = View(spark, sf_dir)
     at = rank.ranked(x.scored()).join(x.bank, "record_id").join(_split(x), "match_id").where("margin is not null")
-    at = checkpointed(at.select("split", "margin", (F.col("key") == F.col("label")).cast("int").alias("right")))
-    model = models.fit_isotonic(at.where("split = 'val'"))
-    test = models.calibrated(model, at.where("split = 'test'"))
+    at = checkpointed(at.select("record_id", "split", "margin", (~F.col("is_mult") & (F.col("key") == F.col("label"))).cast("int").alias("right")))
+    val, test = at.where("split = 'val'"), at.where("split = 'test'")
+    picked, _ = models.pick_calibrator(val)
+    sure = {"isotonic": models.calibrated(models.fit_isotonic(val), test), "platt": models.calibrated(models.fit_platt(val), test), "sigmoid": test.withColumn("confidence", 1 / (1 + F.exp(-F.col("margin"))))}
     out = None
-    for name, score in (("isotonic", F.col("confidence")), ("sigmoid", 1 / (1 + F.exp(-F.col("margin"))))):
-        row = evaluate.reliability(test.select(score.alias("score"), F.col("right").alias("truth"))).agg(F.round(F.sum("ece_part"), 6).alias("ece"), F.round(F.sum("brier_part"), 6).alias("brier")).withColumn("calibrator", F.lit(name))
+    for name, rows in sure.items():
+        parts = evaluate.reliability(rows.select(F.col("confidence").alias("score"), F.col("right").alias("truth")))
+        row = parts.agg(F.round(F.sum("ece_part"), 6).alias("ece"), F.round(F.sum("brier_part"), 6).alias("brier")).withColumn("calibrator", F.lit(name)).withColumn("picked", F.lit(name == picked))
         out = row if out is None else out.union(row)
     return out
 

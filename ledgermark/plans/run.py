@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ def plan(bank: DataFrame, ledger: DataFrame, slack: int = 7, bundle: Bundle | No
     scored = models.rank_scores(bundle.ranker, pairs)
     many = models.multiple_scores(bundle.detector, features.mult_features(bank, pairs, bundle.prior))
     best = rank.ranked(scored)
-    sure = bundle.calibrator.transform(best.where("margin is not null")).select("record_id", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("_sure"))
+    sure = models.calibrated(bundle.calibrator, best).select("record_id", F.col("confidence").alias("_sure"))
     return decide.decisions(bank, cand, pairs, best.join(sure, "record_id", "left"), p_multiple=many, calibrate=lambda _: F.col("_sure"), **options)
 
 
@@ -65,7 +65,7 @@ class Bundle:
 
     ranker: GBTClassificationModel
     detector: GBTClassificationModel
-    calibrator: IsotonicRegressionModel
+    calibrator: PipelineModel
     prior: tuple[DataFrame, float, float]
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -81,11 +81,11 @@ class Bundle:
         if manifest["pair"] != list(features.PAIR) or manifest["mult"] != list(features.MULT):
             raise ValueError("the bundle was trained with other features, or in another order")
         prior = (spark.read.parquet(f"{path}/prior"), manifest["median"], manifest["rate"])
-        return Bundle(GBTClassificationModel.load(f"{path}/ranker"), GBTClassificationModel.load(f"{path}/detector"), IsotonicRegressionModel.load(f"{path}/calibrator"), prior)
+        return Bundle(GBTClassificationModel.load(f"{path}/ranker"), GBTClassificationModel.load(f"{path}/detector"), PipelineModel.load(f"{path}/calibrator"), prior)
 
 
 def train(bank: DataFrame, ledger: DataFrame, splits: DataFrame, slack: int = 7, trees: int = 20) -> Bundle:
-    """``splits(match_id, split)``: ranker and detector on ``train``, the calibrator on ``val``."""
+    """``splits(match_id, split)``: ranker and detector on ``train``, the calibrator on ``val``. A grouped record's top key is never right."""
     at = bank.join(splits, "match_id")
     prior = features.account_prior(at.where("split = 'train'"))
     pairs = checkpointed(features.pairs(blocking.candidates(bank, ledger, slack), bank, features.key_stats(ledger)))
@@ -94,7 +94,7 @@ def train(bank: DataFrame, ledger: DataFrame, splits: DataFrame, slack: int = 7,
     rows = features.mult_features(bank, pairs, prior).join(at.select("record_id", "split", F.col("is_mult").cast("int").alias("is_mult")), "record_id")
     detector = models.fit_detector(rows.where("split = 'train'"), trees)
     best = rank.ranked(models.rank_scores(ranker, pairs.join(of.where("split = 'val'"), "record_id"))).join(bank, "record_id")
-    calibrator = models.fit_isotonic(best.where("margin is not null").select("margin", (F.col("key") == F.col("label")).cast("double").alias("right")))
+    _, calibrator = models.pick_calibrator(best.select("record_id", "margin", (~F.col("is_mult") & (F.col("key") == F.col("label"))).alias("right")))
     return Bundle(ranker, detector, calibrator, prior)
 
 

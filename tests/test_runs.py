@@ -83,3 +83,24 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(session("spark://host:7077"))
     assert shared_dir(session("spark://host:7077", "s3a://b/x/")) == "s3a://b/x" and shared_dir(session("local[2]"))
+
+
+def test_better_calibrator_is_picked(spark, tmp_path):
+    import math
+
+    from pyspark.ml import PipelineModel
+
+    from ledgermark.operators import models
+
+    def rows(right):
+        return spark.createDataFrame([(f"r{i}", m, int(right(m, (i * 7919) % 997 / 997))) for i in range(2000) for m in [(i * 31) % 100 / 10]], "record_id string, margin double, right int")
+
+    steps = rows(lambda m, u: u < (0.02 if m < 1 else 0.5 if m < 9 else 0.98))  # rises in steps that no sigmoid follows
+    kind, model = models.pick_calibrator(steps)
+    assert kind == "isotonic"
+    sigmoid = rows(lambda m, u: u < 1 / (1 + math.exp(2 - m)))
+    at = {r["margin"]: r["confidence"] for r in models.calibrated(models.fit_platt(sigmoid), sigmoid).collect()}
+    assert all(abs(p - 1 / (1 + math.exp(2 - m))) < 0.1 for m, p in at.items())
+    model.save(str(tmp_path / "c"))
+    again = PipelineModel.load(str(tmp_path / "c"))
+    assert models.calibrated(again, steps).columns == ["record_id", "margin", "right", "confidence"]
