@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgermark.llm import lattice, lines, mixing, pieces, privacy, quality, simhash, suffixes, toolcalls, topk
+from ledgermark.llm import lattice, lines, mixing, periods, pieces, privacy, quality, simhash, suffixes, toolcalls, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_periodic_runs": periods.op11_periodic_runs,
 }
 SQL = {
     "op3_suffix_dedup": suffixes.OP3_SQL,
     "op4_tool_calls": toolcalls.OP4_SQL,
     "op7_embedding_near_dedup": lattice.OP7_SQL,
     "op9_exact_top_k": topk.OP9_SQL,
+    "op11_periodic_runs": periods.OP11_SQL,
 }
