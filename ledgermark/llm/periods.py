@@ -197,7 +197,10 @@ def runs_of(texts: list, least: int = 12):
         # what stopped short of NEAR is exact: ahead from 1, back from 0
         exact = (ahead < NEAR) & (back < NEAR - 1)
         keep(i[exact], p[exact], back[exact], ahead[exact])
-        later.append((i[~exact], p[~exact]))
+        i, p = i[~exact], p[~exact]
+        text = np.searchsorted(first, i, "right") - 1
+        inside = i + p < first[text] + sizes[text]  # no run reaches into the next text
+        later.append((i[inside], p[inside]))
 
     waiting, held = [], 0
     for p in range(1, int(sizes[0]) // 2 + 1 if len(sizes) else 1):

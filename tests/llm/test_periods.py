@@ -64,6 +64,14 @@ def test_long_texts():
     assert found([np.concatenate([x, x]), np.zeros(30_000, int)]) == [[(0, 30_000, 60_000)], [(0, 1, 30_000)]]
 
 
+def test_copies_side_by_side():
+    """Equal texts meet at a distance of their length, which is no run, as they are two texts."""
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 3000, 400), rng.integers(0, 3000, 40)
+    texts = [np.concatenate([x, y, y]), x, x, x, np.concatenate([y, y, y]), y, y, y]
+    assert found(texts) == [[(400, 40, 80)], [], [], [], [(0, 40, 120)], [], [], []]
+
+
 def test_documents(spark):
     unit = [f"w{i}" for i in range(7)]
     texts = [None, "", " \t\n", " ".join(unit * 3), " ".join(unit * 3), "é x " * 6, "é x " * 12, "a b " + " ".join(unit * 2) + " c", "x " * 50_000]
