@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgermark.llm import lattice, lines, mixing, periods, pieces, privacy, quality, simhash, suffixes, toolcalls, topk
+from ledgermark.llm import lattice, lines, mixing, periods, pieces, privacy, quality, simhash, suffixes, toolcalls, topk, tries
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_periodic_runs": periods.op11_periodic_runs,
+    "op12_prefix_trie": tries.op12_prefix_trie,
 }
 SQL = {
     "op3_suffix_dedup": suffixes.OP3_SQL,
@@ -23,4 +24,5 @@ SQL = {
     "op7_embedding_near_dedup": lattice.OP7_SQL,
     "op9_exact_top_k": topk.OP9_SQL,
     "op11_periodic_runs": periods.OP11_SQL,
+    "op12_prefix_trie": tries.OP12_SQL,
 }
