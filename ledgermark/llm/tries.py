@@ -5,7 +5,8 @@ text. Equal sequences become one path with a count, so copies cost nothing furth
 prefix is *shared* where more than one path and more than ``shard`` turns of paths go on
 from it; shared prefixes are closed upward, so each path leaves them once, and the first
 prefix behind them names its shard. Everything below that prefix lies in the one shard;
-a shard holds about ``shard`` turns, more only if a single path is longer.
+a shard holds about ``shard`` turns, or a 2^18th of all if that is more, so that shared
+prefixes stay few; it holds more only if a single path is longer.
 
 In a shard, turns get dense ids, and BASE and CHECK arrays are packed over them: the
 child of node s by turn t is slot BASE[s] + t if CHECK there is s. Paths are then walked
@@ -37,6 +38,8 @@ from ledgermark.llm.common import table, written
 ROOT = b"\0" * 16
 #: Characters of a run of ids.
 BLOCK = 65_536
+#: Shared prefixes, of 60 bytes, up to which they are broadcast.
+BROADCAST = 200_000
 NODES = "depth long, node binary, parent binary, shared boolean, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, weighed long, once long, ends string"
 
 
@@ -276,13 +279,16 @@ def prefix_trie(conversations: DataFrame, shard: int = 4096) -> DataFrame:
     paths = rows.groupBy("sig", "tids", "chars").agg(F.count("*").alias("n"), F.min("conv_id").alias("conv_id"))
     paths = written(paths.join(ends, "sig"), "trie-paths")
     prefixes = written(paths.select("sig", "tids").mapInArrow(_prefixes, "sig string, depth long, node binary, turns long"), "trie-prefixes")
+    total = prefixes.count()
+    shard = max(shard, total >> 18)
     shared = prefixes.groupBy("node").agg(F.count("*").alias("paths"), F.sum("turns").alias("turns"), F.min("sig").alias("owner")).where((F.col("paths") > 1) & (F.col("turns") > shard)).select("node", "owner")
-    # a shared prefix may have most of the paths: the join's larger side can be split
+    shared = written(shared, "trie-prefixes-shared")
+    # a shared prefix may have most of the paths; beyond the bound the join's larger side can be split
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST else shared.hint("merge")
     placed = prefixes.join(shared, "node", "left").groupBy("sig").agg(
         F.count("owner").alias("k"), F.coalesce(F.min(F.when(F.col("owner") == F.col("sig"), F.col("depth"))), F.lit(2**62)).alias("o"),
         F.coalesce(F.min_by("node", F.when(F.col("owner").isNull(), F.col("depth"))), F.max_by("node", "depth")).alias("top"),
     )
-    total = prefixes.count()
     shards = max(1, total // shard)
     dealt = paths.join(placed, "sig").withColumn("_shard", F.pmod(F.xxhash64("top"), F.lit(shards)))
     found = written(dealt.groupBy("_shard").applyInPandas(shard_nodes, NODES), "trie-nodes")

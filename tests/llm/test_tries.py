@@ -50,8 +50,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "n", 1) for r in rows], TURNS).repartition(3)
 
 
-@pytest.mark.parametrize("shard", [3, 4096])
-def test_brute_force(spark, shard):
+@pytest.mark.parametrize(("shard", "bound"), [(3, 0), (30, 10**6), (4096, 10**6)])
+def test_brute_force(spark, shard, bound, monkeypatch):
+    monkeypatch.setattr(tries, "BROADCAST", bound)
     rng = random.Random(shard)
     rows = []
     for c in range(150):
