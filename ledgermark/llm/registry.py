@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgermark.llm import lattice, lines, mixing, periods, pieces, privacy, quality, simhash, suffixes, toolcalls, topk, tries
+from ledgermark.llm import languages, lattice, lines, mixing, periods, pieces, privacy, quality, simhash, suffixes, toolcalls, topk, tries
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_periodic_runs": periods.op11_periodic_runs,
     "op12_prefix_trie": tries.op12_prefix_trie,
+    "op13_language": languages.op13_language,
 }
 SQL = {
     "op3_suffix_dedup": suffixes.OP3_SQL,
