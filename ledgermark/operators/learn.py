@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermark.functions.order import positioned
-from ledgermark.functions.similarity import cosine
+from ledgermark.operators.cases import retain, retrieve  # noqa: F401  cases kept from corrections, and found again
 
 LOCI = ("none", "multiplicity", "blocking", "ranking", "threshold", "unattributed")
 
@@ -36,62 +36,6 @@ def rank_of(correct_keys: Column, ranked_keys: Column) -> Column:
     return F.array_min(F.filter(F.transform(correct_keys, lambda k: F.array_position(ranked_keys, k)), lambda p: p > 0))
 
 
-def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.85, also=None) -> DataFrame:
-    """``queries(query_id, locus, situation)`` against ``cases(case_id, locus, situation, retired)``: the k most similar of the locus, of pairs that ``also`` allows."""
-    sim = cosine(F.col("q.situation"), F.col("c.situation"))
-    at = queries.alias("q").join(cases.where("not retired").alias("c"), (F.col("q.locus") == F.col("c.locus")) & (F.lit(True) if also is None else also)).select("query_id", "case_id", sim.alias("similarity")).where(F.col("similarity") >= least)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "case_id")
-    return at.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def retain(arrivals: DataFrame, duplicate: float = 0.95, most: int = 50_000) -> DataFrame:
-    """``arrivals(seq, case_id, locus, situation)`` in order -> kept cases with their confirmations.
-
-    A near duplicate confirms the first case it matches instead of entering; over
-    ``most`` the least confirmed leaves, the earliest of several. The order matters, so a
-    locus is worked through by one task, which takes its rows as they come: what it
-    holds are the cases kept, at most ``most`` of them, not the arrivals.
-    """
-
-    def work(batches):
-        import numpy as np
-        import pandas as pd
-
-        locus, ids, seen, unit, n = None, [], [], None, 0
-
-        def out():
-            return pd.DataFrame({"locus": [locus] * n, "case_id": ids, "confirmations": seen})
-
-        for pdf in batches:
-            for row in pdf.itertuples():
-                if unit is None or row.locus != locus and not (pd.isna(row.locus) and pd.isna(locus)):
-                    if n:
-                        yield out()
-                    locus, ids, seen, unit, n = row.locus, [], [], np.zeros((64, len(row.situation))), 0
-                v = np.asarray(row.situation, float)
-                norm = np.linalg.norm(v)
-                hits = np.flatnonzero(unit[:n] @ (v / norm) >= duplicate) if n and norm else []
-                if len(hits):
-                    seen[hits[0]] += 1
-                    continue
-                if n == len(unit):
-                    unit = np.concatenate([unit, np.zeros_like(unit)])
-                unit[n] = v / norm if norm else v
-                ids.append(row.case_id)
-                seen.append(0)
-                n += 1
-                if n > most:
-                    drop = int(np.argmin(seen))
-                    del ids[drop], seen[drop]
-                    unit[drop : n - 1] = unit[drop + 1 : n]
-                    n -= 1
-        if n:
-            yield out()
-
-    dealt = arrivals.where("situation is not null").select("locus", "seq", "case_id", "situation").repartition("locus").sortWithinPartitions("locus", "seq")
-    return dealt.mapInPandas(work, "locus string, case_id string, confirmations long")
-
-
 def outcomes(applied: DataFrame, least_applied: int = 3, least_right: float = 0.9) -> DataFrame:
     """``applied(case_id, correct)`` -> applications, accuracy and whether the case retires."""
     by = applied.groupBy("case_id").agg(F.count("*").alias("applications"), F.sum(F.col("correct").cast("int")).alias("n_correct"))

@@ -37,6 +37,17 @@ def bank(rows: DataFrame) -> DataFrame:
     return single.union(grouped)
 
 
+def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned lines as corrections: ``seq, case_id, locus, situation``; amount, quantity, discount and tax make the situation."""
+    at = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    case = F.concat(F.lit("c"), F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint"))))
+    parts = F.log10(F.greatest("l_extendedprice", F.lit(1.0))), F.col("l_quantity") / 10, F.col("l_discount") * 50, F.col("l_tax") * 60
+    return at.select(F.col("l_orderkey").alias("seq"), case.alias("case_id"), F.concat("l_linestatus", "l_linenumber").alias("locus"), F.array(*[F.round(p, 6) for p in parts]).alias("situation"))
+
+
+DISPUTES = """disputes AS MATERIALIZED (
+  SELECT l_orderkey AS seq, 'c' || md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))) AS case_id, l_linestatus || l_linenumber AS locus,
+    [round(x, 6) FOR x IN [log10(greatest(l_extendedprice, 1.0)), l_quantity / 10, l_discount * 50, l_tax * 60]]::DOUBLE[] AS v FROM lineitem WHERE l_returnflag = 'R')"""
 LEDGER = """ledger AS (
   SELECT *, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, amount_minor, day)) AS rid FROM (
     SELECT 'K' || l_orderkey AS key, 'S' || l_suppkey AS account, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_minor,

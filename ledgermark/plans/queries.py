@@ -9,7 +9,7 @@ from ledgermark.functions import dates, money, residual
 from ledgermark.functions.gate import threshold
 from ledgermark.functions.order import checkpointed, scratch_path
 from ledgermark.functions.similarity import situation_vector
-from ledgermark.operators import audit, blocking, decide, evaluate, features, learn, models, narrate, rank, settle, solver
+from ledgermark.operators import audit, blocking, cases, decide, evaluate, features, learn, models, narrate, rank, settle, solver
 from ledgermark.plans import fixture as fx
 from ledgermark.plans.fixture import BASE, CAND, DECISIONS, LEDGER, PAIRED, RANKED, table, with_
 from ledgermark.sources import csv_files
@@ -331,7 +331,38 @@ query("negative_sample", PAIRED.rstrip() + """, s AS (SELECT record_id, key, (ke
 query("placebo_keys", BASE.rstrip() + """, k AS (SELECT key, row_number() OVER (ORDER BY key) AS p, count(*) OVER () AS n FROM (SELECT DISTINCT key FROM ledger)),
    d AS (SELECT record_id, label, (p - 1 + CAST('0x' || substr(md5(concat_ws('|', record_id, '7')), 1, 8) AS BIGINT) % greatest(n - 1, 1) + 1) % n + 1 AS q FROM bank JOIN k ON k.key = label WHERE NOT is_mult)
    SELECT record_id, label, k.key AS wrong_key FROM d JOIN k ON k.p = d.q""")(v(lambda x: learn.wrong_keys(x.bank.where("not is_mult").select("record_id", "label"), x.ledger.select("key"))))
-query("case_retain")(v(lambda x: learn.retain(table(x.spark, x.sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.concat(F.lit("c"), "vec_id").alias("case_id"), F.col("label").cast("string").alias("locus"), F.col("embedding").alias("situation")))))
+_TURNS = """,
+  a AS MATERIALIZED (SELECT locus, row_number() OVER (PARTITION BY locus ORDER BY seq, case_id) AS n, case_id, v FROM arrivals),
+  r(locus, n, kept, hit) AS (
+    SELECT locus, 0::BIGINT, []::STRUCT(id VARCHAR, v DOUBLE[])[], NULL::VARCHAR FROM a GROUP BY locus
+    UNION ALL
+    SELECT locus, n, CASE WHEN hit IS NULL THEN list_append(kept, {'id': case_id, 'v': v}) ELSE kept END, hit FROM (
+      SELECT r.locus, a.n, r.kept, a.case_id, a.v, list_filter(r.kept, lambda k: list_cosine_similarity(k.v, a.v) >= 0.95 - 1e-12)[1].id AS hit FROM r JOIN a ON a.locus = r.locus AND a.n = r.n + 1)),
+  e AS (SELECT r.locus, coalesce(hit, case_id) AS case_id FROM r JOIN a ON a.locus = r.locus AND a.n = r.n)
+  SELECT locus, case_id, count(*) - 1 AS confirmations FROM e GROUP BY ALL"""
+_DISPUTE_TURNS = "WITH RECURSIVE " + fx.DISPUTES + ", arrivals AS (SELECT * FROM disputes)" + _TURNS
+query("case_retain", "WITH RECURSIVE arrivals AS (SELECT vec_id AS seq, 'c' || vec_id AS case_id, CAST(label AS VARCHAR) AS locus, embedding::DOUBLE[] AS v FROM embeddings)" + _TURNS)(v(lambda x: learn.retain(table(x.spark, x.sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.concat(F.lit("c"), "vec_id").alias("case_id"), F.col("label").cast("string").alias("locus"), F.col("embedding").alias("situation")))))
+query("dispute_cases", _DISPUTE_TURNS)(v(lambda x: cases.retain(fx.disputes(x.spark, x.sf_dir))))
+
+
+@query("dispute_cases_streamed", _DISPUTE_TURNS)
+def dispute_cases_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cases from a stream, whose files hold arrivals in order; the state machine keeps them."""
+    root = scratch_path(spark)
+    rows = checkpointed(fx.disputes(spark, sf_dir))
+    cuts = rows.select(F.percentile_approx("seq", [0.33, 0.67]).alias("p")).first().p or [0, 0]
+    for part in (F.col("seq") <= cuts[0], (F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1]), F.col("seq") > cuts[1]):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/arrivals")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrivals")
+    feed.retain_feed(stream).writeStream.format("parquet").option("path", f"{root}/events").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return feed.kept_cases(spark.read.schema("locus string, seq long, case_id string, event string").parquet(f"{root}/events"))
+
+
+query(
+    "dispute_retrieve",
+    with_(fx.DISPUTES) + """, s AS (SELECT a.case_id AS query_id, b.case_id, list_cosine_similarity(a.v, b.v) AS sim FROM disputes a JOIN disputes b ON a.locus = b.locus AND a.case_id <> b.case_id WHERE a.seq % 20 = 0)
+       SELECT query_id, case_id, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, case_id) AS INTEGER) AS rank FROM s WHERE sim >= 0.85 QUALIFY rank <= 5""",
+)(v(lambda x: (lambda at: cases.retrieve(at.where("seq % 20 = 0").withColumnRenamed("case_id", "query_id"), at.withColumn("retired", F.lit(False)), also=F.col("query_id") != F.col("case_id")).withColumn("similarity", F.round("similarity", 6)))(fx.disputes(x.spark, x.sf_dir))))
 query("learning_arms")(v(lambda x: settle.arms(x.decisions(), x.bank.where("not is_mult").select("record_id", "label"))))
 query("group_proposals", CAND.rstrip() + """, pool AS (SELECT DISTINCT c.record_id, c.key, l.amount_minor AS amount FROM cand c JOIN ledger l USING (key) WHERE c.record_id IN (SELECT record_id FROM bank WHERE is_mult)),
    t AS (SELECT b.record_id, b.amount_minor AS target, p.n FROM bank b JOIN (SELECT record_id, count(*) AS n FROM pool GROUP BY 1) p USING (record_id) WHERE is_mult),

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgermark.operators import blocking, decide, features, rank
+from ledgermark.operators.cases import ROUNDING
+
+#: From a cell to itself and its neighbours.
+STEPS = list(itertools.product((-1, 0, 1), repeat=3))
 
 
 def decide_batch(bank: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -40,43 +48,106 @@ def distinct_situations(stream: DataFrame, lateness: str = "1 day") -> DataFrame
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["situation"])
 
 
-def retain_feed(arrivals, duplicate: float = 0.95, most: int = 50_000):
-    """Streams ``(seq, case_id, locus, situation)`` -> ``locus, seq, case_id, event``.
+class CaseKeeper(StatefulProcessor):
+    """The cases of a locus: a map from cell to the cases in it, so that an arrival meets those of its own and the neighbouring cells."""
 
-    The same rule as the batch form: a near duplicate of a case that its locus holds is
-    ``confirmed`` for the first such case, anything else is ``kept`` and, over ``most``,
-    the least confirmed leaves. The state of a locus is its cases, at most ``most``;
-    arrivals of a micro-batch are taken in the order of ``seq``.
-    """
+    def __init__(self, duplicate: float, most: int):
+        self.duplicate, self.most = duplicate, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cells = handle.getMapState("cells", "cell string", "ids array<string>, counts array<bigint>, turns array<bigint>, units array<double>")
+        self.totals = handle.getValueState("totals", "n bigint, turn bigint")
 
-    def step(key, frames, state):
+    def handleInputRows(self, key, rows, timerValues):
         import numpy as np
         import pandas as pd
 
-        ids, counts, seqs, flat = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for r in rows.itertuples():
+        n, turn = self.totals.get() if self.totals.exists() else (0, 0)
+        occupied = {k[0] for k in self.cells.keys()} if n else set()
+        open_: dict[str, list] = {}  # cells read in this batch: ids, counts, turns, unit vectors
+        changed, out = set(), []
+        width = math.sqrt(2 - 2 * self.duplicate) + 1e-9
+        signs = None
+
+        def held(name):
+            if name not in open_:
+                ids, counts, turns, units = self.cells.getValue((name,))
+                open_[name] = [list(ids), list(counts), list(turns), [np.asarray(u) for u in np.asarray(units, float).reshape(len(ids), -1)]]
+            return open_[name]
+
+        def put(name, case_id, v):
+            if name not in occupied:
+                occupied.add(name)
+                open_[name] = [[], [], [], []]
+            for column, x in zip(held(name), (case_id, 0, turn, v), strict=True):
+                column.append(x)
+            changed.add(name)
+
+        for r in pd.concat(list(rows)).sort_values(["seq", "case_id"]).itertuples():
             v = np.asarray(r.situation, float)
             norm = float(np.linalg.norm(v))
-            unit = v / norm if norm else v
-            held = np.array(flat).reshape(len(ids), -1) if ids else np.empty((0, len(v)))
-            hits = np.flatnonzero(held @ unit >= duplicate) if len(ids) and norm else []
-            if len(hits):
-                counts[hits[0]] += 1
-                out.append((key[0], r.seq, ids[hits[0]], "confirmed"))
+            if signs is None:
+                signs = np.random.default_rng(len(v)).choice([-1.0, 1.0], (3, len(v))) / math.sqrt(len(v))
+            first, name = None, "none"  # a vector of length 0 is like no other
+            if norm:
+                v = v / norm
+                at = np.floor(signs @ v / width).astype(int)
+                name = ",".join(map(str, at))
+                for step in STEPS:
+                    near = ",".join(map(str, at + step))
+                    if near in occupied:
+                        cell = held(near)
+                        for i in np.flatnonzero(np.array(cell[3]) @ v >= self.duplicate - ROUNDING).tolist() if cell[0] else ():
+                            if first is None or cell[2][i] < first[0]:
+                                first = (cell[2][i], near, i)
+            if first is not None:
+                cell = held(first[1])
+                cell[1][first[2]] += 1
+                changed.add(first[1])
+                out.append((key[0], r.seq, cell[0][first[2]], "confirmed"))
                 continue
-            ids.append(r.case_id)
-            counts.append(0)
-            seqs.append(int(r.seq))
-            flat += [float(x) for x in unit]
+            turn += 1
             out.append((key[0], r.seq, r.case_id, "kept"))
-            if len(ids) > most:
-                drop = min(range(len(ids)), key=lambda i: (counts[i], seqs[i]))
-                wide = len(v)
-                del ids[drop], counts[drop], seqs[drop], flat[drop * wide : (drop + 1) * wide]
-        state.update((ids, counts, seqs, flat))
+            if n < self.most:
+                n += 1
+            else:  # of all cases the least confirmed leaves, the earliest of several
+                count, _, where, i = min((c, t, name, i) for name in occupied for i, (c, t) in enumerate(zip(*held(name)[1:3], strict=True)))
+                if count > 0:
+                    out.append((key[0], r.seq, r.case_id, "left"))
+                    continue
+                out.append((key[0], r.seq, held(where)[0][i], "left"))
+                for column in held(where):
+                    del column[i]
+                changed.add(where)
+            put(name, r.case_id, v)
+        for name in changed:
+            ids, counts, turns, units = open_[name]
+            if ids:
+                self.cells.updateValue((name,), (ids, counts, turns, [float(x) for u in units for x in u]))
+            elif self.cells.containsKey((name,)):
+                self.cells.removeKey((name,))
+        self.totals.update((n, turn))
         yield pd.DataFrame(out, columns=["locus", "seq", "case_id", "event"])
 
-    state = "ids array<string>, counts array<bigint>, seqs array<bigint>, flat array<double>"
-    return arrivals.groupBy("locus").applyInPandasWithState(step, "locus string, seq long, case_id string, event string", state, "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def retain_feed(arrivals: DataFrame, duplicate: float = 0.95, most: int = 50_000) -> DataFrame:
+    """Streams ``(seq, case_id, locus, situation)`` -> ``locus, seq, case_id, event``.
+
+    The rule of :func:`ledgermark.operators.cases.retain`: a near copy of a case that its
+    locus holds is ``confirmed`` for the first such case, anything else is ``kept`` and,
+    over ``most``, another has ``left``. Arrivals of a micro-batch are taken in the order of
+    seq. The state is a map for each locus, read and written by cell; it needs the RocksDB
+    store, which is set for the session.
+    """
+    arrivals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    named = arrivals.where("situation is not null").select(F.col("locus").cast("string").alias("locus"), "seq", F.col("case_id").cast("string").alias("case_id"), F.col("situation").cast("array<double>").alias("situation"))
+    return named.groupBy("locus").transformWithStateInPandas(CaseKeeper(duplicate, most), "locus string, seq long, case_id string, event string", "Append", "None")
+
+
+def kept_cases(events: DataFrame) -> DataFrame:
+    """Events of :func:`retain_feed` -> the cases held now and their confirmations."""
+    by = events.groupBy("locus", "case_id").agg(F.count_if(F.col("event") == "confirmed").alias("confirmations"), F.count_if(F.col("event") == "left").alias("gone"))
+    return by.where("gone = 0").select("locus", "case_id", "confirmations")
