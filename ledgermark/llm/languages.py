@@ -10,13 +10,13 @@ is the score.
 Learning counts grams and scripts over all labelled rows, added up within each partition
 before anything is shuffled; a language is one vector of fixed size, so what is
 broadcast is bounded by the number of languages (``most``; more raise an error).
-Prediction shuffles nothing. Texts go whole, in pieces of a million letters; the words of
+Prediction shuffles nothing. Texts go whole, in pieces of 65,536 letters; the words of
 a batch of short texts are searched side by side.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything
 if nothing was learned; letters of a script that no language uses tell nothing, and a
 text of them alone has the commonest language and score 0; ties go to the language
-first by code point; a word of over a million letters counts as several; repeated rows
+first by code point; a word of over 65,536 letters counts as several; repeated rows
 give repeated results; rows without label or text teach nothing; an empty table gives an
 empty result; extra columns are not read. A null id counts as the id of no characters.
 """
@@ -58,12 +58,12 @@ SCRIPTS = {
     "Kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9D)],
     "Han": [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
 }
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 #: Of a language's letters, the share that a script has if the language uses it.
 USED = 0.01
 SMOOTH = 0.5
-PIECE = 1_000_000
+PIECE = 1 << 16
 UNKNOWN = "und"
 
 
@@ -135,7 +135,7 @@ def _bucket(h, size: int):
 
     h = (h + np.uint64(size)) * np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
-    return ((h * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(47)).astype(np.int64)
+    return ((h * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(48)).astype(np.int64)
 
 
 def pieces(texts: list):
@@ -227,9 +227,15 @@ def scored(model: dict, texts: list):
     out = []
     for offset, code in pieces(texts):
         w = Words(code)
-        each = np.zeros((len(w.at), logs.shape[1]), np.float32)
+        each = None
         for place, bucket in w.grams():
-            each[place] += logs[bucket]
+            got = logs.take(bucket, axis=0)
+            if each is None:
+                each = got
+            elif len(place) == len(each):
+                each += got
+            else:
+                each[place] += got
         score = np.add.reduceat(each, w.first) / len(GRAMS) if len(w.first) else np.empty((0, logs.shape[1]), np.float32)
         allowed = uses[w.script]
         tells = allowed.any(1) & (w.letters > 0)
@@ -282,7 +288,9 @@ def _labelled(shared, key: str, text: str, penalty: float, with_spans: bool):
         import pyarrow as pa
 
         model = shared.value
-        for batch in slices(batches, text, 1_000_000):
+        # a word has a score for each language; few large batches make few steps of the search
+        most = max(250_000, 16_000_000 // len(model["langs"])) if model else 1_000_000
+        for batch in slices(batches, text, most):
             keys, texts = batch.column(batch.schema.get_field_index(key)), batch.column(batch.schema.get_field_index(text)).to_pylist()
             texts = [x or "" for x in texts]
             n = len(texts)
