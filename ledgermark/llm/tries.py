@@ -267,7 +267,7 @@ def shard_nodes(pdf):
     })
 
 
-def prefix_trie(conversations: DataFrame, shard: int = 4096) -> DataFrame:
+def prefix_trie(conversations: DataFrame, shard: int = 1024) -> DataFrame:
     """Nodes of the trie of ``(conv_id, own)``, as :func:`sequences` gives them.
 
     -> node and parent (digests), conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
