@@ -9,7 +9,7 @@ from ledgermark.functions import dates, money, residual
 from ledgermark.functions.gate import threshold
 from ledgermark.functions.order import checkpointed, scratch_path
 from ledgermark.functions.similarity import situation_vector
-from ledgermark.operators import audit, blocking, cases, decide, evaluate, features, learn, models, narrate, rank, settle, solver
+from ledgermark.operators import audit, blocking, boost, cases, decide, evaluate, features, learn, models, narrate, rank, settle, solver
 from ledgermark.plans import fixture as fx
 from ledgermark.plans.fixture import BASE, CAND, DECISIONS, LEDGER, PAIRED, RANKED, table, with_
 from ledgermark.sources import csv_files
@@ -473,21 +473,38 @@ def _split(x: View) -> DataFrame:
     return evaluate.temporal_split(x.bank).select(F.col("grp").alias("match_id"), "split")
 
 
-@query("gbt_rank")
-def gbt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-1 and MRR of a trained ranker on the test split, beside the rules."""
-    x = View(spark, sf_dir)
-    pairs = checkpointed(x.pairs().join(_split(x), "match_id"))
-    model = models.fit_ranker(rank.training_pairs(pairs.where("split = 'train'")))
-    test = pairs.where("split = 'test'")
-    labels = test.select("record_id", "label").distinct()
+def _ranker_rows(rankers: dict, test: DataFrame) -> DataFrame:
+    labels = checkpointed(test.select("record_id", "label").distinct())
     out = None
-    for name, scored in (("gbt", models.rank_scores(model, test)), ("rules", rank.rules_score(test))):
+    for name, scored in rankers.items():
         row = evaluate.top1_mrr(rank.with_ranks(scored).join(labels, "record_id")).withColumn("ranker", F.lit(name))
         out = row if out is None else out.union(row)
     return out
 
 
+def _ranker_pairs(x: View) -> tuple[DataFrame, DataFrame]:
+    """Training and test pairs, each written once with the columns that rankers need."""
+    at = checkpointed(x.pairs().join(_split(x), "match_id").select("record_id", "key", "label", "is_mult", "split", *features.PAIR))
+    return checkpointed(rank.training_pairs(at.where("split = 'train'")).select("record_id", "key", "is_label", *features.PAIR)), at.where("split = 'test'")
+
+
+@query("gbt_rank")
+def gbt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-1 and MRR of a trained ranker on the test split, beside the rules."""
+    train, test = _ranker_pairs(View(spark, sf_dir))
+    return _ranker_rows({"gbt": models.rank_scores(models.fit_ranker(train), test), "rules": rank.rules_score(test)}, test)
+
+
+@query("lambda_rank")
+def lambda_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-1 and MRR on the test split of rankers that learn the order within a record, or pairs by themselves, beside the rules."""
+    train, test = _ranker_pairs(View(spark, sf_dir))
+    forest = boost.empty_forest(train)
+    blocks = boost.packed(train, forest)
+    found = {name: boost.grow(forest, blocks, objective=kind).scores(test) for name, kind in (("lambda", "rank"), ("pointwise", "point"))}
+    return _ranker_rows(found | {"rules": rank.rules_score(test)}, test)
+
+
 @query("gbt_multiplicity")
 def gbt_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion of a trained detector at 0.7 on the test split."""
