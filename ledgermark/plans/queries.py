@@ -9,7 +9,7 @@ from ledgermark.functions import dates, money, residual
 from ledgermark.functions.gate import threshold
 from ledgermark.functions.order import checkpointed, scratch_path
 from ledgermark.functions.similarity import situation_vector
-from ledgermark.operators import audit, blocking, boost, cases, decide, evaluate, features, learn, models, narrate, rank, settle, solver
+from ledgermark.operators import audit, blocking, boost, cases, decide, evaluate, features, learn, models, narrate, rank, relearn, settle, solver
 from ledgermark.plans import fixture as fx
 from ledgermark.plans.fixture import BASE, CAND, DECISIONS, LEDGER, PAIRED, RANKED, table, with_
 from ledgermark.sources import csv_files
@@ -311,6 +311,10 @@ query(
     "corrections_locus",
     DECISIONS.rstrip() + f", h AS (SELECT d.*, d.path = 'multiplicity' AS routed, EXISTS (SELECT 1 FROM cand c WHERE c.record_id = d.record_id AND c.key = d.label) AS hit FROM decided d) SELECT {_LOCUS} AS locus, count(*) AS n FROM h GROUP BY 1",
 )(v(lambda x: settle.loci(x.judged(), x.cand()).groupBy("locus").agg(F.count("*").alias("n"))))
+query(
+    "loci_by_batch",
+    DECISIONS.rstrip() + f", h AS (SELECT d.*, d.path = 'multiplicity' AS routed, EXISTS (SELECT 1 FROM cand c WHERE c.record_id = d.record_id AND c.key = d.label) AS hit, (row_number() OVER (ORDER BY day NULLS FIRST, record_id) - 1) * 5 // count(*) OVER () AS batch FROM decided d) SELECT CAST(batch AS INTEGER) AS batch, {_LOCUS} AS locus, count(*) AS n FROM h GROUP BY 1, 2",
+)(v(lambda x: settle.loci(x.judged(), x.cand()).join(relearn.in_batches(x.bank.select("record_id", "day"), 5), "record_id").groupBy("batch", "locus").agg(F.count("*").alias("n"))))
 _EVENTS = "SELECT CAST(user_id AS VARCHAR) AS record_id, CAST(event_id % 3 AS VARCHAR) AS run_id, event_id AS seq, event_type AS outcome FROM events"
 
 
@@ -495,6 +499,17 @@ def gbt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranker_rows({"gbt": models.rank_scores(models.fit_ranker(train), test), "rules": rank.rules_score(test)}, test)
 
 
+@query("learning_refits")
+def learning_refits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of the test split under every arm; a ranker of the training split is grown on between them."""
+    x = View(spark, sf_dir)
+    at = checkpointed(x.pairs().join(_split(x), "match_id").select("record_id", "key", "label", "is_mult", "split", *features.PAIR))
+    train = rank.training_pairs(at.where("split = 'train'"))
+    first = boost.fit_ranker(train, trees=6, depth=3)
+    records = x.bank.join(_split(x).where("split = 'test'"), "match_id").select(*x.bank.columns)
+    return relearn.relearn(spark, relearn.in_batches(records, 3), at.where("split = 'test'"), first, scratch_path(spark))
+
+
 @query("lambda_rank")
 def lambda_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-1 and MRR on the test split of rankers that learn the order within a record, or pairs by themselves, beside the rules."""
