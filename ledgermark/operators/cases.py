@@ -168,18 +168,14 @@ def _in_turn(duplicate: float, most: int):
 
 # retrieval
 
-def _angle(a: Column, b: Column) -> Column:
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
-
-
 def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.85, also: Column | None = None, pivots: int = 32, compared=None) -> DataFrame:
     """``queries(query_id, locus, situation)`` against ``cases(case_id, locus, situation, retired)`` -> ``query_id, case_id, similarity, rank``: the ``k`` most similar of the locus at ``least`` or more, ties by case_id, of pairs that ``also`` allows (columns of ``q`` and ``c``).
 
     Exact, by the triangle inequality of angles. Some cases of each locus are its pivots;
-    every case belongs to the nearest one and to a ring of angles around it. A query looks
-    into the rings of its nearest pivot first; its k-th similarity there, or ``least``,
-    bounds the angle within which any better case lies, and only rings of other pivots
-    within that angle follow. Vectors of length 0 have similarity 0 to all. ``compared``,
+    every case belongs to the nearest one and to a ring of angles around it. A query first
+    looks about its own ring of its nearest pivot; its k-th similarity there, or ``least``,
+    bounds the angle within which any better case lies, and then it meets the cases in all
+    rings within that angle. Vectors of length 0 have similarity 0 to all. ``compared``,
     if given, is called with the number of pairs compared.
     """
     allowed = F.lit(True) if also is None else also
@@ -193,40 +189,37 @@ def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.
     drawn = Window.partitionBy("locus").orderBy(F.xxhash64("u", "case_id"), "case_id")
     chosen = usable.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= pivots)
     chosen = checkpointed(chosen.groupBy("locus").agg(F.collect_list("u").alias("pivots")))
-    width = math.acos(least) / 4
+    wide = math.acos(least) + 1e-9
+    narrow = width = wide / 16
 
-    def angles(rows: DataFrame) -> DataFrame:
-        return rows.join(chosen, "locus").withColumn("_a", F.transform("pivots", lambda p: _angle(p, F.col("u")))).drop("pivots")
+    def near(p: Column) -> Column:
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), p)))
 
-    placed = angles(usable).withColumn("angle", F.array_min("_a")).withColumn("pivot", F.array_position("_a", F.col("angle")).cast("int")).drop("_a")
+    # the nearest pivot, the first of several, has the largest product
+    best = F.array_max(F.transform("pivots", lambda p, i: F.struct(dot(p, F.col("u")).alias("d"), (-i).alias("i"))))
+    placed = usable.join(chosen, "locus").withColumn("_b", best).select("case_id", "locus", "u", (1 - F.col("_b.i")).alias("pivot"), near(F.col("_b.d")).alias("angle"))
     placed = checkpointed(placed.withColumn("ring", F.floor(F.col("angle") / width).cast("int")))
-    rings = checkpointed(placed.groupBy("locus", "pivot").agg(F.min("angle").alias("low"), F.max("angle").alias("high")))
-    asked = checkpointed(angles(asked))
+    rings = checkpointed(placed.groupBy("locus", "pivot").agg(F.min("angle").alias("_low"), F.max("angle").alias("_high")))
+    asked = asked.join(chosen, "locus").withColumn("_a", F.transform("pivots", lambda p: near(dot(p, F.col("u"))))).drop("pivots")
+    around = asked.select("query_id", "locus", "situation", "u", F.array_min("_a").alias("_near"), F.posexplode("_a").alias("_p", "_to")).withColumn("pivot", F.col("_p") + 1).drop("_p")
+    around = checkpointed(around.join(rings, ["locus", "pivot"]))
 
-    def met(looks: DataFrame) -> DataFrame:
-        """``looks(query_id, locus, situation, u, pivot, low, high)`` joined with the cases in reach."""
+    def met(rows: DataFrame, reach: Column) -> DataFrame:
+        """Queries at pivots joined with the cases that ``reach`` leaves."""
+        low, high = F.greatest(F.col("_to") - reach, F.col("_low")), F.least(F.col("_to") + reach, F.col("_high"))
+        # a case that is nearer to this pivot than to the query's nearest one is at least half the difference away
+        looks = rows.withColumn("low", low).withColumn("high", high).where((F.col("low") <= F.col("high")) & ((F.col("_to") - F.col("_near")) / 2 <= reach))
         looks = looks.withColumn("ring", F.explode(F.sequence(F.floor(F.col("low") / width).cast("int"), F.floor(F.col("high") / width).cast("int"))))
         both = looks.alias("q").join(placed.alias("c"), (F.col("q.locus") == F.col("c.locus")) & (F.col("q.pivot") == F.col("c.pivot")) & (F.col("q.ring") == F.col("c.ring")) & F.col("c.angle").between(F.col("q.low"), F.col("q.high")) & allowed)
         both = both.select("query_id", "case_id", dot(F.col("q.u"), F.col("c.u")).alias("similarity"))
         return checkpointed(both) if compared else both
 
-    wide = math.acos(least) + 1e-9
-    around = asked.select("query_id", "locus", "situation", "u", F.array_min("_a").alias("_near"), F.posexplode("_a").alias("_p", "_to")).withColumn("pivot", F.col("_p") + 1).drop("_p")
-    around = around.join(rings.withColumnRenamed("low", "_low").withColumnRenamed("high", "_high"), ["locus", "pivot"])
-
-    def looking(rows: DataFrame, reach: Column) -> DataFrame:
-        low, high = F.greatest(F.col("_to") - reach, F.col("_low")), F.least(F.col("_to") + reach, F.col("_high"))
-        # a case that is nearer to this pivot than to the query's nearest one is at least half the difference away
-        return rows.withColumn("low", low).withColumn("high", high).where((F.col("low") <= F.col("high")) & ((F.col("_to") - F.col("_near")) / 2 <= reach))
-
-    first = met(looking(around.where(F.col("_to") == F.col("_near")), F.lit(wide))).where(F.col("similarity") >= least)
-    first = checkpointed(_top(first, k))
-    bound = first.where(F.col("rank") == k).select("query_id", (F.acos(F.least(F.lit(1.0), F.col("similarity"))) + 1e-6).alias("_bound"))
-    rest = around.where(F.col("_to") > F.col("_near")).join(bound, "query_id", "left")
-    second = met(looking(rest, F.coalesce("_bound", F.lit(wide))))
+    first = met(around.where(F.col("_to") == F.col("_near")), F.lit(narrow))
+    bound = _top(first.where(F.col("similarity") >= least), k).where(F.col("rank") == k).select("query_id", (F.acos(F.least(F.lit(1.0), F.col("similarity"))) + 1e-6).alias("_bound"))
+    second = met(around.join(checkpointed(bound), "query_id", "left"), F.least(F.coalesce("_bound", F.lit(wide)), F.lit(wide)))
     if compared:
-        compared(met(looking(around.where(F.col("_to") == F.col("_near")), F.lit(wide))).count() + second.count())
-    return _top(first.select("query_id", "case_id", "similarity").union(second.where(F.col("similarity") >= least)), k)
+        compared(first.count() + second.count())
+    return _top(second.where(F.col("similarity") >= least), k)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:

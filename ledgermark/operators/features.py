@@ -16,10 +16,13 @@ def key_stats(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("key").agg(F.sort_array(F.collect_set("amount_minor")).alias("amounts"), F.sort_array(F.collect_set("day")).alias("days"), F.count("*").alias("n_rows")).withColumn("total_minor", F.aggregate("amounts", F.lit(0).cast("long"), lambda s, x: s + x))
 
 
-def pairs(cand: DataFrame, bank: DataFrame, stats: DataFrame) -> DataFrame:
-    """Candidates with their record and key statistics, features included; keys without statistics drop out."""
-    n = F.count("*").over(Window.partitionBy("record_id"))
-    at = cand.join(bank, "record_id").join(stats, "key").withColumn("n", n)
+def pairs(cand: DataFrame, bank: DataFrame, stats: DataFrame, keep_unknown: bool = False) -> DataFrame:
+    """Candidates with their record and key statistics, features included.
+
+    Keys without statistics drop out, or stay with null features if ``keep_unknown``.
+    """
+    n = F.count("n_rows").over(Window.partitionBy("record_id"))
+    at = cand.join(bank, "record_id").join(stats, "key", "left" if keep_unknown else "inner").withColumn("n", n)
     amount, day = F.col("amount_minor"), F.col("day")
     at = at.withColumn("miss", F.array_min(F.transform("amounts", lambda a: F.abs(a - amount))))
     at = at.withColumn("near", F.array_min(F.transform("days", lambda d: F.struct(F.abs(day - d).alias("gap"), d.alias("d")))))

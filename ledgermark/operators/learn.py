@@ -43,14 +43,14 @@ def outcomes(applied: DataFrame, least_applied: int = 3, least_right: float = 0.
 
 
 def wrong_keys(labels: DataFrame, keys: DataFrame, seed: int = 7) -> DataFrame:
-    """Placebo corrections: for each ``(record_id, label)`` another key, by a seeded hash over the keys' positions."""
+    """Placebo corrections: for each ``(record_id, label)`` another key, by a seeded hash over the keys' positions; none if there is but one."""
     pool = positioned(keys.select("key").distinct(), ["key"])
     n = pool.count()
     at = labels.join(pool.withColumnRenamed("key", "label").withColumnRenamed("position", "own"), "label")
     drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "record_id", F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
     step = F.pmod(drawn, F.lit(max(n - 1, 1))) + 1
     at = at.withColumn("position", F.pmod(F.col("own") - 1 + step, F.lit(n)) + 1)
-    return at.join(pool, "position").select("record_id", "label", F.col("key").alias("wrong_key"))
+    return at.join(pool, "position").where(F.col("key") != F.col("label")).select("record_id", "label", F.col("key").alias("wrong_key"))
 
 
 def simulate(decisions: DataFrame, truth: DataFrame, *, batch_size: int = 500, spot_check: float = 0.25, arm: str = "corrections", seed: int = 7) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,12 @@ def rules_best(pair_rows: DataFrame) -> DataFrame:
 
 def rules_score(pair_rows: DataFrame) -> DataFrame:
     """``record_id, key, score`` by closeness of amount and day. Not a probability, nor comparable to a model's score."""
-    return pair_rows.select("record_id", "key", (4.0 / (1.0 + F.col("amount_delta_abs")) + 1.0 / (1.0 + F.col("date_gap_abs"))).alias("score"))
+    return pair_rows.select("record_id", "key", closeness().alias("score"))
+
+
+def closeness() -> Column:
+    """The rules' score of a pair; null where its amounts are unknown."""
+    return 4.0 / (1.0 + F.col("amount_delta_abs")) + 1.0 / (1.0 + F.col("date_gap_abs"))
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -24,6 +29,19 @@ def ranked(scored: DataFrame) -> DataFrame:
     return rows.select("record_id", F.size("r").cast("long").alias("n"), first["key"].alias("key"), (-first["worse"]).alias("score"), (second["worse"] - first["worse"]).alias("margin"), F.transform("r", lambda x: x["key"]).alias("ranked_keys"))
 
 
+def best_two(scored: DataFrame, *more) -> DataFrame:
+    """As :func:`ranked`, but gathers a record's keys only if ``ranked_keys`` is read; ``more`` are aggregates of the pairs.
+
+    A pair without a score, as of a key that nothing is known about, is no candidate here.
+    """
+    order = Window.partitionBy("record_id").orderBy(F.col("score").desc_nulls_last(), "key")
+    at = scored.withColumn("_r", F.row_number().over(order))
+    known = F.col("score").isNotNull()
+    first, second = (F.max(F.when((F.col("_r") == k) & known, F.col("score"))) for k in (1, 2))
+    keys = F.transform(F.array_sort(F.collect_list(F.when(known, F.struct("_r", "key")))), lambda x: x["key"])
+    return at.groupBy("record_id").agg(F.count("score").alias("n"), F.max(F.when((F.col("_r") == 1) & known, F.col("key"))).alias("key"), first.alias("score"), (first - second).alias("margin"), keys.alias("ranked_keys"), *more)
+
+
 def with_ranks(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("score").desc(), "key")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,10 @@ from ledgermark.operators.audit import Trail
 from ledgermark.sources import csv_files
 
 
-def plan(bank: DataFrame, ledger: DataFrame, slack: int = 7, bundle: Bundle | None = None, **options) -> DataFrame:
-    """Decisions by rules, or by a bundle's models."""
+def plan(bank: DataFrame, ledger: DataFrame, slack: int = 7, bundle: Bundle | None = None, rules: bool = True, **options) -> DataFrame:
+    """Decisions by a bundle's models, else by rules; with neither every record is queued as ``no_ranker``."""
+    if bundle is None and not rules:
+        return decide.without_ranker(bank, **{k: x for k, x in options.items() if k == "policy"})
     cand = blocking.candidates(bank, ledger, slack)
     pairs = features.pairs(cand, bank, features.key_stats(ledger))
     if bundle is None:
@@ -29,10 +32,17 @@ def plan(bank: DataFrame, ledger: DataFrame, slack: int = 7, bundle: Bundle | No
     return decide.decisions(bank, cand, pairs, best.join(sure, "record_id", "left"), p_multiple=many, calibrate=lambda _: F.col("_sure"), **options)
 
 
-def run_batch(bank: DataFrame, ledger: DataFrame, trail: Trail, approver: str, **options) -> tuple[str, DataFrame]:
-    """Decides and records a run; a failure marks it failed and is raised again."""
+def run_batch(bank: DataFrame, ledger: DataFrame, trail: Trail, approver: str, bundle_path: str | None = None, **options) -> tuple[str, DataFrame]:
+    """Decides and records a run; a failure marks it failed and is raised again.
+
+    With ``bundle_path`` the models there decide; if there are none, rules don't stand in
+    for them, and every record is queued as ``no_ranker``.
+    """
     run_id = trail.start_run(approver)
     try:
+        if bundle_path is not None:
+            bundle = Bundle.found(bank.sparkSession, bundle_path)
+            options |= {"bundle": bundle, "rules": bundle is not None}
         trail.record(run_id, plan(bank, ledger, **options))
     except Exception as e:
         trail.fail_run(run_id, f"{type(e).__name__}: {e}"[:500])
@@ -83,6 +93,16 @@ class Bundle:
         prior = (spark.read.parquet(f"{path}/prior"), manifest["median"], manifest["rate"])
         return Bundle(GBTClassificationModel.load(f"{path}/ranker"), GBTClassificationModel.load(f"{path}/detector"), PipelineModel.load(f"{path}/calibrator"), prior)
 
+    @staticmethod
+    def found(spark: SparkSession, path: str) -> Bundle | None:
+        """The bundle at ``path``; None if nothing is there. One that can't be read is an error."""
+        try:
+            return Bundle.load(spark, path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
 
 def train(bank: DataFrame, ledger: DataFrame, splits: DataFrame, slack: int = 7, trees: int = 20) -> Bundle:
     """``splits(match_id, split)``: ranker and detector on ``train``, the calibrator on ``val``. A grouped record's top key is never right."""
