@@ -131,14 +131,29 @@ def within(a: Column, b: Column, most: int) -> Column:
     return F.when(F.abs(apart) > most, F.lit(False)).when(begin < 0, F.lit(True)).otherwise(done)
 
 
-#: Counts of these letters are compared before two lines are; others would do as well. The
-#: first index has room for the first six, the second for all.
+#: Counts of classes of characters are compared before two lines are. A class is one of these
+#: letters, in either case, with the digits and the Greek and Cyrillic letters dealt to it;
+#: other letters would do as well. The first index has room for the first six classes, the
+#: second for all. Scripts with thousands of characters need none, as their segments are rare.
 LETTERS = "etnaoisrdlucmpg"
+DEALT = "0123456789" + "".join(map(chr, range(0x3B1, 0x3CA))) + "".join(map(chr, range(0x430, 0x460)))
 
 
-def letter_counts(line: Column, n: Column, letters: str) -> Column:
-    """Four bits for each letter: its count, modulo 16."""
-    counts = [F.shiftleft(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
+def in_classes(line: Column, letters: str) -> Column:
+    """A line whose characters are replaced one by one, so that each class is one letter.
+
+    An edit of the line is at most one edit of the result, but for the dot that some
+    capitals lose, which is in no class, and both small sigmas, which are in one.
+    """
+    small = F.lower(line)
+    to = {c: letters[i % len(letters)] for i, c in enumerate(DEALT)}
+    to["\u03c2"] = to["\u03c3"]
+    return F.when(small.rlike("[0-9\u03b1-\u03c9\u0430-\u045f]"), F.translate(small, "".join(to), "".join(to.values()))).otherwise(small)
+
+
+def letter_counts(line: Column, letters: str) -> Column:
+    """Four bits for each class of a line by :func:`in_classes`: its count, modulo 16."""
+    counts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
     return sum(counts[1:], counts[0])
 
 
@@ -183,7 +198,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, mos
     here = here.where(taken & (F.length("line") > most) & ~is_marked(F.col("bits"), F.col("pos")))
     here = here.select("line", F.length("line").alias("n")).withColumn("id", F.xxhash64("line"))
     few = LETTERS[:6]
-    here = here.withColumn("counts", letter_counts(F.col("line"), F.col("n"), few))
+    here = here.withColumn("_c", in_classes(F.col("line"), few)).withColumn("counts", letter_counts(F.col("_c"), few)).drop("_c")
     # one long for 39 bits of the segment's hash, whether it is own, and the counts: at two
     # edits a line has twelve of these rows
     packed = F.shiftleft("segment", 25).bitwiseOR(F.shiftleft(F.col("own").cast("long"), 24)).bitwiseOR(F.col("counts"))
@@ -198,7 +213,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, mos
     places = first.join(met.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi").select("first.*")
     asked = joined(rows, marked(places), "inner").select("k", "h", "bits", F.posexplode(lines).alias("pos", "line")).where(is_marked(F.col("bits"), F.col("pos")))
     asked = written(asked.select(F.struct(F.col("k").isNull().alias("last"), "k", "h", "pos").alias("at"), "line", F.length("line").alias("n")), "lines-asked")
-    asked = asked.withColumn("counts", letter_counts(F.col("line"), F.col("n"), LETTERS))
+    asked = asked.withColumn("_c", in_classes(F.col("line"), LETTERS)).withColumn("counts", letter_counts(F.col("_c"), LETTERS)).drop("_c")
     parts = segment_names(asked, most).drop("n")
     near = (F.col("a.segment") == F.col("b.segment")) & (F.col("a.own") + F.col("b.own") > 0) & (F.col("b.at") < F.col("a.at"))
     near = near & (counts_apart(F.col("a.counts"), F.col("b.counts"), LETTERS) <= 2 * most) & lines_within(F.col("a.line"), F.col("b.line"), most)
