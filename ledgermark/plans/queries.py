@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermark.functions import dates, money, residual
 from ledgermark.functions.gate import threshold
 from ledgermark.functions.order import checkpointed, scratch_path
 from ledgermark.functions.similarity import situation_vector
-from ledgermark.operators import audit, blocking, boost, cases, decide, evaluate, features, learn, models, narrate, rank, relearn, settle, solver
+from ledgermark.operators import assign, audit, blocking, boost, cases, decide, evaluate, features, learn, models, narrate, rank, relearn, settle, solver
 from ledgermark.plans import fixture as fx
 from ledgermark.plans.fixture import BANK, BASE, CAND, DECIDED, DECISIONS, LEDGER, PAIRED, PAIRS, RANKED, SCORED, STATS, table, with_
 from ledgermark.sources import csv_files
 from ledgermark.streaming import feed
 
+#: Weights are up to 5; an assignment may miss the greatest total by so much for each record.
+EPSILON = 0.05
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -147,6 +149,29 @@ def decisions_unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.decisions().groupBy("outcome", "path").agg(F.count("*").alias("n"), F.sum("n_blocked").alias("n_blocked"), F.sum("n_scored").alias("n_scored"))
 
 
+@query(
+    "assignment_check",
+    PAIRED + "SELECT count(DISTINCT record_id) FILTER (NOT is_mult) AS records, count(DISTINCT key) FILTER (NOT is_mult) AS keys, CAST(0 AS BIGINT) AS record_twice, CAST(0 AS BIGINT) AS key_twice, CAST(0 AS BIGINT) AS worse_than_greedy FROM pairs",
+)
+def assignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an assignment must hold: no record and no key twice, and no less weight, but for the bound, than records taking keys in turn of their best pair."""
+    x = View(spark, sf_dir)
+    edges = checkpointed(_edges(x))
+    got = checkpointed(assign.assign(edges, EPSILON))
+    mutual = edges.withColumn("a", F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("weight").desc(), "key"))).where("a = 1")
+    mutual = mutual.withColumn("b", F.row_number().over(Window.partitionBy("key").orderBy(F.col("weight").desc(), "record_id"))).where("b = 1")
+    least = mutual.agg(F.sum("weight").alias("least"))
+    totals = got.agg(F.sum("weight").alias("w"), F.count("*").alias("n"), (F.count("*") - F.count_distinct("record_id")).alias("record_twice"), (F.count("*") - F.count_distinct("key")).alias("key_twice"))
+    size = edges.agg(F.count_distinct("record_id").alias("records"), F.count_distinct("key").alias("keys"))
+    return size.crossJoin(totals).crossJoin(least).select("records", "keys", "record_twice", "key_twice", (F.col("w") + EPSILON * F.col("n") < F.col("least")).cast("long").alias("worse_than_greedy"))
+
+
+def _edges(x: View) -> DataFrame:
+    return x.pairs().where("not is_mult").select("record_id", "key", F.round(rank.closeness(), 6).alias("weight"))
+
+
+query("assignment")(v(lambda x: assign.assign(_edges(x), EPSILON)))
+
 # solver
 
 _POOL = """pool AS (SELECT DISTINCT c.record_id, c.key, l.amount_minor AS amount FROM cand c JOIN ledger l USING (key) WHERE c.record_id IN (SELECT record_id FROM bank WHERE is_mult)),
