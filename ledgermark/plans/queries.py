@@ -616,3 +616,26 @@ def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = spark.read.parquet(f"{root}/decisions").select("record_id", F.col("outcome").alias("streamed"), F.col("key").alias("streamed_key"))
     both = feed.decide_batch(x.bank.select(*cols), x.ledger).join(got, "record_id", "full")
     return both.groupBy("outcome", "streamed").agg(F.count("*").alias("n"), F.count_if(~F.col("key").eqNullSafe(F.col("streamed_key"))).alias("differ"))
+
+
+@query(
+    "lonely_events",
+    "SELECT user_id, count(*) AS n_pairs, count(*) FILTER (r IS NULL) AS lonely FROM (SELECT a.user_id, b.event_id AS r FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'error' AND b.ts BETWEEN a.ts - INTERVAL 1 DAY AND a.ts + INTERVAL 1 DAY WHERE a.event_type = 'purchase') GROUP BY 1",
+)
+def lonely_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the errors of their user within a day, from two streams; those without any come once the watermark has passed them."""
+    root = scratch_path(spark)
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    streams = []
+    for kind, at, name in (("purchase", "lt", "l"), ("error", "rt", "r")):
+        rows = e.where(F.col("event_type") == kind).select("user_id", F.col("ts").alias(at), F.col("event_id").alias(name))
+        rows.coalesce(1).write.parquet(f"{root}/{kind}")
+        # later rows of nobody move the watermark on, in batches of their own; without a key they would be dropped before it
+        for years in (50, 51, 52):
+            spark.range(1).select(F.lit(-1).cast(rows.schema["user_id"].dataType).alias("user_id"), F.make_timestamp(F.lit(2024 + years), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias(at), F.lit(-1).cast("long").alias(name)).write.mode("append").parquet(f"{root}/{kind}")
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{kind}"))
+    # events of one file come in any order, so none is late within it
+    joined = feed.near_in_time(*streams, "user_id", 1, "1 day", "left")
+    joined.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(joined.schema).parquet(f"{root}/out").where("l <> -1")
+    return got.groupBy("user_id").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("r").isNull()).alias("lonely"))

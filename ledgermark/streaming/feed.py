@@ -35,12 +35,22 @@ def decision_feed(bank_stream: DataFrame, ledger: DataFrame, path: str, checkpoi
     return bank_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def near_in_time(left: DataFrame, right: DataFrame, key: str, days: int = 7, lateness: str = "7 days") -> DataFrame:
-    """Inner band join of streams ``(key, lt, ...)`` and ``(key, rt, ...)``: rt within ``days`` of lt; watermarks bound the state."""
+def near_in_time(left: DataFrame, right: DataFrame, key: str, days: int = 7, lateness: str = "7 days", how: str = "inner") -> DataFrame:
+    """Band join of streams ``(key, lt, ...)`` and ``(key, rt, ...)``: rt within ``days`` of lt; watermarks bound the state.
+
+    With ``how="left"`` a row that nothing met follows with nulls, once the watermark is
+    past the last moment at which anything could have: both streams must have gone on by
+    ``days`` and ``lateness``. Rows later than that are dropped; :func:`late_rows` counts them.
+    """
     a = left.withWatermark("lt", lateness)
     b = right.withWatermark("rt", lateness).withColumnRenamed(key, "_k")
     band = F.expr(f"rt BETWEEN lt - INTERVAL {days} DAYS AND lt + INTERVAL {days} DAYS")
-    return a.join(b, (F.col(key) == F.col("_k")) & band).drop("_k")
+    return a.join(b, (F.col(key) == F.col("_k")) & band, {"inner": "inner", "left": "leftOuter"}[how]).drop("_k")
+
+
+def late_rows(query) -> int:
+    """Rows that a query's stateful operators dropped because they came after the watermark, over the progress it still holds."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
 
 
 def distinct_situations(stream: DataFrame, lateness: str = "1 day") -> DataFrame:

@@ -40,3 +40,26 @@ def test_situations_once(spark, tmp_path):
     e = spark.read.parquet(f"{DATA}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("situation"))
     got = run(spark, feed.distinct_situations(stream(spark, e, tmp_path / "s", 1), "60 days"), tmp_path, "once")
     assert got.count() == e.select("situation").distinct().count()
+
+
+def test_outer_band_join_and_late_rows(spark, tmp_path):
+    day = lambda d: F.expr(f"timestamp'2024-01-01' + INTERVAL {d} DAYS")
+
+    def put(name, column, rows):
+        """A file for each batch of (key, day, id)."""
+        for batch in rows:
+            df = None
+            for k, d, i in batch:
+                one = spark.range(1).select(F.lit(k).alias("k"), day(d).alias(column), F.lit(i).alias(name))
+                df = one if df is None else df.union(one)
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+
+    a = put("l", "lt", [[("x", 1, 1), ("y", 1, 2), ("x", 30, 3)], [("x", 200, 4)], [("y", 2, 5), ("x", 400, 6)], [("x", 600, 7)]])
+    b = put("r", "rt", [[("x", 3, 1), ("y", 20, 2), ("x", 31, 3)], [("x", 200, 4)], [("x", 400, 5)], [("x", 600, 6)]])
+    joined = feed.near_in_time(a, b, "k", 7, "10 days", "left")
+    q = joined.writeStream.format("memory").queryName("outer").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["l"], r["r"]) for r in spark.table("outer").collect()}
+    # the purchase of day 2 came when the watermark was past day 190: it is dropped and counted
+    assert got == {(1, 1), (2, None), (3, 3), (4, 4), (6, 5), (7, 6)} and feed.late_rows(q) == 1
