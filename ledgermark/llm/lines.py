@@ -136,24 +136,22 @@ def within(a: Column, b: Column, most: int) -> Column:
 #: other letters would do as well. The first index has room for the first six classes, the
 #: second for all. Scripts with thousands of characters need none, as their segments are rare.
 LETTERS = "etnaoisrdlucmpg"
-DEALT = "0123456789" + "".join(map(chr, range(0x3B1, 0x3CA))) + "".join(map(chr, range(0x430, 0x460)))
+DEALT = "0123456789" + "".join(map(chr, [*range(0x391, 0x3CA), *range(0x400, 0x460)]))
 
 
 def in_classes(line: Column, letters: str) -> Column:
-    """A line whose characters are replaced one by one, so that each class is one letter.
-
-    An edit of the line is at most one edit of the result, but for the dot that some
-    capitals lose, which is in no class, and both small sigmas, which are in one.
-    """
-    small = F.lower(line)
-    to = {c: letters[i % len(letters)] for i, c in enumerate(DEALT)}
-    to["\u03c2"] = to["\u03c3"]
-    return F.when(small.rlike("[0-9\u03b1-\u03c9\u0430-\u045f]"), F.translate(small, "".join(to), "".join(to.values()))).otherwise(small)
+    """A line whose digits and Greek and Cyrillic letters are replaced one by one by the letters of their classes."""
+    to = "".join(letters[i % len(letters)] for i in range(len(DEALT)))
+    return F.when(line.rlike("[0-9\u0391-\u03c9\u0400-\u045f]"), F.translate(line, DEALT, to)).otherwise(line)
 
 
 def letter_counts(line: Column, letters: str) -> Column:
     """Four bits for each class of a line by :func:`in_classes`: its count, modulo 16."""
-    counts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
+
+    def without(c):
+        return F.replace(F.replace(line, F.lit(c), F.lit("")), F.lit(c.upper()), F.lit(""))
+
+    counts = [F.shiftleft(((F.length(line) - F.length(without(c))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
     return sum(counts[1:], counts[0])
 
 
