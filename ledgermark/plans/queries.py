@@ -11,7 +11,7 @@ from ledgermark.functions import dates, money, residual
 from ledgermark.functions.gate import threshold
 from ledgermark.functions.order import checkpointed, scratch_path
 from ledgermark.functions.similarity import situation_vector
-from ledgermark.operators import assign, audit, blocking, boost, cases, decide, evaluate, features, learn, models, narrate, rank, relearn, settle, solver
+from ledgermark.operators import assign, audit, blocking, boost, cases, decide, evaluate, features, learn, models, narrate, patterns, rank, relearn, settle, solver
 from ledgermark.plans import fixture as fx
 from ledgermark.plans.fixture import BANK, BASE, CAND, DECIDED, DECISIONS, LEDGER, PAIRED, PAIRS, RANKED, SCORED, STATS, table, with_
 from ledgermark.sources import csv_files
@@ -172,6 +172,23 @@ def _edges(x: View) -> DataFrame:
 
 query("assignment")(v(lambda x: assign.assign(_edges(x), EPSILON)))
 
+_PATTERNED = "SELECT 'status=' || l_linestatus AS a, 'supplier=S' || l_suppkey AS b, 'size=' || CASE WHEN l_extendedprice < 20000 THEN 'small' WHEN l_extendedprice < 60000 THEN 'medium' ELSE 'large' END AS c, 'discount=' || CAST(round(l_discount * 100) AS INTEGER) AS d, CAST(round(l_extendedprice * 100) AS BIGINT) AS m FROM lineitem WHERE l_returnflag = 'R'"
+_PATTERNS = f"""WITH f AS ({_PATTERNED}), i AS (SELECT a AS pattern, m FROM f UNION ALL SELECT b, m FROM f UNION ALL SELECT c, m FROM f UNION ALL SELECT d, m FROM f),
+  j AS (SELECT a || ' & ' || b AS pattern, m FROM f UNION ALL SELECT a || ' & ' || c, m FROM f UNION ALL SELECT a || ' & ' || d, m FROM f UNION ALL SELECT b || ' & ' || c, m FROM f UNION ALL SELECT b || ' & ' || d, m FROM f UNION ALL SELECT c || ' & ' || d, m FROM f),
+  p AS (SELECT pattern, 1 AS size, count(*) AS n, CAST(sum(m) AS BIGINT) AS impact FROM i GROUP BY 1 HAVING count(*) >= 10 UNION ALL SELECT pattern, 2, count(*), CAST(sum(m) AS BIGINT) FROM j GROUP BY 1 HAVING count(*) >= 10)
+  """
+
+
+def _patterns(x: View) -> DataFrame:
+    at = table(x.spark, x.sf_dir, "lineitem").where("l_returnflag = 'R'")
+    size = F.when(F.col("l_extendedprice") < 20000, "small").when(F.col("l_extendedprice") < 60000, "medium").otherwise("large")
+    at = at.select(F.col("l_linestatus").alias("status"), F.concat(F.lit("S"), "l_suppkey").alias("supplier"), size.alias("size"), F.round(F.col("l_discount") * 100).cast("int").alias("discount"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"))
+    return patterns.frequent(at, ["status", "supplier", "size", "discount"], "amount")
+
+
+query("correction_patterns", _PATTERNS + "SELECT * FROM p")(v(_patterns))
+query("proposed_rules", _PATTERNS + "SELECT split_part(x.pattern, ' & ', 1) AS condition, split_part(x.pattern, ' & ', 2) AS outcome, x.n, x.impact, round(x.n / y.n::DOUBLE, 6) AS confidence FROM p x JOIN p y ON y.pattern = split_part(x.pattern, ' & ', 1) WHERE x.size = 2 AND x.pattern LIKE '% & size=%' UNION ALL SELECT split_part(x.pattern, ' & ', 2), split_part(x.pattern, ' & ', 1), x.n, x.impact, round(x.n / y.n::DOUBLE, 6) FROM p x JOIN p y ON y.pattern = split_part(x.pattern, ' & ', 2) WHERE x.size = 2 AND x.pattern LIKE 'size=%'")(v(lambda x: patterns.proposed(_patterns(x), "size")))
+
 # solver
 
 _POOL = """pool AS (SELECT DISTINCT c.record_id, c.key, l.amount_minor AS amount FROM cand c JOIN ledger l USING (key) WHERE c.record_id IN (SELECT record_id FROM bank WHERE is_mult)),
