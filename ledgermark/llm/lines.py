@@ -133,8 +133,9 @@ def within(a: Column, b: Column, most: int) -> Column:
 
 #: Counts of classes of characters are compared before two lines are. A class is one of these
 #: letters with the digits and the Greek and Cyrillic letters dealt to it; other letters would
-#: do as well. Latin capitals are in no class, as counting them costs more than it spares. The first index has room for the first six classes, the
-#: second for all. Scripts with thousands of characters need none, as their segments are rare.
+#: do as well. Latin capitals are in no class, as counting them costs more than it spares. The
+#: first index has room for the first six classes, the second for all. Scripts with thousands
+#: of characters need none, as their segments are rare.
 LETTERS = "etnaoisrdlucmpg"
 DEALT = "0123456789" + "".join(map(chr, [*range(0x391, 0x3CA), *range(0x400, 0x460)]))
 
@@ -147,7 +148,9 @@ def in_classes(line: Column, letters: str) -> Column:
 
 def letter_counts(line: Column, letters: str) -> Column:
     """Four bits for each class of a line by :func:`in_classes`: its count, modulo 16."""
-    counts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
+    # a class's letter is one byte, and a length in bytes is known without a look at the text
+    size = F.octet_length
+    counts = [F.shiftleft(((size(line) - size(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
     return sum(counts[1:], counts[0])
 
 
