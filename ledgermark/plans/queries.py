@@ -13,14 +13,15 @@ from ledgermark.functions.order import checkpointed, scratch_path
 from ledgermark.functions.similarity import situation_vector
 from ledgermark.operators import assign, audit, blocking, boost, cases, decide, evaluate, features, learn, models, narrate, patterns, rank, relearn, settle, solver
 from ledgermark.plans import fixture as fx
+from ledgermark.plans import parties
 from ledgermark.plans.fixture import BANK, BASE, CAND, DECIDED, DECISIONS, LEDGER, PAIRED, PAIRS, RANKED, SCORED, STATS, table, with_
 from ledgermark.sources import csv_files
 from ledgermark.streaming import feed
 
 #: Weights are up to 5; an assignment may miss the greatest total by so much for each record.
 EPSILON = 0.05
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = dict(parties.QUERIES)
+SQL: dict[str, str] = dict(parties.SQL)
 
 
 def query(name: str, sql: str | None = None):
