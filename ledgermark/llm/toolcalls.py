@@ -15,10 +15,10 @@ break the schema, name a later call, or name each other.
 
 Validation looks at the parsed arguments: unknown tool, no object, a required argument
 missing, an unknown argument, one of another type than the schema's (the text "1" is no
-integer, 1 no string, null nothing).
+integer, 1 no string, null nothing; 1e2, 100.0 and an integer of 45 digits are integers).
 
-Order: an argument names the call whose identifier is the argument's text; where several
-have it, the first. A call stays in its place, unless it names one that stands later: then it
+Order: an argument names the call whose identifier is the argument's text, or that of a string
+inside it at any depth; where several have it, the first. A call stays in its place, unless it names one that stands later: then it
 goes right behind the last of those that it names, or that those name, and so on. Most
 conversations need no move, which a hash join of named identifiers and calls tells; only in
 the others the order is worked out, in rounds over arrays of numbers: the last place
@@ -26,7 +26,8 @@ reached, with shortcuts through what others reach, then the steps to it. The rou
 many as the longest chain of moved calls, each linear in the conversation.
 
 Canonical JSON: keys in order, within arguments too, no spaces, ``/`` and non-ASCII
-characters as they are, control characters as ``to_json`` escapes them.
+characters as they are, control characters as ``to_json`` escapes them. Equal numbers have one
+text, with all their digits: 1000, 1e3 and 1000.0 are ``1000``, 1.50 is ``1.5``, -0.0 is ``0``, 1e400 stays itself.
 
 Cases: a row with a null conversation is in none, so it is a record of its own, ``open`` or
 ``orphan``; null identifiers never link; a call without result is ``open``, a result without
@@ -59,9 +60,92 @@ def json_text(x: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
 
 
+def _with(x: Column, f) -> Column:
+    """``f`` of ``x``, which is worked out once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+#: Stand for an escaped backslash and an escaped quote while a JSON text is cut; raw, neither is in valid JSON.
+BACKSLASH, QUOTE = "\u0001", "\u0002"
+NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+
+
+def _tokens(x: Column) -> Column:
+    """A valid JSON text as strings, numbers and what stands between them; only strings begin with a quote."""
+    plain = F.replace(F.replace(x, F.lit("\\\\"), F.lit(BACKSLASH)), F.lit('\\"'), F.lit(QUOTE))
+    between = lambda p: F.regexp_extract_all(p, F.lit(f"({NUMBER}|[^-0-9]+|-)"), F.lit(1))
+    return F.flatten(F.transform(F.split(plain, '"'), lambda p, i: F.when(i % 2 == 1, F.array(F.concat(F.lit('"'), p, F.lit('"')))).otherwise(between(p))))
+
+
+def _text(tokens: Column) -> Column:
+    return F.replace(F.replace(F.array_join(tokens, ""), F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASH), F.lit("\\\\"))
+
+
+def _is_number(token: Column) -> Column:
+    return token.rlike(r"^-?\d")
+
+
+def _placed(tokens: Column) -> Column:
+    """The JSON text with every number replaced by its place among the tokens, so that a parser that rounds can't touch it."""
+    return _text(F.transform(tokens, lambda t, i: F.when(_is_number(t), i.cast("string")).otherwise(t)))
+
+
+def decimal(token: Column) -> Column:
+    """A JSON number as ``(digits, e)``: digits without zeros at either end ("" for 0), and the power of ten they are times of (null beyond a long)."""
+    whole, part = F.regexp_extract(token, r"^-?(\d+)", 1), F.regexp_extract(token, r"\.(\d+)", 1)
+    digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    power = F.regexp_extract(token, r"[eE]\+?(-?\d+)$", 1)
+    power = F.when(power == "", F.lit(0).cast("long")).otherwise(power.try_cast("long")) - F.length(part)
+    short = F.regexp_replace(digits, "0+$", "")
+    return F.struct(short.alias("digits"), (power + F.length(digits) - F.length(short)).alias("e"))
+
+
+def number_text(token: Column) -> Column:
+    """One text for equal numbers, whose digits are all kept: plain with up to 38 places on either side of the point, else as ``1.5e99``."""
+
+    def said(x):
+        d, e = x["digits"], x["e"]
+        n = F.length(d)
+        cut = (n + e).cast("int")
+        zeros = lambda k: F.repeat(F.lit("0"), F.greatest(F.lit(0), F.least(F.lit(38), k)).cast("int"))
+        plain = F.when((e >= 0) & (n + e <= 38), F.concat(d, zeros(e))).when((e < 0) & (e >= -38), F.when(cut > 0, F.concat(F.left(d, cut), F.lit("."), F.substr(d, cut + 1, n))).otherwise(F.concat(F.lit("0."), zeros(-cut), d)))
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(d, 2, 2_000_000_000))).otherwise(F.lit(""))
+        long = F.concat(F.left(d, F.lit(1)), tail, F.lit("e"), (e + n - 1).cast("string"))
+        sign = F.when(token.startswith("-"), "-").otherwise("")
+        return F.when(d == "", F.lit("0")).when(e.isNull(), F.lower(token)).otherwise(F.concat(sign, F.coalesce(plain, long)))
+
+    return _with(decimal(token), said)
+
+
 def canonical(x: Column) -> Column:
-    """JSON with the keys of every object in order and without spaces; null if it is none, or repeats a key."""
-    return F.to_json(F.try_parse_json(x))
+    """JSON with the keys of every object in order, without spaces, and one text for equal numbers; null if it is none, or repeats a key."""
+
+    def exact(tokens):
+        sorted_ = _tokens(F.to_json(F.try_parse_json(_placed(tokens))))
+        return _text(F.transform(sorted_, lambda t: F.when(_is_number(t), number_text(F.get(tokens, t.try_cast("int")))).otherwise(t)))
+
+    # integers of up to fifteen digits come through the parser as they are
+    special = x.rlike(r"\d[.eE]|\d{16}|-0")
+    parsed = F.try_parse_json(x)
+    return F.when(parsed.isNotNull(), F.when(special, _with(_tokens(x), exact)).otherwise(F.to_json(parsed)))
+
+
+def _path(name: str) -> str | None:
+    """The place of an argument; null for a name that has both kinds of quotes, which no path can say."""
+    mark = '"' if "'" in name else "'"
+    return None if mark in name else f"$[{mark}{name}{mark}]"
+
+
+def _argument(text: Column, name: str) -> Column:
+    """The value of an argument as a variant."""
+    if _path(name) is None:
+        return F.element_at(F.from_json(text, "map<string,variant>"), name)
+    return F.try_variant_get(F.try_parse_json(text), _path(name), "variant")
+
+
+def is_whole(arguments: Column, name: str) -> Column:
+    """Whether an argument that is a number is an integer, however it is written (1e2, 45 digits)."""
+    return _with(_tokens(arguments), lambda tokens: decimal(F.get(tokens, F.try_variant_get(_argument(_placed(tokens), name), "$", "int")))["e"] >= 0)
 
 
 def marked_calls(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -91,8 +175,11 @@ def invalid(name: Column, arguments: Column, schemas: dict) -> Column:
             tests = tests.when(here & ~F.array_contains(keys, k), F.lit(f"missing {k}"))
         tests = tests.when(here & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in schema["types"]]))) > 0), F.lit("unknown argument"))
         for k, kind in sorted(schema["types"].items()):
-            found = F.schema_of_variant(F.try_variant_get(parsed, f"$['{k}']", "variant"))
-            tests = tests.when(here & F.array_contains(keys, k) & ~F.coalesce(found.rlike(SHAPES[kind]), F.lit(False)), F.lit(f"bad {k}"))
+            found = F.schema_of_variant(_argument(arguments, k))
+            fits = F.coalesce(found.rlike(SHAPES[kind]), F.lit(False))
+            if kind == "integer":  # doubles and decimals may be whole
+                fits = fits | F.when(found.rlike("^D(OUBLE|ECIMAL)"), is_whole(arguments, k)).otherwise(F.lit(False))
+            tests = tests.when(here & F.array_contains(keys, k) & ~F.coalesce(fits, F.lit(False)), F.lit(f"bad {k}"))
     return tests
 
 
@@ -115,8 +202,15 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> Dat
 
 
 def named(arguments: Column) -> Column:
-    """The texts of a call's arguments, each of which may be an identifier."""
-    return F.coalesce(F.map_values(F.from_json(arguments, "map<string,string>")), F.array().cast("array<string>"))
+    """The texts of a call's arguments, each of which may be an identifier: the top values, and the strings at any depth."""
+    top = F.coalesce(F.map_values(F.from_json(arguments, "map<string,string>")), F.array().cast("array<string>"))
+
+    def strings(tokens):
+        values = F.filter(tokens, lambda t, i: t.startswith('"') & ~F.ltrim(F.coalesce(F.get(tokens, i + 1), F.lit(""))).startswith(":"))
+        return F.coalesce(F.from_json(F.concat(F.lit("["), F.replace(F.replace(F.array_join(values, ","), F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASH), F.lit("\\\\")), F.lit("]")), "array<string>"), F.array().cast("array<string>"))
+
+    deep = arguments.rlike(r"(?s)^\s*\{.*[\[{]") & F.try_parse_json(arguments).isNotNull()
+    return F.when(deep, F.array_distinct(F.concat(top, _with(_tokens(arguments), strings)))).otherwise(top)
 
 
 def out_of_order(pairs: DataFrame) -> DataFrame:
@@ -131,11 +225,6 @@ def out_of_order(pairs: DataFrame) -> DataFrame:
     return met.where(F.col("first") >= F.col("place")).select("conv").distinct()
 
 
-def _with(x: Column, f) -> Column:
-    """``f`` of ``x``, which is worked out once."""
-    return F.get(F.transform(F.array(x), f), 0)
-
-
 def topological(calls: Column) -> Column:
     """An array of calls, in order of their places, put into topological order."""
     number = lambda x: x.cast("int")
