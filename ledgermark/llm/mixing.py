@@ -8,10 +8,11 @@ expectation, until one is integral. The steps keep a source's mass exactly, so o
 the last residual of a source moves its words away from the target, by less than
 that row's size.
 
-Rows meet in a reduction tree: leaves of about ``leaf`` rows, chosen by a hash of
-key and text, so that rows without a key spread too, leave one residual for each source and leaf; residuals of ``leaf`` leaves
-meet in the next level, and so on. Randomness is a hash of seed, level and key, so
-reruns and other partitionings agree.
+Rows meet in a reduction tree of each source: leaves of about ``leaf`` rows, chosen by a hash
+of key, text and number among equal rows, leave one residual each; residuals of ``leaf``
+leaves meet in the next level, and so on. A source's tree is as high as its own rows need.
+Tasks take bins of several leaves, so that many small sources are as cheap as few large
+ones. Randomness is a hash of seed, level and key, so reruns and other partitionings agree.
 
 Cases: a null text has size 0; rows of size 0 are taken ``floor(ratio)`` times (they
 carry no mass); a null source is a source of its own, ordered last; a null key is an
@@ -106,51 +107,73 @@ def pivot(rows: list, seed: int, level: int):
     return done, held
 
 
-def _leaf(seed: int, level: int, last: bool):
+def _leaves(seed: int, level: int):
+    """Rounds each (source, leaf) of a bin by itself; where it is the source's only leaf, its residual too."""
+
     def work(pdf):
+        import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values(["source", "size", "key", "h"], ascending=[True, False, True, True], na_position="last", kind="stable")
-        out = []
-        for _, group in pdf.groupby("source", dropna=False, sort=False):
-            rows = group[["key", "size", "fraction"]].astype(object).values.tolist()
-            for r, index in zip(rows, group.index, strict=True):
-                r.append(index)
-            done, held = pivot(rows, seed, level)
-            if held is not None and last:
-                held[2] = 1.0 if _draw(seed, -1, held[0], held[1], 0) < held[2] else 0.0
-                done, held = [*done, held], None
-            out += [(r[3], r[2], True) for r in done] + ([(held[3], held[2], False)] if held is not None else [])
-        index, fraction, done = zip(*out, strict=True)
-        got = pd.DataFrame({"fraction": fraction, "done": done}, index=list(index))
-        return pdf.drop(columns=["fraction"]).join(got)[["key", "source", "size", "h", "source_size", "target", "base", "leaf", "fraction", "done"]]
+        pdf = pdf.sort_values(["source", "leaf", "size", "k", "h", "nth"], ascending=[True, True, False, True, True, True], na_position="last", kind="stable").reset_index(drop=True)
+        source = pd.factorize(pdf["source"], use_na_sentinel=False)[0]
+        leaf, size, fraction = pdf["leaf"].to_numpy(), pdf["size"].tolist(), pdf["fraction"].to_numpy().copy()
+        last, key, done = (pdf["leaves"] == 1).tolist(), pdf["k"].tolist(), np.ones(len(pdf), bool)
+        starts = np.flatnonzero(np.r_[True, (source[1:] != source[:-1]) | (leaf[1:] != leaf[:-1])]).tolist()
+        for i, j in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            rows, held = pivot([[key[x], size[x], float(fraction[x]), x] for x in range(i, j)], seed, level)
+            if held is not None:
+                if last[i]:
+                    held[2] = 1.0 if _draw(seed, -1, held[0], held[1], 0) < held[2] else 0.0
+                else:
+                    done[held[3]] = False
+                rows.append(held)
+            for r in rows:
+                fraction[r[3]] = r[2]
+        return pdf.assign(fraction=fraction, done=done)[[c.split()[0] for c in ROW.split(", ")]]
 
     return work
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = SEED, leaf: int = 256) -> DataFrame:
-    """-> ``(key, h, source, size, source_size, target, copies)``, ``h`` a hash of the text, one row for each row of ``docs``."""
+ROW = "k string, source string, size long, h long, nth long, source_size long, target double, base long, leaf long, leaves long, fraction double, done boolean"
+
+
+def repeated(rows: DataFrame, n: str, nth: str, block: int = 65_536) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 as ``nth``; in two steps, so that no array holds more than a block or n / block numbers."""
+    blocks = rows.withColumn("_b", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {block})")))
+    return blocks.withColumn(nth, F.explode(F.expr(f"sequence(_b * {block}, least({n}, (_b + 1) * {block}) - 1)"))).drop("_b", n)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = SEED, leaf: int = 256, per_bin: int = 16) -> DataFrame:
+    """-> ``(key, h, source, size, source_size, target, copies)``, ``h`` a hash of the text, one row for each row of ``docs``.
+
+    ``per_bin`` leaves, of whatever sources, make one group of some ``leaf * per_bin`` rows.
+    """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("h")), "mix-sizes")
-    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aim = written(targets(sums, weights, share, most), "mix-targets")
-    at = slim.alias("d").join(aim.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
+    slim = docs.select(F.col(key).cast("string").alias("k"), F.col(source).alias("source"), size.alias("size"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("h"))
+    # equal rows are counted, and told apart by number from here on
+    slim = written(slim.groupBy("k", "source", "size", "h").agg(F.count("*").alias("m")), "mix-sizes")
+    sums = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n"))
+    sums = written(sums, "mix-sums")
+    aim = targets(sums.select("source", "source_size"), weights, share, most).alias("t").join(sums.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")))
+    aim = written(aim.select("t.*", F.ceil(F.col("s.n") / leaf).cast("long").alias("leaves")), "mix-targets")
+    at = slim.alias("d").join(aim.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", "t.leaves")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    n, kind = slim.count(), slim.schema["key"].dataType.simpleString()
-    leaves, level, done = max(1, -(-n // leaf)), 0, []
-    rows = at.withColumn("base", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.floor(ratio)).withColumn("leaf", F.pmod(F.xxhash64(F.lit(seed), "key", "size", "h"), F.lit(leaves)))
+    rows = repeated(at, "m", "nth").withColumn("base", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.floor(ratio))
+    rows = rows.withColumn("leaf", F.pmod(F.xxhash64(F.lit(seed), "k", "size", "h", "nth"), F.col("leaves")))
+    n, level, done = sums.agg(F.sum("n")).first()[0] or 0, 0, []
     while True:
-        got = written(rows.groupBy("leaf").applyInPandas(_leaf(seed, level, leaves == 1), f"key {kind}, source string, size long, h long, source_size long, target double, base long, leaf long, fraction double, done boolean"), "mix-level")
+        bins = max(1, -(-n // (leaf * per_bin)))
+        got = written(rows.withColumn("bin", F.pmod(F.xxhash64("source", "leaf"), F.lit(bins))).groupBy("bin").applyInPandas(_leaves(seed, level), ROW), "mix-level")
         done.append(got.where("done"))
-        if leaves == 1:
+        n, level = got.where("not done").count(), level + 1
+        if not n:
             break
-        # residuals of neighbouring leaves meet: at most one for each source and leaf
-        leaves, level = -(-leaves // leaf), level + 1
-        rows = got.where("not done").drop("done").withColumn("leaf", F.floor(F.col("leaf") / leaf))
+        # residuals of a source's neighbouring leaves meet: at most one for each, so at most ``leaf`` in a leaf
+        rows = got.where("not done").drop("done").withColumn("leaf", F.expr(f"leaf div {leaf}")).withColumn("leaves", F.expr(f"(leaves + {leaf - 1}) div {leaf}"))
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return out.select("key", "h", "source", "size", "source_size", "target", (F.col("base") + F.col("fraction").cast("long")).alias("copies"))
+    return out.select(F.col("k").cast(docs.schema[key].dataType).alias("key"), "h", "source", "size", "source_size", "target", (F.col("base") + F.col("fraction").cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
