@@ -168,60 +168,136 @@ def _in_turn(duplicate: float, most: int):
 
 # retrieval
 
-def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.85, also: Column | None = None, pivots: int = 32, compared=None) -> DataFrame:
-    """``queries(query_id, locus, situation)`` against ``cases(case_id, locus, situation, retired)`` -> ``query_id, case_id, similarity, rank``: the ``k`` most similar of the locus at ``least`` or more, ties by case_id, of pairs that ``also`` allows (columns of ``q`` and ``c``).
-
-    Exact, by the triangle inequality of angles. Some cases of each locus are its pivots;
-    every case belongs to the nearest one and to a ring of angles around it. A query first
-    looks about its own ring of its nearest pivot; its k-th similarity there, or ``least``,
-    bounds the angle within which any better case lies, and then it meets the cases in all
-    rings within that angle. Vectors of length 0 have similarity 0 to all. ``compared``,
-    if given, is called with the number of pairs compared.
+def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.85, also: Column | None = None, pivots: int = 32, compared=None, own: bool = True, digits: int | None = None) -> DataFrame:
+    """``queries(query_id, locus, situation)`` against ``cases(case_id, locus, situation, retired)`` -> ``query_id, case_id, similarity, rank``: the ``k`` most similar of the locus at ``least`` or more, ties by case_id, of pairs that ``also`` allows (of ``query_id`` and ``case_id``).
+
+    Exact, in two looks. Queries and cases are sorted along a curve through their places on
+    three directions, and a query is compared with ``pivots`` cases on either side of it;
+    the k-th similarity there, or ``least``, bounds how far off any better case is. Then it
+    meets the cases in the cells that this distance reaches, which are as wide as it, so the
+    denser the cases lie the smaller are the cells. Vectors of length 0 have similarity 0
+    to all.
+
+    Without ``also``, equal vectors are searched for once, and of equal cases only the first
+    few are looked at, as later ones can't be among the ``k``. ``own`` is whether a query may
+    find the case of its own id. With ``digits`` similarities that are equal when rounded are
+    ties. ``compared``, if given, is called with the number of pairs compared at most.
     """
-    allowed = F.lit(True) if also is None else also
     usable = cases.where("not retired and situation is not null and locus is not null").select("case_id", "locus", "situation")
     asked = queries.where("situation is not null and locus is not null").select("query_id", "locus", "situation")
+    allowed = F.lit(True) if also is None else also
+    if not own:
+        allowed = allowed & (F.col("query_id") != F.col("case_id"))
     if least <= 0:  # every case of the locus may count, those of length 0 too
         pairs = asked.alias("q").join(usable.alias("c"), (F.col("q.locus") == F.col("c.locus")) & allowed)
-        return _top(pairs.select("query_id", "case_id", F.coalesce(dot(unit(F.col("q.situation")), unit(F.col("c.situation"))), F.lit(0.0)).alias("similarity")).where(F.col("similarity") >= least), k)
-    usable = checkpointed(usable.withColumn("u", unit(F.col("situation"))).where("u is not null"))
-    asked = checkpointed(asked.withColumn("u", unit(F.col("situation"))).where("u is not null"))
-    drawn = Window.partitionBy("locus").orderBy(F.xxhash64("u", "case_id"), "case_id")
-    chosen = usable.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= pivots)
-    chosen = checkpointed(chosen.groupBy("locus").agg(F.collect_list("u").alias("pivots")))
-    wide = math.acos(least) + 1e-9
-    narrow = width = wide / 16
-
-    def near(p: Column) -> Column:
-        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), p)))
-
-    # the nearest pivot, the first of several, has the largest product
-    best = F.array_max(F.transform("pivots", lambda p, i: F.struct(dot(p, F.col("u")).alias("d"), (-i).alias("i"))))
-    placed = usable.join(chosen, "locus").withColumn("_b", best).select("case_id", "locus", "u", (1 - F.col("_b.i")).alias("pivot"), near(F.col("_b.d")).alias("angle"))
-    placed = checkpointed(placed.withColumn("ring", F.floor(F.col("angle") / width).cast("int")))
-    rings = checkpointed(placed.groupBy("locus", "pivot").agg(F.min("angle").alias("_low"), F.max("angle").alias("_high")))
-    asked = asked.join(chosen, "locus").withColumn("_a", F.transform("pivots", lambda p: near(dot(p, F.col("u"))))).drop("pivots")
-    around = asked.select("query_id", "locus", "situation", "u", F.array_min("_a").alias("_near"), F.posexplode("_a").alias("_p", "_to")).withColumn("pivot", F.col("_p") + 1).drop("_p")
-    around = checkpointed(around.join(rings, ["locus", "pivot"]))
-
-    def met(rows: DataFrame, reach: Column) -> DataFrame:
-        """Queries at pivots joined with the cases that ``reach`` leaves."""
-        low, high = F.greatest(F.col("_to") - reach, F.col("_low")), F.least(F.col("_to") + reach, F.col("_high"))
-        # a case that is nearer to this pivot than to the query's nearest one is at least half the difference away
-        looks = rows.withColumn("low", low).withColumn("high", high).where((F.col("low") <= F.col("high")) & ((F.col("_to") - F.col("_near")) / 2 <= reach))
-        looks = looks.withColumn("ring", F.explode(F.sequence(F.floor(F.col("low") / width).cast("int"), F.floor(F.col("high") / width).cast("int"))))
-        both = looks.alias("q").join(placed.alias("c"), (F.col("q.locus") == F.col("c.locus")) & (F.col("q.pivot") == F.col("c.pivot")) & (F.col("q.ring") == F.col("c.ring")) & F.col("c.angle").between(F.col("q.low"), F.col("q.high")) & allowed)
-        both = both.select("query_id", "case_id", dot(F.col("q.u"), F.col("c.u")).alias("similarity"))
-        return checkpointed(both) if compared else both
-
-    first = met(around.where(F.col("_to") == F.col("_near")), F.lit(narrow))
-    bound = _top(first.where(F.col("similarity") >= least), k).where(F.col("rank") == k).select("query_id", (F.acos(F.least(F.lit(1.0), F.col("similarity"))) + 1e-6).alias("_bound"))
-    second = met(around.join(checkpointed(bound), "query_id", "left"), F.least(F.coalesce("_bound", F.lit(wide)), F.lit(wide)))
+        return _top(pairs.select("query_id", "case_id", F.coalesce(dot(unit(F.col("q.situation")), unit(F.col("c.situation"))), F.lit(0.0)).alias("similarity")).where(F.col("similarity") >= least), k, digits)
+    usable, asked = (d.withColumn("u", unit(F.col("situation"))).where("u is not null").drop("situation") for d in (usable, asked))
+    if also is not None:
+        held = usable.select("locus", "u", F.array("case_id").alias("ids"))
+        wanted = asked.select(F.col("query_id").alias("_q"), "locus", "u")
+        need, fits = k, allowed
+    else:
+        need, fits = k + (not own), F.lit(True)
+        first = Window.partitionBy("locus", "u").orderBy("case_id")
+        held = usable.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= need).groupBy("locus", "u").agg(F.collect_list("case_id").alias("ids"))
+        asked = checkpointed(asked)
+        wanted = asked.select("locus", "u").distinct().withColumn("_q", F.monotonically_increasing_id())
+    held, wanted = checkpointed(held.withColumn("at", places(F.col("u")))), checkpointed(wanted.withColumn("at", places(F.col("u"))))
+    equal = 1e-12 + (2 * 10.0**-digits if digits is not None else 0.0)
+
+    sides = held.select("locus", "u", "ids", F.lit(None).cast(wanted.schema["_q"].dataType).alias("_q"), "at").union(wanted.select("locus", "u", F.lit(None).cast(held.schema["ids"].dataType), "_q", "at"))
+    sides = sides.withColumn("_z", along_curve(F.col("at"))).withColumn("_n", F.size("u")).repartitionByRange("locus", "_n", "_z").sortWithinPartitions("locus", "_n", "_z")
+    ids = held.schema["ids"].dataType.simpleString()
+    near = sides.select("locus", "_n", "u", "ids", "_q").mapInPandas(_beside(pivots, 2 * need), f"_q {wanted.schema['_q'].dataType.simpleString()}, ids {ids}, similarity double")
+    near = near.select(F.col("_q"), F.explode("ids").alias("case_id"), "similarity").withColumn("query_id", F.col("_q")).where((F.col("similarity") >= least) & fits)
+    bound = _top(near.select(F.col("_q").alias("query_id"), "case_id", "similarity"), need).where(F.col("rank") == need).select(F.col("query_id").alias("_q"), (F.col("similarity") - equal).alias("_least"))
+
+    wide = math.sqrt(2 - 2 * least) + 1e-9
+    looks = wanted.join(bound, "_q", "left").withColumn("_least", F.greatest(F.coalesce("_least", F.lit(least)), F.lit(least)))
+    looks = looks.withColumn("_far", F.least(F.lit(wide), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_least"))) + 1e-9))
+    looks = checkpointed(looks.withColumn("level", F.least(F.lit(30), F.floor(F.log2(wide / F.col("_far")))).cast("int")))
+
+    def width(level: Column) -> Column:
+        return F.lit(wide) * F.pow(F.lit(2.0), -level)
+
+    levels = [r[0] for r in looks.select("level").distinct().collect()]  # 31 at most
+    reach = [F.sequence(*(F.floor((F.col("at")[i] + d * F.col("_far")) / width(F.col("level"))).cast("long") for d in (-1, 1))) for i in range(DIRECTIONS)]
+    looked = looks
+    for i, r in enumerate(reach):
+        looked = looked.withColumn(f"_c{i}", F.explode(r))
+    there = held.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    for i in range(DIRECTIONS):
+        there = there.withColumn(f"_c{i}", F.floor(F.col("at")[i] / width(F.col("level"))).cast("long"))
+    cells = ["locus", "level", *[f"_c{i}" for i in range(DIRECTIONS)]]
+    close = F.col("q._q").isNotNull()
+    for i in range(DIRECTIONS):
+        close = close & (F.abs(F.col("q.at")[i] - F.col("c.at")[i]) <= F.col("q._far"))
+    for c in cells:
+        close = close & (F.col(f"q.{c}") == F.col(f"c.{c}"))
+    met = looked.alias("q").join(there.alias("c"), close).select("_q", "_least", "ids", dot(F.col("q.u"), F.col("c.u")).alias("similarity"))
     if compared:
-        compared(first.count() + second.count())
-    return _top(second.where(F.col("similarity") >= least), k)
+        met = checkpointed(met)
+        compared(wanted.count() * 2 * pivots + met.count())
+    met = met.where((F.col("similarity") >= least) & (F.col("similarity") >= F.col("_least"))).select(F.col("_q").alias("query_id"), F.explode("ids").alias("case_id"), "similarity")
+    if also is not None:
+        return _top(met.where(fits), k, digits)
+    found = _top(met, need, digits).drop("rank").withColumnRenamed("query_id", "_q")
+    named = asked.join(wanted.select("locus", "u", "_q"), ["locus", "u"]).select("query_id", "_q").join(found, "_q").drop("_q").where(allowed)
+    return _top(named, k, digits)
+
+
+def places(unit_vector: Column) -> Column:
+    """The places of a unit vector on :data:`DIRECTIONS` fixed directions; no further apart than the vectors."""
+
+    def along(k: int) -> Column:
+        signed = F.transform(unit_vector, lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(k)), F.lit(2)) == 0, x).otherwise(-x))
+        return F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size(unit_vector))
+
+    return F.array(*[along(k) for k in range(DIRECTIONS)])
+
+
+def along_curve(at: Column) -> Column:
+    """Three places from -1 to 1 as one number that keeps near ones near: their bits in turn."""
+
+    def spread(x: Column) -> Column:
+        for by, mask in ((16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            x = x.bitwiseOR(F.shiftleft(x, by)).bitwiseAND(F.lit(mask).cast("long"))
+        return x
+
+    bits = [spread(F.floor((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at[k])) + 1) * 32767).cast("long")) for k in range(DIRECTIONS)]
+    return bits[0].bitwiseOR(F.shiftleft(bits[1], 1)).bitwiseOR(F.shiftleft(bits[2], 2))
+
+
+def _beside(each: int, most: int):
+    """Of sorted queries and cases: for each query the ``most`` best of ``each`` cases before and after it, within an Arrow batch."""
+
+    def work(batches):
+        import numpy as np
+        import pandas as pd
+
+        for whole in batches:
+            for _, pdf in whole.groupby(["locus", "_n"], sort=False):
+                is_case = pdf["ids"].notna().to_numpy()
+                if is_case.all() or not is_case.any():
+                    continue
+                before = np.cumsum(is_case)[~is_case]
+                held, wanted = np.stack(pdf["u"].to_numpy()[is_case]), np.stack(pdf["u"].to_numpy()[~is_case])
+                ids, names = pdf["ids"].to_numpy()[is_case], pdf["_q"].to_numpy()[~is_case]
+                step = max(1, 2_000_000 // (2 * each * held.shape[1]))
+                for lo in range(0, len(wanted), step):
+                    at = before[lo : lo + step, None] + np.arange(-each, each)
+                    there = (at >= 0) & (at < len(held))
+                    at = np.clip(at, 0, len(held) - 1)
+                    sims = np.where(there, np.einsum("qd,qed->qe", wanted[lo : lo + step], held[at]), -2.0)
+                    best = np.argsort(-sims, 1)[:, :most]
+                    sims = np.take_along_axis(sims, best, 1)
+                    row, col = np.nonzero(sims > -2.0)
+                    yield pd.DataFrame({"_q": names[lo + row], "ids": ids[np.take_along_axis(at, best, 1)[row, col]], "similarity": sims[row, col]})
+
+    return work
 
 
-def _top(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "case_id")
+def _top(found: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    by = F.col("similarity") if digits is None else F.round("similarity", digits)
+    best = Window.partitionBy("query_id").orderBy(by.desc(), "case_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -80,6 +80,24 @@ def test_retrieve_compares_few(spark):
     assert seen[0] < 0.2 * 200 * 2000
 
 
+def test_retrieve_equal_vectors_grow_in_line(spark):
+    """Copies of the cases, under ids of their own, add no comparisons, and ties by rounding go by id."""
+    rng = np.random.default_rng(4)
+    base = np.round(np.abs(rng.normal(size=(300, 4))), 3)
+    counts = []
+    for copies in (1, 8):
+        df = spark.createDataFrame([(c * 300 + i, f"c{c * 300 + i:05}", "l", v.tolist()) for c in range(copies) for i, v in enumerate(base)], ARRIVAL)
+        seen = []
+        got = cases.retrieve(df.where("seq % 20 = 0").withColumnRenamed("case_id", "query_id"), df.withColumn("retired", F.lit(False)), compared=seen.append, own=False, digits=9).collect()
+        counts.append(seen[0])
+        units = base / np.linalg.norm(base, axis=1)[:, None]
+        sims = np.tile(units @ units.T, (1, copies))
+        for q in range(0, 300 * copies, 20):
+            best = sorted((-round(s, 9), c) for c, s in enumerate(sims[q % 300]) if c != q and s >= 0.85)[:5]
+            assert sorted((r["rank"], r["case_id"]) for r in got if r["query_id"] == f"c{q:05}") == [(n, f"c{c:05}") for n, (_, c) in enumerate(best, 1)]
+    assert counts[1] <= 2 * counts[0]
+
+
 def streamed(spark, parts, path, most=50_000, duplicate=0.95):
     """One file and one run for each part; every run goes on from the checkpoint of the last."""
     for part in parts:
