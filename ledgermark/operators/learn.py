@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermark.functions.order import positioned
+from ledgermark.functions.order import checkpointed, positioned
 from ledgermark.operators.cases import retain, retrieve  # noqa: F401  cases kept from corrections, and found again
 
 LOCI = ("none", "multiplicity", "blocking", "ranking", "threshold", "unattributed")
@@ -63,10 +63,19 @@ def simulate(decisions: DataFrame, truth: DataFrame, *, batch_size: int = 500, s
     record was told. Returns per batch: decided, posted, wrong, corrected, and the shares
     that were posted (autonomy) and rightly so (precision).
     """
+    return simulated(arrivals(decisions, truth, batch_size), spot_check=spot_check, arm=arm, seed=seed)
+
+
+def arrivals(decisions: DataFrame, truth: DataFrame, batch_size: int = 500) -> DataFrame:
+    """Decisions with their labels and batches, written once for however many arms."""
+    at = decisions.join(truth, "record_id").select("record_id", "account", "amount_minor", "outcome", "key", "label")
+    return checkpointed(positioned(at, ["record_id"]).withColumn("batch", F.floor((F.col("position") - 1) / batch_size)).drop("position"))
+
+
+def simulated(at: DataFrame, *, spot_check: float = 0.25, arm: str = "corrections", seed: int = 7) -> DataFrame:
+    """:func:`simulate` on :func:`arrivals`."""
     if arm not in ("off", "corrections", "spot_check", "placebo", "shuffled"):
         raise ValueError(f"unknown arm {arm}")
-    at = decisions.join(truth, "record_id").select("record_id", "account", "amount_minor", "outcome", "key", "label")
-    at = positioned(at, ["record_id"]).withColumn("batch", F.floor((F.col("position") - 1) / batch_size))
     share = F.pmod(F.xxhash64("record_id", F.lit(seed)), F.lit(1000)) / 1000
     seen = F.col("outcome") == "queued"
     if arm in ("spot_check", "placebo", "shuffled"):

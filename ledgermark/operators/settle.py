@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermark.functions.order import positioned
+from ledgermark.functions.order import checkpointed, positioned
 from ledgermark.operators import learn
 
 #: Days that part the buckets, and the shortest span worth aging.
@@ -56,11 +56,15 @@ def aging(decisions: DataFrame) -> DataFrame:
 
 def overview(decisions: DataFrame, top: int = 10) -> DataFrame:
     """Size of the queue, its value, largest and middle amount, and the share of the ``top`` largest."""
-    q = decisions.where("outcome <> 'posted'").select("record_id", F.abs("amount_minor").alias("a"))
-    up = positioned(q, ["a", "record_id"])
-    n = up.agg(F.count("*").alias("n"))
-    largest = q.select("a").orderBy(F.desc("a")).limit(top).agg(F.sum("a").alias("top"))
-    rest = up.crossJoin(F.broadcast(n)).agg(F.count("*").alias("n_queue"), F.sum("a").alias("value"), F.max("a").alias("largest"), F.max(F.when(F.col("position") == F.expr("n div 2") + 1, F.col("a"))).alias("middle"))
+    q = checkpointed(decisions.where("outcome <> 'posted'").groupBy(F.abs("amount_minor").alias("a")).agg(F.count("*").alias("n")))
+    up = positioned(q.where("a is not null"), ["a"], {"upto": F.col("n")})
+    some = q.where("a is not null").orderBy(F.desc("a")).limit(top).select(F.explode(F.array_repeat("a", F.least("n", F.lit(top)).cast("int"))).alias("a"))
+    largest = some.orderBy(F.desc("a")).limit(top).agg(F.sum("a").alias("top"))
+    sums = q.agg(F.sum("n").alias("n_queue"), F.sum(F.col("a") * F.col("n")).alias("value"), F.max("a").alias("largest"), F.sum(F.when(F.col("a").isNull(), F.col("n")).otherwise(0)).alias("_none"))
+    sums = sums.select(F.coalesce("n_queue", F.lit(0)).alias("n_queue"), "value", "largest", "_none")
+    # missing amounts come first in this order
+    middle = up.crossJoin(F.broadcast(sums)).where(F.col("upto") + F.col("_none") >= F.expr("n_queue div 2") + 1).agg(F.min("a").alias("middle"))
+    rest = sums.crossJoin(middle).withColumn("middle", F.when(F.col("_none") < F.expr("n_queue div 2") + 1, F.col("middle")))  # one row each
     return rest.crossJoin(largest).select("n_queue", "value", "largest", F.round(F.col("top") / F.col("value"), 6).alias("top10_share"), "middle")
 
 
@@ -72,10 +76,15 @@ def even_sample(rows: DataFrame, order: str, want: int) -> DataFrame:
     return at.join(F.broadcast(places), "position").select(*rows.columns, "position")
 
 
-def loci(judged: DataFrame, cand: DataFrame) -> DataFrame:
-    """Decisions with their labels -> ``record_id, locus`` as a reviewer who knows the label would attribute them."""
-    hit = cand.select("record_id", F.col("key").alias("label")).withColumn("hit", F.lit(True))
-    at = judged.join(hit, ["record_id", "label"], "left")
+def loci(judged: DataFrame, cand: DataFrame | None = None) -> DataFrame:
+    """Decisions with their labels -> ``record_id, locus`` as a reviewer who knows the label would attribute them.
+
+    Without ``cand``, ``judged`` says itself whether the label is a candidate (``hit``).
+    """
+    at = judged
+    if cand is not None:
+        hit = cand.select("record_id", F.col("key").alias("label")).withColumn("hit", F.lit(True))
+        at = judged.join(hit, ["record_id", "label"], "left")
     right = F.array("label")
     offered = F.when(F.col("hit"), right).otherwise(F.array().cast("array<string>"))
     return at.select("record_id", learn.locus(right, offered, F.col("ranked_keys"), F.col("outcome") == "posted", F.col("path") == "multiplicity", F.col("is_mult")).alias("locus"))
@@ -90,9 +99,9 @@ def retrieve_vectors(vectors: DataFrame, k: int = 5, least: float = 0.1) -> Data
 
 def arms(decisions: DataFrame, truth: DataFrame) -> DataFrame:
     """Every arm of the learning simulation, one after the other."""
-    out = None
+    out, at = None, learn.arrivals(decisions, truth)
     for arm in ("off", "corrections", "spot_check", "placebo", "shuffled"):
-        rows = learn.simulate(decisions, truth, arm=arm).withColumn("arm", F.lit(arm))
+        rows = learn.simulated(at, arm=arm).withColumn("arm", F.lit(arm))
         out = rows if out is None else out.union(rows)
     return out
 

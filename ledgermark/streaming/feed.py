@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ledgermark.operators import blocking, decide, features, rank
+from ledgermark.operators import decide, features
 from ledgermark.operators.cases import ROUNDING
 
 #: From a cell to itself and its neighbours.
@@ -18,9 +18,7 @@ STEPS = list(itertools.product((-1, 0, 1), repeat=3))
 
 def decide_batch(bank: DataFrame, ledger: DataFrame) -> DataFrame:
     """Decisions by rules; a record's decision depends on no other record."""
-    cand = blocking.candidates(bank, ledger)
-    pairs = features.pairs(cand, bank, features.key_stats(ledger))
-    return decide.decisions(bank, cand, pairs, rank.ranked(rank.rules_score(pairs)))
+    return decide.decided(decide.looked_up(features.brief(bank), ledger, features.key_stats(ledger)))
 
 
 def decision_feed(bank_stream: DataFrame, ledger: DataFrame, path: str, checkpoint: str):
