@@ -36,26 +36,42 @@ def grams(name: Column) -> Column:
 def similar(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
     """Pairs ``(left, right, similarity)`` of ``left(name)`` and ``right(name)``, distinct normalised names, with a Jaccard similarity of at least ``least``.
 
-    A name's groups are ordered by how many names have them, rarest first. Of n groups
-    the first n - ceil(least * n) + 1 must hold one of those of any partner.
+    A name's groups are ordered by how many names have them, rarest first. Partners share
+    t = ceil(least * n) groups or more; if these are two at least, two of them are among the
+    first n - t + 2 of either, so names meet by pairs of groups, of which there are many more
+    than groups. Only names that may share a single group meet by one. Bits of the groups tell
+    most of those apart that meet by chance, before names' groups are compared.
     """
     sides = [checkpointed(d.select("name", grams(F.col("name")).alias("grams")).where(F.size("grams") > 0)) for d in (left, right)]
     rare = sides[0].union(sides[1]).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     rare = checkpointed(rare)
+    words = [f"b{w}" for w in range(4)]
 
     def heads(side):
         every = side.select("name", F.explode("grams").alias("gram")).join(rare, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
-        size = F.size("g")
+        every = every.select("name", F.transform("g", lambda x: x["gram"]).alias("g"), F.size("g").alias("n"))
         # a hair less, so that rounding never shortens what is looked at
-        head = F.slice("g", 1, (size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1))
-        return checkpointed(every.select("name", F.transform("g", lambda x: x["gram"]).alias("grams"), F.explode(F.transform(head, lambda x: x["gram"])).alias("gram")))
+        every = every.withColumn("t", F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int")))
+        head = F.slice("g", 1, F.col("n") - F.greatest(F.col("t"), F.lit(2)) + 2)
+        none = F.array().cast("array<bigint>")
+        two = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y: F.xxhash64(x, y))))
+        one = F.when(F.col("t") < 2, F.transform("g", lambda x: F.xxhash64(x))).otherwise(none)
+        place = lambda x: F.pmod(F.xxhash64(x, F.lit(1)), F.lit(256)).cast("int")
+
+        def bits(w):
+            return F.aggregate("g", F.lit(0).cast("long"), lambda s, x: F.when(F.shiftright(place(x), 6) == w, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(x).bitwiseAND(F.lit(63))))).otherwise(s))
+
+        return checkpointed(every.select("name", "n", *[bits(w).alias(f"b{w}") for w in range(4)], F.concat(F.when(F.col("n") > 1, two).otherwise(none), one).alias("signs")).withColumn("sign", F.explode("signs")).drop("signs"))
 
     a, b = heads(sides[0]).alias("a"), heads(sides[1]).alias("b")
-    small, large = F.least(F.size("a.grams"), F.size("b.grams")), F.greatest(F.size("a.grams"), F.size("b.grams"))
-    shared = F.size(F.array_intersect("a.grams", "b.grams"))
-    ratio = shared / (F.size("a.grams") + F.size("b.grams") - shared)
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (small >= large * least - 1e-9) & (ratio >= least))
-    return met.select(F.col("a.name").alias("left"), F.col("b.name").alias("right"), ratio.alias("similarity")).distinct()
+    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    apart = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words[1:]), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
+    met = a.join(b, (F.col("a.sign") == F.col("b.sign")) & (small >= large * least - 1e-9) & (apart <= (F.col("a.n") + F.col("b.n")) * ((1 - least) / (1 + least)) + 1e-9))
+    met = met.select(F.col("a.name").alias("left"), F.col("b.name").alias("right")).distinct()
+    met = met.join(sides[0].select(F.col("name").alias("left"), F.col("grams").alias("_a")), "left").join(sides[1].select(F.col("name").alias("right"), F.col("grams").alias("_b")), "right")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    ratio = shared / (F.size("_a") + F.size("_b") - shared)
+    return met.where(ratio >= least).select("left", "right", ratio.alias("similarity"))
 
 
 def trusted(aliases: DataFrame, confirmations: int = 3) -> DataFrame:

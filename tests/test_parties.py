@@ -1,5 +1,6 @@
 """Ranges, identity, clusters and history against plain Python."""
 
+import itertools
 import random
 
 import pytest
@@ -99,3 +100,13 @@ def test_history_merges_within_its_bound(spark):
     assert (got["q"]["n_records"], got["q"]["median_lag_days"], got["q"]["usual_deduction_bps"], got["q"]["deduction_stability"], got["q"]["mult_rate"]) == (2, 5, 200, 1.0, 0.5)
     assert got[None]["deduction_stability"] is None
     assert history.history(history.rolled(history.daily(records.limit(0)), ["payer"])).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.2, 0.6, 1.0])
+def test_similar_names_that_share_one_group_or_two(spark, least):
+    """Names of one to four letters, where prefixes for two shared groups are whole names or don't do."""
+    names = sorted({"".join(p) for n in (1, 2, 3, 4) for p in itertools.product("ab", repeat=n)})
+    sets = {x: {f" {x} "[i : i + 3] for i in range(len(x))} for x in names}
+    df = spark.createDataFrame([(x,) for x in names], "name string")
+    got = {(r["left"], r["right"]) for r in identity.similar(df, df, least).collect()}
+    assert got == {(x, y) for x in names for y in names if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= least}
