@@ -9,6 +9,7 @@ targets over ``ceiling`` are ``too_large``.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,22 +93,72 @@ def solve_one(target: int, amounts: list[int], *, tolerance: int = 0, most: int
 
 
 def solve_general(targets: DataFrame, pool: DataFrame, **options) -> DataFrame:
-    """:func:`solve_one` for each record, where tolerance or more than three parts are wanted."""
+    """:func:`solve_one` for each record, where tolerance or more than three parts are wanted.
+
+    Records come in Arrow batches with their pools as arrays; up to three parts, those with
+    pools of one size are tried together.
+    """
     cap = options.get("cap", CAP)
     sized = pool.join(targets, "record_id").withColumn("n", F.count("*").over(Window.partitionBy("record_id")))
+    held = sized.where(F.col("n") <= cap).groupBy("record_id", "target").agg(F.array_sort(F.collect_list(F.struct("key", "amount"))).alias("i"))
+    held = held.select("record_id", "target", F.transform("i", lambda x: x["key"]).alias("keys"), F.transform("i", lambda x: x["amount"]).alias("amounts"))
 
-    def work(pdf):
+    def work(batches):
         import pandas as pd
 
-        pdf = pdf.sort_values(["key", "amount"])
-        status, at, residual = solve_one(int(pdf["target"].iloc[0]), [int(a) for a in pdf["amount"]], **options)
-        return pd.DataFrame([{"record_id": pdf["record_id"].iloc[0], "status": status, "members": ",".join(sorted(pdf["key"].iloc[i] for i in at)), "residual": residual}])
+        for pdf in batches:
+            got = solve_many(pdf["target"].tolist(), pdf["amounts"].tolist(), **options)
+            yield pd.DataFrame({"record_id": pdf["record_id"], "status": [g[0] for g in got], "members": [",".join(sorted(keys[i] for i in g[1])) for keys, g in zip(pdf["keys"], got, strict=True)], "residual": [g[2] for g in got]})
 
-    small = sized.where(F.col("n") <= cap).groupBy("record_id").applyInPandas(work, "record_id string, status string, members string, residual long")
+    small = held.mapInPandas(work, "record_id string, status string, members string, residual long")
     large = sized.where(F.col("n") > cap).select("record_id", F.lit("too_large").alias("status"), F.lit("").alias("members"), F.col("target").alias("residual")).distinct()
     return small.union(large)
 
 
+@lru_cache(maxsize=256)
+def _parts(n: int, k: int):
+    """All choices of ``k`` of ``n``, in the order in which :func:`solve_one` comes upon them: by the last part, then the one before."""
+    import numpy as np
+
+    every = np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k)
+    return every[np.lexsort(every.T)]
+
+
+def solve_many(targets: list[int], pools: list, *, tolerance: int = 0, most: int = 3, cap: int = CAP, ceiling: int = CEILING, unique: bool = True) -> list[tuple[str, list[int], int]]:
+    """:func:`solve_one` of each; pools of one size are summed as one array where parts are few."""
+    import numpy as np
+
+    out: list = [None] * len(targets)
+    sizes: dict[int, list] = {}
+    for r, (target, amounts) in enumerate(zip(targets, pools, strict=True)):
+        target, amounts = int(target), np.asarray(amounts, np.int64)
+        if most > 3 or len(amounts) > CAP or target <= 0 or target > ceiling or len(amounts) > cap or (amounts < 0).any():
+            out[r] = solve_one(target, amounts.tolist(), tolerance=tolerance, most=most, cap=cap, ceiling=ceiling, unique=unique)
+            continue
+        usable = np.flatnonzero((amounts > 0) & (amounts <= target + tolerance))
+        sizes.setdefault(len(usable), []).append((r, target, usable, amounts[usable]))
+    for n, rows in sizes.items():
+        ways = [_parts(n, k) for k in range(1, min(most, n) + 1)]
+        step = max(1, 2_000_000 // max([len(w) for w in ways], default=1))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
+            target = np.array([x[1] for x in part])
+            amounts = np.array([x[3] for x in part], np.int64).reshape(len(part), n)
+            best = [None] * len(part)
+            for k, w in enumerate(ways):
+                total = sum(amounts[:, w[:, j]] for j in range(k + 1))
+                # nearest first, the lower of two sums that are as near
+                cost = 2 * np.abs(target[:, None] - total) + (total > target[:, None])
+                least, at = cost.min(1), cost.argmin(1)
+                many = (cost == least[:, None]).sum(1)
+                for i in range(len(part)):
+                    if least[i] // 2 <= tolerance and (best[i] is None or least[i] < best[i][0]):
+                        best[i] = (least[i], w[at[i]], many[i], int(target[i] - total[i, at[i]]))
+            for (r, t, usable, _), b in zip(part, best, strict=True):
+                out[r] = ("infeasible", [], t) if b is None else ("ambiguous", [], b[3]) if unique and b[2] > 1 else ("solved", usable[b[1]].tolist(), b[3])
+    return out
+
+
 def brute(target: int, amounts: list[int], most: int = 3) -> str:
     """The same statuses by trying every subset; for tests."""
     if target == 0:

@@ -190,3 +190,11 @@ def test_settled_lines(spark):
     for bad in ({"key_id": "live"}, {"month": 13}, {"count": 2000}):
         with pytest.raises(ValueError):
             settled.fetch_settled(spark, **({"key_id": "rzp_test_x", "key_secret": "y", **ask} | bad))
+
+
+@pytest.mark.parametrize(("tolerance", "most", "unique"), [(0, 3, True), (3, 3, True), (3, 2, False), (5, 3, False)])
+def test_many_pools_at_once_equal_one_by_one(tolerance, most, unique):
+    rng = random.Random(tolerance + most)
+    cases = [(rng.randint(0, 60), [rng.randint(0, 40) for _ in range(rng.randint(0, 9))]) for _ in range(400)] + [(30, [1] * 65), (6_000_000_000, [5])]
+    options = {"tolerance": tolerance, "most": most, "unique": unique}
+    assert solver.solve_many(*map(list, zip(*cases, strict=True)), **options) == [solver.solve_one(t, a, **options) for t, a in cases]
