@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermark.llm import jaccard, lines, mixing, pieces, quality
+from ledgermark.llm import jaccard, lines, mixing, pieces, quality, simhash
 from ledgermark.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,14 +29,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of near copies the document with the smallest id stays.
+    """Operator 6: of each group that SimHash links the document with the smallest id stays.
 
-    Near copies have a similarity of 0.8 or more in shingles of five words; the query's
-    three words and three bits would miss most of them.
+    Three differing bits miss most near copies, so what SimHash leaves is joined by its
+    shingles of five words, where a similarity of 0.8 or more makes a near copy.
 
     Rows that share that id stay together; a group of null ids alone stays whole.
     """
-    groups = jaccard.groups(docs).where(F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()))
+    docs = written(_smallest(docs.select(*COLUMNS), simhash.groups(docs.select("doc_id", "text"))), "pipeline-simhash")
+    return _smallest(docs, jaccard.groups(docs))
+
+
+def _smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    groups = groups.where(F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()))
     kept = written(groups.select(F.col("doc_id").alias("kept")).distinct(), "pipeline-kept")
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(*COLUMNS)
 
