@@ -3,15 +3,11 @@
 Retention is order-dependent: an arrival confirms the earliest kept case of its locus that is
 a near copy, or else is kept. That is the lexicographically first independent set of the
 near-copy relation, so it can be found in blocks: the first undecided arrivals of a locus
-(at most ``block``) are worked through in order, what they keep is joined with all the
-rest by cell, and matched arrivals leave. Each round decides a block and everything like
-it; no task holds a locus and no pairs among arrivals are made. Only a locus that keeps
-more than ``most`` cases, where each further case drives one out, goes through one task
-that holds ``most`` cases and takes its arrivals as they come.
-
-Two unit vectors with a cosine of c are sqrt(2 - 2c) apart, and so at most are their
-projections on any direction. Cells are as wide as that on three directions, so near
-copies lie in one cell or in neighbours.
+(at most ``block``) are worked through in order, what they keep is sent to tiles of all the
+rest, where a matrix product compares them, and matched arrivals leave. Each round decides
+a block and everything like it; no task holds a locus and no pairs among arrivals are
+made. Only a locus that keeps more than ``most`` cases, where each further case drives one
+out, goes through one task that holds ``most`` cases and takes its arrivals as they come.
 """
 
 from __future__ import annotations
@@ -25,30 +21,17 @@ from ledgermark.functions.order import checkpointed
 from ledgermark.functions.similarity import dot
 
 DIRECTIONS = 3
+#: Arrivals that are compared with kept cases in one go.
+TILE = 16_384
 #: By how much sums in another order may differ.
 ROUNDING = 1e-12
 
 
 def unit(situation: Column) -> Column:
     """The vector at length 1; null where its length is 0."""
-    norm = F.sqrt(dot(situation, situation))
-    return F.when(norm > 0, F.transform(situation, lambda x: x.cast("double") / norm))
-
-
-def cell(unit_vector: Column, width: float) -> Column:
-    """Three whole numbers: the places of a unit vector on fixed directions, in steps of ``width``."""
-    scale = F.sqrt(F.size(unit_vector)) * width
-
-    def along(k: int) -> Column:
-        signed = F.transform(unit_vector, lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(k)), F.lit(2)) == 0, x).otherwise(-x))
-        return F.floor(F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / scale).cast("int")
-
-    return F.array(*[along(k) for k in range(DIRECTIONS)])
-
-
-def _around(at: Column) -> Column:
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    return F.array(*[F.array(*[at[k] + d for k, d in enumerate(step)]) for step in steps])
+    # bound as a variable, or it would be computed again for each component
+    norm = F.array(F.sqrt(dot(situation, situation)))
+    return F.get(F.transform(norm, lambda n: F.when(n > 0, F.transform(situation, lambda x: x.cast("double") / n))), F.lit(0))
 
 
 def _in_block(duplicate: float):
@@ -59,16 +42,43 @@ def _in_block(duplicate: float):
 
         pdf = pdf.sort_values(["seq", "case_id", "_id"])
         vectors = np.stack(pdf["_unit"].to_numpy())
-        kept, places = np.empty_like(vectors), []
-        for i, v in enumerate(vectors):
-            if not len(places) or (kept[: len(places)] @ v).max() < duplicate - ROUNDING:
-                kept[len(places)] = v
-                places.append(i)
+        places = np.empty(0, np.int64)
+        for lo in range(0, len(vectors), 256):
+            part = vectors[lo : lo + 256]
+            met = (part @ vectors[places].T >= duplicate - ROUNDING).any(1)
+            alike = part @ part.T >= duplicate - ROUNDING
+            here: list[int] = []
+            for i in np.flatnonzero(~met):
+                if not alike[i, here].any():
+                    here.append(i)
+            places = np.concatenate([places, lo + np.array(here, np.int64)])
         return pdf.iloc[places]
 
     return work
 
 
+def _first_met(duplicate: float):
+    """Of a tile of arrivals: the first of the cases just kept, by ``_r``, that each matches; a kept case is its own, whatever rounding says."""
+
+    def work(pdf, new):
+        import numpy as np
+        import pandas as pd
+
+        if pdf.empty or new.empty:
+            return pd.DataFrame({"_l": [], "_at": [], "_id": []})
+        new = new.sort_values("_r")
+        ids, names = new["_id"].to_numpy(), pdf["_id"].to_numpy()
+        kept, step, by = np.stack(new["_unit"].to_numpy()).T, max(1, 4_000_000 // len(new)), []
+        for lo in range(0, len(pdf), step):
+            near = np.stack(pdf["_unit"].to_numpy()[lo : lo + step]) @ kept >= duplicate - ROUNDING
+            by.append(np.where(near.any(1), ids[near.argmax(1)], -1))
+        by = np.where(np.isin(names, ids), names, np.concatenate(by))
+        met = by >= 0
+        return pd.DataFrame({"_l": pdf["_l"].to_numpy()[met], "_at": names[met], "_id": by[met]})
+
+    return work
+
+
 def retain(arrivals: DataFrame, duplicate: float = 0.95, most: int = 50_000, block: int = 4096) -> DataFrame:
     """``arrivals(seq, case_id, locus, situation)`` in order of seq, then case_id -> ``locus, case_id, confirmations`` of kept cases.
 
@@ -77,23 +87,23 @@ def retain(arrivals: DataFrame, duplicate: float = 0.95, most: int = 50_000, blo
     Arrivals without a situation take no part; a situation of length 0 is like no other;
     null is a locus of its own; repeated rows are arrivals of their own.
     """
-    width = math.sqrt(2 - 2 * duplicate) + 1e-9
     rows = arrivals.where("situation is not null").select("seq", "case_id", "locus", F.coalesce(F.concat(F.lit("="), F.col("locus").cast("string")), F.lit("null")).alias("_l"), "situation").withColumn("_unit", unit(F.col("situation")))
-    rows = checkpointed(rows.withColumn("_cell", cell(F.col("_unit"), width)).withColumn("_id", F.monotonically_increasing_id()))
-    left = rows.where("_unit is not null").select("_l", "seq", "case_id", "_id", "_unit", "_cell")
-    schema = left.schema
+    rows = checkpointed(rows.withColumn("_id", F.monotonically_increasing_id()))
+    left = rows.where("_unit is not null").select("_l", "seq", "case_id", "_id", "_unit")
+    # which tile of its locus an arrival is in, for good
+    tiles = checkpointed(left.groupBy("_l").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_n")))
+    left = left.join(tiles, "_l").withColumn("_t", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int")).drop("_n")
+    schema = f"{left.schema.simpleString()[7:-1]},_r:int"
     lone = rows.where("_unit is null").select("_l", "_id", F.lit(0).cast("long").alias("confirmations"))
     kept, done, over = lone, lone.select("_l"), None
     while not left.isEmpty():
         first = Window.partitionBy("_l").orderBy("seq", "case_id", "_id")
-        head = left.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= block).drop("_r")
+        head = left.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= block)
         new = checkpointed(head.groupBy("_l").applyInPandas(_in_block(duplicate), schema))
-        probes = new.select(F.col("_l").alias("_l2"), F.explode(_around(F.col("_cell"))).alias("_c"), F.struct("seq", "case_id", "_id").alias("_k"), F.col("_unit").alias("_u"))
-        met = left.join(probes, (F.col("_l") == F.col("_l2")) & (F.col("_cell") == F.col("_c"))).where(dot(F.col("_unit"), F.col("_u")) >= duplicate - ROUNDING)
-        # a kept case matches itself, whatever rounding says
-        met = met.select("_l", F.col("_id").alias("_at"), "_k").union(new.select("_l", F.col("_id").alias("_at"), F.struct("seq", "case_id", "_id").alias("_k")))
-        met = checkpointed(met.groupBy("_at").agg(F.first("_l").alias("_l"), F.min("_k").alias("_k")))
-        kept = kept.union(met.groupBy("_l", F.col("_k._id").alias("_id")).agg((F.count("*") - 1).alias("confirmations")))
+        sent = new.join(tiles, "_l").select("_l", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_t"), "_id", "_unit", "_r")
+        met = left.select("_l", "_t", "_id", "_unit").groupBy("_l", "_t").cogroup(sent.groupBy("_l", "_t")).applyInPandas(_first_met(duplicate), "_l string, _at long, _id long")
+        met = checkpointed(met)
+        kept = kept.union(met.groupBy("_l", "_id").agg((F.count("*") - 1).alias("confirmations")))
         done = checkpointed(done.union(new.select("_l")))
         full = done.groupBy("_l").count().where(F.col("count") > most).select("_l")
         over = checkpointed(full)

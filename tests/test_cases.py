@@ -42,6 +42,24 @@ def test_retain(spark, most, block, duplicate):
     assert sorted(map(tuple, got.collect()), key=repr) == plain(rows, duplicate, most)
 
 
+def test_retain_of_long_vectors_in_tiles(spark, monkeypatch):
+    """Arrivals that are mostly unlike meet what is kept tile by tile."""
+    monkeypatch.setattr(cases, "TILE", 50)
+    rng = np.random.default_rng(4)
+    rows = [(i, f"c{i:05}", "ab"[i % 2], rng.normal(size=64).tolist()) for i in range(700)]
+    rows += [(700 + i, f"c{700 + i:05}", "ab"[i % 2], (np.array(rows[3 * i][3]) + 0.1 * rng.normal(size=64)).tolist()) for i in range(200)]
+    got = cases.retain(spark.createDataFrame(rows, ARRIVAL).repartition(3), 0.95, 1000, 128)
+    want = plain(rows, 0.95, 1000)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and 700 <= len(want) < 900
+
+
+def test_unit_takes_the_length_once(spark):
+    plan = spark.range(1).select(cases.unit(F.array(F.lit(3.0), F.col("id") + 4.0)).alias("u"))
+    assert plan.first().u == [0.6, 0.8]
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert text.index("SQRT") < text.index("lambdafunction(CASE WHEN"), "the length is inside of the loop over components"
+
+
 def test_retain_empty_and_hot(spark):
     assert cases.retain(spark.createDataFrame([], ARRIVAL)).count() == 0
     hot = spark.range(20_000).select(F.col("id").alias("seq"), F.concat(F.lit("c"), "id").alias("case_id"), F.lit("l").alias("locus"), F.array(F.lit(1.0), F.rand(3) / 100).alias("situation"))
