@@ -1,10 +1,10 @@
 """Smallest unique subset of a record's pool that sums to its amount.
 
-Up to three parts without tolerance the search runs inside the row, over the record's
-pool as an array sorted by amount: the pool is bounded by ``cap``, so nothing is paired by
-a join, and three parts are tried only where fewer do not explain the record. Anything
-else runs per record in a bounded dynamic programme. Pools over ``cap`` entries and
-targets over ``ceiling`` are ``too_large``.
+A record's pool comes as an array, which ``cap`` bounds, so nothing is paired by a join.
+Up to three parts without tolerance, records of an Arrow batch whose pools are of one size
+are summed together, and three parts are tried only where fewer do not explain the record.
+Anything else runs per record in a bounded dynamic programme. Pools over ``cap`` entries
+and targets over ``ceiling`` are ``too_large``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import lru_cache
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 64
@@ -24,40 +24,71 @@ def pools(cand: DataFrame, ledger: DataFrame) -> DataFrame:
     return cand.join(ledger.select("key", F.col("amount_minor").alias("amount")).distinct(), "key").select("record_id", "key", "amount")
 
 
-def solve(targets: DataFrame, pool: DataFrame, cap: int = CAP, ceiling: int = CEILING) -> DataFrame:
-    """``targets(record_id, target)`` -> ``record_id, target, n_pool, status, k, members`` (sorted keys joined by commas)."""
-    sized = pool.groupBy("record_id").agg(F.count("*").alias("n_pool"))
-    todo = targets.join(sized, "record_id", "left").withColumn("n_pool", F.coalesce("n_pool", F.lit(0)).cast("long"))
-    small = todo.where((F.col("n_pool") <= cap) & (F.col("target") > 0) & (F.col("target") <= ceiling))
-    items = pool.join(small.select("record_id", "target"), "record_id").where("amount > 0 and amount <= target")
-    held = items.groupBy("record_id", "target").agg(F.array_sort(F.collect_list(F.struct("amount", "key"))).alias("items"))
-    few = held.withColumn("found", F.coalesce(*(F.when(F.size(w) > 0, w) for w in (_ways(1), _ways(2)))))
-    found = few.withColumn("found", F.coalesce("found", _ways(3))).where(F.size("found") > 0)
-    best = found.select("record_id", F.struct(F.size(F.col("found")[0]).alias("k"), F.size("found").alias("ways"), F.array_sort(F.col("found")[0]).alias("keys")).alias("f"))
-    out = todo.join(best, "record_id", "left")
-    status = F.when(F.col("target") < 0, "invalid").when(F.col("target") == 0, "solved").when((F.col("n_pool") > cap) | (F.col("target") > ceiling), "too_large").when(F.col("f").isNull(), "infeasible").when(F.col("f.ways") == 1, "solved").otherwise("ambiguous")
-    out = out.withColumn("status", status)
-    solved = (F.col("status") == "solved") & (F.col("target") > 0)
-    return out.select("record_id", "target", "n_pool", "status", F.when(solved, F.col("f.k")).when(F.col("target") == 0, 0).alias("k"), F.when(solved, F.array_join("f.keys", ",")).when(F.col("target") == 0, "").alias("members"))
+def pools_by_key(cand: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The rows of :func:`pools` with a key's amounts as an array: ``record_id, key, amounts``."""
+    by = ledger.groupBy("key").agg(F.collect_set(F.struct(F.col("amount_minor").alias("amount"))).alias("amounts"))
+    return cand.join(by, "key").select("record_id", "key", "amounts")
 
 
-def _ways(parts: int) -> Column:
-    """The ways to make ``target`` of so many ``items``, each way as an array of keys.
+def solve(targets: DataFrame, pool: DataFrame, cap: int = CAP, ceiling: int = CEILING) -> DataFrame:
+    """``targets(record_id, target)`` -> ``record_id, target, n_pool, status, k, members`` (sorted keys joined by commas).
 
-    Items ascend by amount, so a part is tried only if the ones after it, none of them
-    smaller, still fit.
+    ``pool`` as made by :func:`pools` or :func:`pools_by_key`.
     """
-    items = F.col("items")
+    if "amounts" not in pool.columns:
+        pool = pool.select("record_id", "key", F.array(F.struct("amount")).alias("amounts"))
+    wanted = F.collect_list(F.when(F.col("_n") <= cap, F.struct("key", "amounts")))
+    # dealt out once: a pool over the cap is counted and not gathered
+    sized = pool.repartition("record_id").withColumn("_n", F.sum(F.size("amounts")).over(Window.partitionBy("record_id")))
+    held = sized.groupBy("record_id").agg(F.sum(F.size("amounts")).alias("n_pool"), wanted.alias("items"))
+    todo = targets.join(held, "record_id", "left").withColumn("n_pool", F.coalesce("n_pool", F.lit(0)).cast("long"))
+    fits = (F.col("n_pool") <= cap) & (F.col("target") > 0) & (F.col("target") <= ceiling)
+    todo = todo.select("record_id", "target", "n_pool", F.when(fits, F.col("items")).alias("items"))
+    schema = f"record_id {todo.schema['record_id'].dataType.simpleString()}, target {todo.schema['target'].dataType.simpleString()}, n_pool long, ways long, k int, members string"
+    out = todo.mapInArrow(_fewest, schema)
+    status = F.when(F.col("target") < 0, "invalid").when(F.col("target") == 0, "solved").when((F.col("n_pool") > cap) | (F.col("target") > ceiling), "too_large").when(F.coalesce("ways", F.lit(0)) == 0, "infeasible").when(F.col("ways") == 1, "solved").otherwise("ambiguous")
+    out = out.withColumn("status", status)
+    solved = (F.col("status") == "solved") & (F.col("target") > 0)
+    return out.select("record_id", "target", "n_pool", "status", F.when(solved, F.col("k")).when(F.col("target") == 0, 0).alias("k"), F.when(solved, F.col("members")).when(F.col("target") == 0, "").alias("members"))
 
-    def more(left: Column, start: Column, parts: int) -> Column:
-        rest = F.slice(items, start, F.size(items))
-        if parts == 1:
-            return F.transform(F.filter(rest, lambda x: x["amount"] == left), lambda x: F.array(x["key"]))
-        none = F.array().cast("array<array<string>>")
-        tried = F.transform(rest, lambda x, i: F.when(x["amount"] * parts <= left, F.transform(more(left - x["amount"], start + i + 1, parts - 1), lambda w: F.concat(F.array(x["key"]), w))).otherwise(none))
-        return F.flatten(tried)
 
-    return more(F.col("target"), F.lit(1), parts)
+def _fewest(batches):
+    """The fewest parts, up to three, of each row's ``items`` that make its ``target``: in how many ways, and the keys where there is one."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        n = batch.num_rows
+        target = batch.column("target").fill_null(0).to_numpy(zero_copy_only=False)
+        lists = batch.column("items")
+        by_key = lists.flatten()
+        sets = by_key.field("amounts")
+        amounts, keys = sets.flatten().field("amount").fill_null(0).to_numpy(zero_copy_only=False), by_key.field("key")
+        of_key = np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy(zero_copy_only=False))
+        of = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[of_key]
+        use = np.flatnonzero((amounts > 0) & (amounts <= target[of]))
+        flat, size = amounts[use], np.bincount(of[use], minlength=n)
+        begin = np.cumsum(size) - size
+        ways, parts, chosen = np.zeros(n, np.int64), np.zeros(n, np.int32), np.full((n, 3), -1)
+        for m in np.unique(size[size > 0]).tolist():
+            for k in range(1, min(m, 3) + 1):
+                every = _parts(m, k)
+                rows = np.flatnonzero((size == m) & (ways == 0))
+                step = max(1, 200_000 // len(every))
+                for lo in range(0, len(rows), step):
+                    at = rows[lo : lo + step]
+                    part = flat[begin[at] + np.arange(m)[:, None]]  # a row for each place
+                    total = sum(part[every[:, j]] for j in range(k))
+                    which, row = np.nonzero(total == target[at])
+                    ways[at] = np.bincount(row, minlength=len(at))
+                    found = at[row]
+                    parts[found] = k
+                    chosen[found, :k] = begin[found][:, None] + every[which]
+        members = [None] * n
+        for r in np.flatnonzero(ways == 1).tolist():
+            members[r] = ",".join(sorted(keys[int(of_key[use[i]])].as_py() for i in chosen[r, : parts[r]].tolist()))
+        cols = [batch.column("record_id"), batch.column("target"), batch.column("n_pool"), pa.array(ways), pa.array(parts), pa.array(members, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["record_id", "target", "n_pool", "ways", "k", "members"])
 
 
 def solve_one(target: int, amounts: list[int], *, tolerance: int = 0, most: int = 3, cap: int = CAP, ceiling: int = CEILING, unique: bool = True) -> tuple[str, list[int], int]:
@@ -110,7 +141,7 @@ def solve_general(targets: DataFrame, pool: DataFrame, **options) -> DataFrame:
             got = solve_many(pdf["target"].tolist(), pdf["amounts"].tolist(), **options)
             yield pd.DataFrame({"record_id": pdf["record_id"], "status": [g[0] for g in got], "members": [",".join(sorted(keys[i] for i in g[1])) for keys, g in zip(pdf["keys"], got, strict=True)], "residual": [g[2] for g in got]})
 
-    small = held.mapInPandas(work, "record_id string, status string, members string, residual long")
+    small = held.mapInPandas(work, f"record_id {held.schema['record_id'].dataType.simpleString()}, status string, members string, residual long")
     large = sized.where(F.col("n") > cap).select("record_id", F.lit("too_large").alias("status"), F.lit("").alias("members"), F.col("target").alias("residual")).distinct()
     return small.union(large)
 

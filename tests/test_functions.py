@@ -198,3 +198,27 @@ def test_many_pools_at_once_equal_one_by_one(tolerance, most, unique):
     cases = [(rng.randint(0, 60), [rng.randint(0, 40) for _ in range(rng.randint(0, 9))]) for _ in range(400)] + [(30, [1] * 65), (6_000_000_000, [5])]
     options = {"tolerance": tolerance, "most": most, "unique": unique}
     assert solver.solve_many(*map(list, zip(*cases, strict=True)), **options) == [solver.solve_one(t, a, **options) for t, a in cases]
+
+
+def test_solve_takes_pools_by_key(spark):
+    """A key's amounts as an array count one by one towards the pool, missing ones too; the same answers as from rows."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(r, f"K{k}", rng.choice([None, -5, *range(1, 12)])) for r in range(60) for k in range(rng.randint(1, 6)) for _ in range(rng.randint(1, 3))]
+    pool = spark.createDataFrame(sorted(set(rows), key=repr), "record_id long, key string, amount long")
+    targets = spark.createDataFrame([(r, rng.randint(0, 40)) for r in range(62)] + [(62, -1)], "record_id long, target long")
+    by_key = pool.groupBy("record_id", "key").agg(F.collect_set(F.struct("amount")).alias("amounts"))
+    want = sorted(map(tuple, solver.solve(targets, pool, cap=10).collect()))
+    assert sorted(map(tuple, solver.solve(targets, by_key, cap=10).collect())) == want
+    assert {r[3] for r in want} == {"invalid", "solved", "too_large", "infeasible", "ambiguous"}
+    pools = {}
+    for r in pool.collect():
+        pools.setdefault(r[0], []).append(r[2])
+    for record, target, n, status, *_ in want:
+        amounts = pools.get(record, [])
+        assert n == len(amounts)
+        if target > 0 and n <= 10:
+            assert status == solver.brute(target, [a for a in amounts if a is not None and a > 0])
