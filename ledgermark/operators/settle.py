@@ -76,8 +76,8 @@ def even_sample(rows: DataFrame, order: str, want: int) -> DataFrame:
     return at.join(F.broadcast(places), "position").select(*rows.columns, "position")
 
 
-def loci(judged: DataFrame, cand: DataFrame | None = None) -> DataFrame:
-    """Decisions with their labels -> ``record_id, locus`` as a reviewer who knows the label would attribute them.
+def loci(judged: DataFrame, cand: DataFrame | None = None, more: tuple = ()) -> DataFrame:
+    """Decisions with their labels -> ``record_id, locus`` and the columns ``more``, as a reviewer who knows the label would attribute them.
 
     Without ``cand``, ``judged`` says itself whether the label is a candidate (``hit``).
     """
@@ -87,7 +87,9 @@ def loci(judged: DataFrame, cand: DataFrame | None = None) -> DataFrame:
         at = judged.join(hit, ["record_id", "label"], "left")
     right = F.array("label")
     offered = F.when(F.col("hit"), right).otherwise(F.array().cast("array<string>"))
-    return at.select("record_id", learn.locus(right, offered, F.col("ranked_keys"), F.col("outcome") == "posted", F.col("path") == "multiplicity", F.col("is_mult")).alias("locus"))
+    # of the ranking only its first key is asked for, which is the decision's
+    first = F.when(F.col("key").isNotNull(), F.array("key"))
+    return at.select("record_id", *more, learn.locus(right, offered, first, F.col("outcome") == "posted", F.col("path") == "multiplicity", F.col("is_mult")).alias("locus"))
 
 
 def retrieve_vectors(vectors: DataFrame, k: int = 5, least: float = 0.1) -> DataFrame:
