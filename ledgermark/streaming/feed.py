@@ -56,8 +56,54 @@ def distinct_situations(stream: DataFrame, lateness: str = "1 day") -> DataFrame
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["situation"])
 
 
+class Opened:
+    """Cases of a locus that a micro-batch has read or kept, as arrays that grow."""
+
+    def __init__(self, dims: int):
+        import numpy as np
+
+        self.n, self.ids, self.cells = 0, np.empty(64, object), np.empty(64, object)
+        self.counts, self.turns, self.units = np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros((64, dims))
+
+    def put(self, cell: str, case_id, count: int, turn: int, v) -> int:
+        import numpy as np
+
+        if self.n == len(self.ids):
+            self.ids, self.cells, self.counts, self.turns, self.units = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.cells, self.counts, self.turns, self.units))
+        at, self.n = self.n, self.n + 1
+        self.ids[at], self.cells[at], self.counts[at], self.turns[at], self.units[at] = case_id, cell, count, turn, v
+        return at
+
+    def drop(self, at: int) -> None:
+        last = self.n = self.n - 1
+        for x in (self.ids, self.cells, self.counts, self.turns, self.units):
+            x[at] = x[last]
+
+
+def in_turn(arrivals):
+    """Arrivals by seq, then case_id; names are compared only where seq is tied, as they are long."""
+    import numpy as np
+
+    if arrivals["seq"].isna().any():
+        return arrivals.sort_values(["seq", "case_id"])
+    arrivals = arrivals.iloc[np.argsort(arrivals["seq"].to_numpy(), kind="stable")]
+    seq = arrivals["seq"].to_numpy()
+    same = seq[1:] == seq[:-1]
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    if len(tied):
+        order = np.arange(len(seq))
+        order[tied] = tied[arrivals[["seq", "case_id"]].iloc[tied].reset_index(drop=True).sort_values(["seq", "case_id"]).index]
+        arrivals = arrivals.iloc[order]
+    return arrivals
+
+
 class CaseKeeper(StatefulProcessor):
-    """The cases of a locus: a map from cell to the cases in it, so that an arrival meets those of its own and the neighbouring cells."""
+    """The cases of a locus: a map from cell to the cases in it, so that arrivals meet those of their own and the neighbouring cells.
+
+    Arrivals are taken in blocks. One product compares a block with the cases that were
+    there before it; what matched none of them is worked through in order, against what
+    the block itself has kept. Where a case must leave, the block ends.
+    """
 
     def __init__(self, duplicate: float, most: int):
         self.duplicate, self.most = duplicate, most
@@ -72,70 +118,103 @@ class CaseKeeper(StatefulProcessor):
 
         n, turn = self.totals.get() if self.totals.exists() else (0, 0)
         occupied = {k[0] for k in self.cells.keys()} if n else set()
-        open_: dict[str, list] = {}  # cells read in this batch: ids, counts, turns, unit vectors
-        changed, out = set(), []
-        width = math.sqrt(2 - 2 * self.duplicate) + 1e-9
-        signs = None
-
-        def held(name):
-            if name not in open_:
-                ids, counts, turns, units = self.cells.getValue((name,))
-                open_[name] = [list(ids), list(counts), list(turns), [np.asarray(u) for u in np.asarray(units, float).reshape(len(ids), -1)]]
-            return open_[name]
-
-        def put(name, case_id, v):
-            if name not in occupied:
-                occupied.add(name)
-                open_[name] = [[], [], [], []]
-            for column, x in zip(held(name), (case_id, 0, turn, v), strict=True):
-                column.append(x)
-            changed.add(name)
-
-        for r in pd.concat(list(rows)).sort_values(["seq", "case_id"]).itertuples():
-            v = np.asarray(r.situation, float)
-            norm = float(np.linalg.norm(v))
-            if signs is None:
-                signs = np.random.default_rng(len(v)).choice([-1.0, 1.0], (3, len(v))) / math.sqrt(len(v))
-            first, name = None, "none"  # a vector of length 0 is like no other
-            if norm:
-                v = v / norm
-                at = np.floor(signs @ v / width).astype(int)
-                name = ",".join(map(str, at))
-                for step in STEPS:
-                    near = ",".join(map(str, at + step))
-                    if near in occupied:
-                        cell = held(near)
-                        for i in np.flatnonzero(np.array(cell[3]) @ v >= self.duplicate - ROUNDING).tolist() if cell[0] else ():
-                            if first is None or cell[2][i] < first[0]:
-                                first = (cell[2][i], near, i)
-            if first is not None:
-                cell = held(first[1])
-                cell[1][first[2]] += 1
-                changed.add(first[1])
-                out.append((key[0], r.seq, cell[0][first[2]], "confirmed"))
-                continue
-            turn += 1
-            out.append((key[0], r.seq, r.case_id, "kept"))
-            if n < self.most:
+        arrivals = in_turn(pd.concat(list(rows)))
+        seqs, names = arrivals["seq"].to_numpy(), arrivals["case_id"].to_numpy(object)
+        units = np.stack(arrivals["situation"].to_numpy()).astype(float)
+        del arrivals
+        norms = np.linalg.norm(units, axis=1)
+        some = norms != 0  # a vector of length 0 is like no other
+        units[some] /= norms[some, None]
+        dims, width, least = units.shape[1], math.sqrt(2 - 2 * self.duplicate) + 1e-9, self.duplicate - ROUNDING
+        signs = np.random.default_rng(dims).choice([-1.0, 1.0], (3, dims)) / math.sqrt(dims)
+        at = np.floor(units @ signs.T / width).astype(int)
+        held, read, changed = Opened(dims), set(), set()
+
+        def open_(cell):
+            if cell in occupied and cell not in read:
+                read.add(cell)
+                ids, counts, turns, flat = self.cells.getValue((cell,))
+                for case in zip(ids, counts, turns, np.asarray(flat, float).reshape(len(ids), -1), strict=True):
+                    held.put(cell, *case)
+
+        lo, out = 0, []
+        while lo < len(seqs):
+            block = slice(lo, min(len(seqs), lo + max(64, min(2048, 8_000_000 // max(1, held.n)))))
+            near = np.unique(at[block][some[block]], axis=0)
+            for cell in {",".join(map(str, c)) for c in np.unique((near[:, None] + np.array(STEPS)).reshape(-1, 3), axis=0)}:
+                open_(cell)
+            part, before = units[block], np.argsort(held.turns[: held.n])
+            before = before[held.units[before].any(1)]
+            first = np.full(len(part), -1)
+            if len(before):
+                met = (part @ held.units[before].T >= least) & some[block, None]
+                first = np.where(met.any(1), before[met.argmax(1)], -1)
+            fresh, full, entered = [], None, np.zeros(len(part), bool)
+            for i in np.flatnonzero(first < 0):
+                if some[lo + i] and fresh:
+                    met = held.units[fresh] @ part[i] >= least
+                    if met.any():
+                        first[i] = fresh[met.argmax()]
+                        continue
+                turn += 1
+                entered[i] = True
+                if n >= self.most:
+                    full = i
+                    break
                 n += 1
-            else:  # of all cases the least confirmed leaves, the earliest of several
-                count, _, where, i = min((c, t, name, i) for name in occupied for i, (c, t) in enumerate(zip(*held(name)[1:3], strict=True)))
-                if count > 0:
-                    out.append((key[0], r.seq, r.case_id, "left"))
-                    continue
-                out.append((key[0], r.seq, held(where)[0][i], "left"))
-                for column in held(where):
-                    del column[i]
-                changed.add(where)
-            put(name, r.case_id, v)
-        for name in changed:
-            ids, counts, turns, units = open_[name]
-            if ids:
-                self.cells.updateValue((name,), (ids, counts, turns, [float(x) for u in units for x in u]))
-            elif self.cells.containsKey((name,)):
-                self.cells.removeKey((name,))
+                cell = ",".join(map(str, at[lo + i])) if some[lo + i] else "none"
+                if not some[lo + i]:
+                    open_(cell)
+                occupied.add(cell)
+                read.add(cell)
+                changed.add(cell)
+                first[i] = held.put(cell, names[lo + i], 0, turn, part[i])
+                if some[lo + i]:
+                    fresh.append(first[i])
+            done = len(part) if full is None else full
+            here = first[:done]
+            again = here[~entered[:done]]
+            np.add.at(held.counts, again, 1)
+            changed.update(held.cells[np.unique(again)])
+            out.append((seqs[lo : lo + done], held.ids[here], np.where(entered[:done], "kept", "confirmed")))
+            lo += done
+            if full is not None:  # of all cases the least confirmed leaves, the earliest of several
+                for cell in occupied:
+                    open_(cell)
+                seq, name = seqs[lo], names[lo]
+                i = int(np.lexsort((held.turns[: held.n], held.counts[: held.n]))[0])
+                stays = held.counts[i] > 0
+                out.append(([seq, seq], [name, name if stays else held.ids[i]], ["kept", "left"]))
+                if not stays:
+                    changed.add(held.cells[i])
+                    held.drop(i)
+                    cell = ",".join(map(str, at[lo])) if some[lo] else "none"
+                    occupied.add(cell)
+                    read.add(cell)
+                    changed.add(cell)
+                    held.put(cell, name, 0, turn, units[lo])
+                lo += 1
+            if sum(len(x[0]) for x in out[-64:]) > 50_000 or len(out) > 4096:
+                yield self.events(key[0], out)
+                out = []
+        cells = held.cells[: held.n]
+        for cell in changed:
+            there = np.flatnonzero(cells == cell)
+            there = there[np.argsort(held.turns[there])]
+            if len(there):
+                self.cells.updateValue((cell,), (held.ids[there].tolist(), held.counts[there].tolist(), held.turns[there].tolist(), held.units[there].ravel().tolist()))
+            elif self.cells.containsKey((cell,)):
+                self.cells.removeKey((cell,))
         self.totals.update((n, turn))
-        yield pd.DataFrame(out, columns=["locus", "seq", "case_id", "event"])
+        yield self.events(key[0], out)
+
+    @staticmethod
+    def events(locus, parts):
+        import numpy as np
+        import pandas as pd
+
+        seq, case_id, event = (np.concatenate([np.asarray(p[k], kind) for p in parts]) if parts else np.empty(0, kind) for k, kind in enumerate((None, object, object)))
+        return pd.DataFrame({"locus": np.full(len(seq), locus, object), "seq": seq, "case_id": case_id, "event": event})
 
     def close(self) -> None:
         pass
