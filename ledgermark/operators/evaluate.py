@@ -128,13 +128,43 @@ def assert_no_outcome_columns(df: DataFrame, more=()) -> None:
 
 def temporal_split(rows: DataFrame, group: str = "match_id", day: str = "day", train: float = 0.7, val: float = 0.1) -> DataFrame:
     """``group, first_day, split``: whole groups by first day; groups without a day train."""
+    groups = checkpointed(rows.groupBy(F.col(group).alias("grp")).agg(F.min(day).alias("first_day")))
+    return _split_of(groups, groups, train, val)
+
+
+def with_split(rows: DataFrame, group: str = "match_id", day: str = "day", train: float = 0.7, val: float = 0.1) -> DataFrame:
+    """``rows`` with the ``split`` of :func:`temporal_split`, dealt out by group once and written; rows without a group are left out."""
+    known = rows.where(F.col(group).isNotNull())
+    first = Window.partitionBy(group).orderBy(F.col(day).asc_nulls_last())
+    at = checkpointed(known.withColumns({"first_day": F.first(day).over(first), "_lead": F.row_number().over(first) == 1, "grp": F.col(group)}))
+    # together they are a group, which counts where the shares end
+    without = rows.where(F.col(group).isNull()).agg(F.min(day).alias("first_day"), F.count("*").alias("n")).where("n > 0")
+    groups = at.where("_lead").select("grp", "first_day").union(without.select(F.lit(None).cast(at.schema["grp"].dataType), "first_day"))
+    return _split_of(at, groups, train, val, rows.columns)
+
+
+def _split_of(rows: DataFrame, groups: DataFrame, train: float, val: float, keep=("grp", "first_day")) -> DataFrame:
+    """``rows(grp, first_day)`` with their ``split``; ``groups`` has each group once.
+
+    Counts by day say on which day each share ends; only that day's groups are put in order.
+    """
     if not (0 < train < 1 and 0 <= val < 1 and train + val < 1):
         raise ValueError("shares must leave something for the test split")
-    groups = rows.groupBy(F.col(group).alias("grp")).agg(F.min(day).alias("first_day"))
-    dated = positioned(groups.where("first_day is not null"), ["first_day", "grp"])
-    n = dated.count()
-    split = F.when(F.col("position") <= int(n * train), "train").when(F.col("position") <= int(n * (train + val)), "val").otherwise("test")
-    return dated.select("grp", "first_day", split.alias("split")).union(groups.where("first_day is null").select("grp", "first_day", F.lit("train")))
+    dated = groups.where("first_day is not null")
+    days = checkpointed(positioned(dated.groupBy("first_day").agg(F.count("*").alias("n")), ["first_day"], {"upto": F.col("n")}))
+    n = days.agg(F.max("upto")).first()[0] or 0
+    split = F.lit("test")
+    for share, name in ((train + val, "val"), (train, "train")):
+        most = int(n * share)
+        end = days.where(F.col("upto") >= most).orderBy("first_day").limit(1).first() if most else None
+        if end is None:
+            continue
+        # the last group of the share: the n-th by name among those of its day
+        nth = most - (end.upto - end.n)
+        last = positioned(dated.where(F.col("first_day") == end.first_day).select("grp"), ["grp"]).where(F.col("position") == nth).first().grp
+        day, before = F.lit(end.first_day), F.col("grp").isNull() if last is None else F.col("grp").isNull() | (F.col("grp") <= F.lit(last))
+        split = F.when((F.col("first_day") < day) | ((F.col("first_day") == day) & before), name).otherwise(split)
+    return rows.select(*keep, F.when(F.col("first_day").isNull(), "train").otherwise(split).alias("split"))
 
 
 def split_overlap(rows: DataFrame, group: str, split: str = "split") -> DataFrame:

@@ -41,8 +41,8 @@ def fit_detector(rows: DataFrame, trees: int = 20, depth: int = 4, seed: int = 7
     return _fit(rows, MULT, "is_mult", trees, depth, seed)
 
 
-def multiple_scores(model, rows: DataFrame) -> DataFrame:
-    return _margin(model, rows, MULT).select("record_id", F.col("p").alias("p_multiple"))
+def multiple_scores(model, rows: DataFrame, *keep: str) -> DataFrame:
+    return _margin(model, rows, MULT).select("record_id", F.col("p").alias("p_multiple"), *keep)
 
 
 def fit_isotonic(rows: DataFrame):
