@@ -35,6 +35,13 @@ def test_median_from_counts(spark, values):
     assert features.median(df) == df.agg(F.percentile("a", 0.5)).first()[0]
 
 
+def test_the_ledger_is_dealt_out_as_rows(spark):
+    x = queries.View(spark, DATA)
+    for df in (x.stats(), queries.fx.groups(x.ledger)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.rindex("Aggregate") < plan.index("Exchange")
+
+
 def test_the_detector_groups_the_bank_once(spark, monkeypatch):
     made = []
     for name in ("found", "candidates"):
@@ -42,3 +49,10 @@ def test_the_detector_groups_the_bank_once(spark, monkeypatch):
     assert queries.QUERIES["gbt_multiplicity"](spark, DATA).count() == 1
     # the only bank that is matched is a written table, not one made from the ledger again
     assert len(made) == 1 and "parquet" in made[0]._jdf.queryExecution().executedPlan().toString() and "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calibration_matches_no_training_records(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries.decide, "looked_up", lambda records, *a, real=queries.decide.looked_up: asked.append(records) or real(records, *a))
+    assert queries.QUERIES["isotonic_gate"](spark, DATA).count() == 3
+    assert {r.split for r in asked[0].select("split").distinct().collect()} == {"val", "test"}
