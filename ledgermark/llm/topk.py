@@ -4,6 +4,7 @@ Vectors become integers ``floor(scale * x)``. Shards of ``shard`` rows and block
 ``block`` queries are packed by a hash of their key; each tile is one matrix product
 with a partial selection of k; lists meet in groups of ``fan`` shards until one is
 left for each query. A tile's memory is ``block * shard`` scores, whatever the input.
+Blocks go to the shards through a shuffle; nothing is broadcast.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no
 part, as query or candidate; vectors of other lengths than the query's are no
@@ -97,7 +98,8 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embe
 
     packs = packed(rows, shards)
     asks = packed(rows.where(is_query(F.col("key"))), blocks).select("dim", *(F.col(c).alias(f"q_{c}") for c in ("keys", "rows", "n", "kind", "matrix")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
-    tiles = asks.join(packs, ["dim", "part"]).mapInArrow(_tiles(k), "row binary, query_id long, n long, vec_id long, score long, part long")
+    # copied to every shard, the queries are far larger than what is read of them, by which Spark would send them to the driver
+    tiles = asks.join(packs.hint("shuffle_hash"), ["dim", "part"]).mapInArrow(_tiles(k), "row binary, query_id long, n long, vec_id long, score long, part long")
     order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last()]
     while shards > 1:
         shards = -(-shards // fan)

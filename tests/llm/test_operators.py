@@ -665,6 +665,14 @@ def test_top_k_bars_only_the_query_row(spark):
         assert Counter(got) == Counter(want)
 
 
+def test_top_k_sends_no_queries_to_the_driver(spark):
+    """Copied to every shard they don't fit there, however small the table of queries is."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, lambda k: k % 50 == 0, shard=2, block=1, fan=4)
+    assert got.count() == 20
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # 10
 
 
