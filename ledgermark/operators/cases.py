@@ -25,6 +25,8 @@ DIRECTIONS = 3
 TILE = 16_384
 #: By how much sums in another order may differ.
 ROUNDING = 1e-12
+#: Rows of a block of retrieval, cases of a run in it, and queries that visit a block together.
+BLOCK, RUN, VISITS = 4096, 16, 20_000
 
 
 def unit(situation: Column) -> Column:
@@ -182,11 +184,12 @@ def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.
     """``queries(query_id, locus, situation)`` against ``cases(case_id, locus, situation, retired)`` -> ``query_id, case_id, similarity, rank``: the ``k`` most similar of the locus at ``least`` or more, ties by case_id, of pairs that ``also`` allows (of ``query_id`` and ``case_id``).
 
     Exact, in two looks. Queries and cases are sorted along a curve through their places on
-    three directions, and a query is compared with ``pivots`` cases on either side of it;
-    the k-th similarity there, or ``least``, bounds how far off any better case is. Then it
-    meets the cases in the cells that this distance reaches, which are as wide as it, so the
-    denser the cases lie the smaller are the cells. Vectors of length 0 have similarity 0
-    to all.
+    three directions and cut into blocks. A query is compared with ``pivots`` cases on either
+    side of it, then with the cases of its block that this leaves; the k-th similarity there,
+    or ``least``, bounds how far off any better case is. Then it visits the blocks whose box
+    this distance reaches, and there the runs of cases whose box it reaches, so the denser the
+    cases lie the fewer are compared. Each case is held by one block, and travels once for
+    each :data:`VISITS` queries that come to it. Vectors of length 0 have similarity 0 to all.
 
     Without ``also``, equal vectors are searched for once, and of equal cases only the first
     few are looked at, as later ones can't be among the ``k``. ``own`` is whether a query may
@@ -201,7 +204,7 @@ def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.
     if least <= 0:  # every case of the locus may count, those of length 0 too
         pairs = asked.alias("q").join(usable.alias("c"), (F.col("q.locus") == F.col("c.locus")) & allowed)
         return _top(pairs.select("query_id", "case_id", F.coalesce(dot(unit(F.col("q.situation")), unit(F.col("c.situation"))), F.lit(0.0)).alias("similarity")).where(F.col("similarity") >= least), k, digits)
-    usable, asked = (d.withColumn("u", unit(F.col("situation"))).where("u is not null").drop("situation") for d in (usable, asked))
+    usable, asked = (d.withColumn("u", unit(F.col("situation"))).where(F.col("u").isNotNull() & ~F.exists("u", F.isnan)).drop("situation") for d in (usable, asked))
     if also is not None:
         held = usable.select("locus", "u", F.array("case_id").alias("ids"))
         wanted = asked.select(F.col("query_id").alias("_q"), "locus", "u")
@@ -217,38 +220,39 @@ def retrieve(queries: DataFrame, cases: DataFrame, k: int = 5, least: float = 0.
 
     sides = held.select("locus", "u", "ids", F.lit(None).cast(wanted.schema["_q"].dataType).alias("_q"), "at").union(wanted.select("locus", "u", F.lit(None).cast(held.schema["ids"].dataType), "_q", "at"))
     sides = sides.withColumn("_z", along_curve(F.col("at"))).withColumn("_n", F.size("u")).repartitionByRange("locus", "_n", "_z").sortWithinPartitions("locus", "_n", "_z")
-    ids = held.schema["ids"].dataType.simpleString()
-    near = sides.select("locus", "_n", "u", "ids", "_q").mapInPandas(_beside(pivots, 2 * need), f"_q {wanted.schema['_q'].dataType.simpleString()}, ids {ids}, similarity double")
-    near = near.select(F.col("_q"), F.explode("ids").alias("case_id"), "similarity").withColumn("query_id", F.col("_q")).where((F.col("similarity") >= least) & fits)
-    bound = _top(near.select(F.col("_q").alias("query_id"), "case_id", "similarity"), need).where(F.col("rank") == need).select(F.col("query_id").alias("_q"), (F.col("similarity") - equal).alias("_least"))
-
-    wide = math.sqrt(2 - 2 * least) + 1e-9
-    looks = wanted.join(bound, "_q", "left").withColumn("_least", F.greatest(F.coalesce("_least", F.lit(least)), F.lit(least)))
-    looks = looks.withColumn("_far", F.least(F.lit(wide), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_least"))) + 1e-9))
-    looks = checkpointed(looks.withColumn("level", F.least(F.lit(30), F.floor(F.log2(wide / F.col("_far")))).cast("int")))
-
-    def width(level: Column) -> Column:
-        return F.lit(wide) * F.pow(F.lit(2.0), -level)
-
-    levels = [r[0] for r in looks.select("level").distinct().collect()]  # 31 at most
-    reach = [F.sequence(*(F.floor((F.col("at")[i] + d * F.col("_far")) / width(F.col("level"))).cast("long") for d in (-1, 1))) for i in range(DIRECTIONS)]
-    looked = looks
-    for i, r in enumerate(reach):
-        looked = looked.withColumn(f"_c{i}", F.explode(r))
-    there = held.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    ids, names, locus = (x.dataType.simpleString() for x in (held.schema["ids"], wanted.schema["_q"], held.schema["locus"]))
+    bounds = [f"{side}{i}" for i in range(DIRECTIONS) for side in ("lo", "hi")]
+    packs = checkpointed(sides.select("locus", "_n", "u", "at", "_z", "ids", "_q").mapInArrow(_blocks, f"block bigint, locus {locus}, _n int, held binary, places binary, ids array<{ids}>, wanted binary, asked binary, before binary, names array<{names}>, {', '.join(f'{b} double' for b in bounds)}"))
+
+    looks = packs.where(F.size("names") > 0).select("block", "locus", "_n", "held", "places", "ids", "wanted", "asked", "before", "names")
+    looks = looks.mapInArrow(_own(pivots, need, least, equal, 0 if also is None else 2 * need), f"block bigint, locus {locus}, _n int, _q {names}, u binary, at array<double>, _least double, _pairs bigint, _near array<{ids}>, _sims array<double>")
+    if also is not None:
+        looks = checkpointed(looks)
+        near = looks.select(F.col("_q").alias("query_id"), F.inline(F.arrays_zip("_near", "_sims"))).select("query_id", F.explode("_near").alias("case_id"), F.col("_sims").alias("similarity")).where((F.col("similarity") >= least) & fits)
+        bound = _top(near, need).where(F.col("rank") == need).select(F.col("query_id").alias("_q"), (F.col("similarity") - equal).alias("_bound"))
+        looks = looks.join(bound, "_q", "left").withColumn("_least", F.greatest("_least", F.coalesce("_bound", F.lit(least)))).drop("_bound")
+    # vectors that are as near as that are no further apart along any direction
+    far = F.least(F.lit(math.sqrt(2 - 2 * least) + 1e-9), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_least"))) + 1e-9)
+    looks = checkpointed(looks.drop("_near", "_sims").withColumn("_far", far))
+
+    # blocks whose queries reach into others, then the queries themselves
+    reach = looks.groupBy("block", "locus", "_n").agg(F.count("*").alias("n"), *[x for i in range(DIRECTIONS) for x in (F.min(F.col("at")[i] - F.col("_far")).alias(f"_lo{i}"), F.max(F.col("at")[i] + F.col("_far")).alias(f"_hi{i}"))])
+    boxes = packs.where(F.col("lo0").isNotNull()).select(F.col("block").alias("to"), "locus", "_n", *bounds)
+    ways = reach.join(boxes, ["locus", "_n"])
     for i in range(DIRECTIONS):
-        there = there.withColumn(f"_c{i}", F.floor(F.col("at")[i] / width(F.col("level"))).cast("long"))
-    cells = ["locus", "level", *[f"_c{i}" for i in range(DIRECTIONS)]]
-    close = F.col("q._q").isNotNull()
+        ways = ways.where((F.col(f"_lo{i}") <= F.col(f"hi{i}")) & (F.col(f"_hi{i}") >= F.col(f"lo{i}")))
+    ways = checkpointed(ways.select("block", "to", "n", *bounds))
+    parts = checkpointed(ways.groupBy("to").agg(F.ceil(F.sum("n") / VISITS).cast("int").alias("parts")))
+    visits = looks.select("block", "_q", "u", "at", "_far", "_least").join(ways.drop("n").join(parts, "to"), "block")
     for i in range(DIRECTIONS):
-        close = close & (F.abs(F.col("q.at")[i] - F.col("c.at")[i]) <= F.col("q._far"))
-    for c in cells:
-        close = close & (F.col(f"q.{c}") == F.col(f"c.{c}"))
-    met = looked.alias("q").join(there.alias("c"), close).select("_q", "_least", "ids", dot(F.col("q.u"), F.col("c.u")).alias("similarity"))
+        visits = visits.where((F.col("at")[i] - F.col("_far") <= F.col(f"hi{i}")) & (F.col("at")[i] + F.col("_far") >= F.col(f"lo{i}")))
+    visits = visits.select("to", F.pmod(F.xxhash64("_q"), F.col("parts")).cast("int").alias("part"), "_q", "u", "at", "_far", "_least")
+    visited = packs.select(F.col("block").alias("to"), "held", "places", "ids").join(parts, "to").select("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "held", "places", "ids")
+    met = visits.groupBy("to", "part").cogroup(visited.groupBy("to", "part")).applyInArrow(_visit(bool(compared)), f"_q {names}, ids {ids}, similarity double, _pairs bigint")
     if compared:
         met = checkpointed(met)
-        compared(wanted.count() * 2 * pivots + met.count())
-    met = met.where((F.col("similarity") >= least) & (F.col("similarity") >= F.col("_least"))).select(F.col("_q").alias("query_id"), F.explode("ids").alias("case_id"), "similarity")
+        compared(sum(d.agg(F.coalesce(F.sum("_pairs"), F.lit(0))).first()[0] for d in (met, looks)))
+    met = met.where((F.col("similarity") >= least)).select(F.col("_q").alias("query_id"), F.explode("ids").alias("case_id"), "similarity")
     if also is not None:
         return _top(met.where(fits), k, digits)
     found = _top(met, need, digits).drop("rank").withColumnRenamed("query_id", "_q")
@@ -278,31 +282,205 @@ def along_curve(at: Column) -> Column:
     return bits[0].bitwiseOR(F.shiftleft(bits[1], 1)).bitwiseOR(F.shiftleft(bits[2], 2))
 
 
-def _beside(each: int, most: int):
-    """Of sorted queries and cases: for each query the ``most`` best of ``each`` cases before and after it, within an Arrow batch."""
+def _blocks(batches):
+    """Rows sorted by locus, length and curve -> blocks of one locus and length, at most :data:`BLOCK` rows, as one row each with the box of its cases' places."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def end(rows):
+        few = rows.slice(0, BLOCK)
+        locus, n, z = (few.column(c).to_numpy(zero_copy_only=False) for c in ("locus", "_n", "_z"))
+        other = np.flatnonzero((locus != locus[0]) | (n != n[0]))
+        if len(other):
+            return int(other[0])
+        if rows.num_rows <= BLOCK:
+            return rows.num_rows
+        # where the curve leaves the largest cube, so that boxes are small
+        half = len(z) // 2
+        return half + int(np.argmax(z[half:] ^ z[half - 1 : -1]))
+
+    def packed(rows, number):
+        n = rows.column("_n")[0].as_py()
+        u, at = (_flat(rows.column(c)).reshape(-1, d) for c, d in (("u", n), ("at", DIRECTIONS)))
+        is_case = rows.column("ids").is_valid().to_numpy(zero_copy_only=False)
+        ids, names = rows.column("ids").filter(pa.array(is_case)).combine_chunks(), rows.column("_q").filter(pa.array(~is_case)).combine_chunks()
+        binary = [pa.array([x.tobytes()], pa.binary()) for x in (u[is_case], at[is_case], u[~is_case], at[~is_case], np.cumsum(is_case)[~is_case].astype(np.int64))]
+        listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, names)]
+        box = at[is_case]
+        box = [pa.array([f(box[:, i]) if len(box) else None], pa.float64()) for i in range(DIRECTIONS) for f in (np.min, np.max)]
+        cols = [pa.array([number], pa.int64()), rows.column("locus").slice(0, 1).combine_chunks(), pa.array([n], pa.int32()), *binary[:2], listed[0], *binary[2:], listed[1], *box]
+        return pa.RecordBatch.from_arrays(cols, names=["block", "locus", "_n", "held", "places", "ids", "wanted", "asked", "before", "names", *[f"{side}{i}" for i in range(DIRECTIONS) for side in ("lo", "hi")]])
+
+    rest, number = None, TaskContext.get().partitionId() << 33
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rest = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+        while rest.num_rows > BLOCK:
+            at = end(rest)
+            yield packed(rest.slice(0, at), number)
+            rest, number = rest.slice(at), number + 1
+    while rest is not None and rest.num_rows:
+        at = end(rest)
+        yield packed(rest.slice(0, at), number)
+        rest, number = rest.slice(at), number + 1
+
+
+def _flat(column):
+    """The numbers of an Arrow column of lists, one after the other."""
+    return (column.combine_chunks() if hasattr(column, "combine_chunks") else column).flatten().to_numpy(zero_copy_only=False)
+
+
+class _Cases:
+    """A block's cases in runs along the curve, whose boxes tell which runs a query must be compared with."""
+
+    def __init__(self, held, places):
+        import numpy as np
+
+        self.held, n = held, len(held)
+        first = np.arange(0, n, RUN)
+        self.lo, self.hi = (f.reduceat(places, first) if n else places for f in (np.minimum, np.maximum))
+
+    def near(self, u, at, far, least):
+        """Pairs (query, case, similarity) at the query's ``least`` or more, and the number of pairs compared."""
+        import numpy as np
+
+        out, pairs, dims = [], 0, self.held.shape[1]
+        step = max(1, 2_000_000 // max(1, len(self.held)))
+        for a in range(0, len(u) if len(self.held) else 0, step):
+            v, p, d, bar = u[a : a + step], at[a : a + step], far[a : a + step, None], least[a : a + step]
+            meets = np.ones((len(v), len(self.lo)), bool)
+            for i in range(DIRECTIONS):
+                meets &= (p[:, i, None] - d <= self.hi[:, i]) & (p[:, i, None] + d >= self.lo[:, i])
+            row, run = np.nonzero(meets)
+            if len(row) * 4 > meets.size:
+                pairs += len(v) * len(self.held)
+                q, c = np.nonzero(v @ self.held.T >= bar[:, None] - ROUNDING)
+                out.append((a + q, c))
+                continue
+            pairs += len(row) * RUN
+            some = max(1, 2_000_000 // (RUN * dims))
+            for b in range(0, len(row), some):
+                c = run[b : b + some, None] * RUN + np.arange(RUN)
+                q = np.broadcast_to(row[b : b + some, None], c.shape)
+                sims = np.einsum("pd,ped->pe", v[row[b : b + some]], self.held[np.minimum(c, len(self.held) - 1)])
+                good = (sims >= bar[row[b : b + some], None] - ROUNDING) & (c < len(self.held))
+                out.append((a + q[good], c[good]))
+        q, c = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in (0, 1))
+        # summed in the order of the components, so that equal cases have equal similarities
+        sims = np.zeros(len(q))
+        for j in range(dims):
+            sims += u[q, j] * self.held[c, j]
+        good = sims >= least[q]
+        return q[good], c[good], sims[good], pairs
+
+
+def _reach(least):
+    import numpy as np
+
+    return np.sqrt(np.maximum(0.0, 2 - 2 * least)) + 1e-9
+
+
+def _own(each: int, need: int, least: float, equal: float, most: int):
+    """Queries of a block with a bound of the ``need``-th similarity, from ``each`` cases on either side along the curve, then from the block's cases that this bound leaves.
+
+    With ``most`` over 0 they come with their ``most`` best cases of the block instead, as only the caller knows which of them may be found.
+    """
 
     def work(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+
+        def bounded(q, sims, copies, n):
+            """For each query the similarity at which it has ``need`` cases, less what makes a tie."""
+            out = np.full(n, least)
+            order = np.lexsort((-sims, q))
+            q, total = q[order], np.cumsum(copies[order])
+            first = np.searchsorted(q, np.arange(n))
+            before = np.concatenate([[0], total])[first]
+            at = np.searchsorted(total, before + need)
+            there = (at < len(q)) & (at >= first)
+            there[there] = q[at[there]] == np.flatnonzero(there)
+            out[there] = np.maximum(least, sims[order][at[there]] - equal)
+            return out
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                dims = row["_n"].as_py()
+                held, places, u, at = (np.frombuffer(row[c].as_buffer(), np.float64).reshape(-1, d) for c, d in (("held", dims), ("places", DIRECTIONS), ("wanted", dims), ("asked", DIRECTIONS)))
+                before, n, ids = np.frombuffer(row["before"].as_buffer(), np.int64), len(u), row["ids"].values
+                copies = np.ones(len(held), np.int64) if most else ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                bars, pairs = np.full(n, least), 0
+                step = max(1, 2_000_000 // (2 * each * dims))
+                for lo in range(0, n if len(held) and not most else 0, step):
+                    c = before[lo : lo + step, None] + np.arange(-each, each)
+                    there = (c >= 0) & (c < len(held))
+                    sims = np.einsum("qd,qed->qe", u[lo : lo + step], held[np.clip(c, 0, len(held) - 1)])
+                    q, _ = np.nonzero(there)
+                    bars[lo : lo + step] = bounded(q, sims[there], copies[c[there]], len(c))
+                    pairs += int(there.sum())
+                cases = _Cases(held, places)
+                if most:  # some of them are tried at once, as any of them may be barred
+                    q, c, sims, pairs = _best(cases, u, at, before, each, least, most)
+                else:
+                    q, c, sims, more = cases.near(u, at, _reach(bars), bars)
+                    pairs += more
+                    bars = np.maximum(bars, bounded(q, sims, copies[c], n))
+                    q, c, sims = q[:0], c[:0], sims[:0]
+                order = np.argsort(q, kind="stable")
+                ends = pa.array(np.searchsorted(q[order], np.arange(n + 1)).astype(np.int32))
+                same = lambda x: pa.array([x.as_py()] * n, x.type)
+                count = np.zeros(n, np.int64)
+                count[:1] = pairs
+                yield pa.RecordBatch.from_arrays(
+                    [same(row["block"]), same(row["locus"]), same(row["_n"]), row["names"].values, pa.array([x.tobytes() for x in u], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), DIRECTIONS).cast(pa.list_(pa.float64())), pa.array(bars), pa.array(count), pa.ListArray.from_arrays(ends, ids.take(pa.array(c[order]))), pa.ListArray.from_arrays(ends, pa.array(sims[order]))],
+                    names=["block", "locus", "_n", "_q", "u", "at", "_least", "_pairs", "_near", "_sims"],
+                )
 
-        for whole in batches:
-            for _, pdf in whole.groupby(["locus", "_n"], sort=False):
-                is_case = pdf["ids"].notna().to_numpy()
-                if is_case.all() or not is_case.any():
-                    continue
-                before = np.cumsum(is_case)[~is_case]
-                held, wanted = np.stack(pdf["u"].to_numpy()[is_case]), np.stack(pdf["u"].to_numpy()[~is_case])
-                ids, names = pdf["ids"].to_numpy()[is_case], pdf["_q"].to_numpy()[~is_case]
-                step = max(1, 2_000_000 // (2 * each * held.shape[1]))
-                for lo in range(0, len(wanted), step):
-                    at = before[lo : lo + step, None] + np.arange(-each, each)
-                    there = (at >= 0) & (at < len(held))
-                    at = np.clip(at, 0, len(held) - 1)
-                    sims = np.where(there, np.einsum("qd,qed->qe", wanted[lo : lo + step], held[at]), -2.0)
-                    best = np.argsort(-sims, 1)[:, :most]
-                    sims = np.take_along_axis(sims, best, 1)
-                    row, col = np.nonzero(sims > -2.0)
-                    yield pd.DataFrame({"_q": names[lo + row], "ids": ids[np.take_along_axis(at, best, 1)[row, col]], "similarity": sims[row, col]})
+    return work
+
+
+def _best(cases: _Cases, u, at, before, each: int, least: float, most: int):
+    """The ``most`` best cases of a block for each query, at ``least`` or more."""
+    import numpy as np
+
+    found, pairs, n = [], 0, len(u)
+    for lo in range(0, n if len(cases.held) else 0, step := max(1, 2_000_000 // (2 * max(each, most) * cases.held.shape[1]))):
+        c = np.clip(before[lo : lo + step, None] - max(each, most), 0, max(0, len(cases.held) - 2 * max(each, most))) + np.arange(min(len(cases.held), 2 * max(each, most)))
+        sims = np.einsum("qd,qed->qe", u[lo : lo + step], cases.held[c])
+        pairs += sims.size
+        bar = np.full(len(c), least)
+        if sims.shape[1] >= most:
+            bar = np.maximum(bar, np.partition(sims, sims.shape[1] - most, 1)[:, sims.shape[1] - most] - ROUNDING)
+        q, c, sims, more = cases.near(u[lo : lo + step], at[lo : lo + step], _reach(bar), bar)
+        order = np.lexsort((-sims, q))
+        q, c, sims = q[order], c[order], sims[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < most
+        found.append((lo + q[first], c[first], sims[first]))
+        pairs += more
+    return *(np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, float))), pairs
+
+
+def _visit(counted: bool):
+    """Queries that reach into a block, or a part of them, against its cases."""
+
+    def work(asked, block):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["_q", "ids", "similarity", "_pairs"]
+        if not asked.num_rows or not block.num_rows:
+            return pa.table([asked.column("_q").slice(0, 0), pa.chunked_array([], block.column("ids").type.value_type), pa.array([], pa.float64()), pa.array([], pa.int64())], names=names)
+        at, far, least = _flat(asked.column("at")).reshape(-1, DIRECTIONS), asked.column("_far").to_numpy(), asked.column("_least").to_numpy()
+        u = np.frombuffer(b"".join(asked.column("u").to_pylist()), np.float64).reshape(len(at), -1)
+        held, places = (np.frombuffer(block.column(c)[0].as_buffer(), np.float64).reshape(-1, d) for c, d in (("held", u.shape[1]), ("places", DIRECTIONS)))
+        q, c, sims, pairs = _Cases(held, places).near(u, at, far, least)
+        out = pa.table([asked.column("_q").take(pa.array(q)).combine_chunks(), block.column("ids")[0].values.take(pa.array(c)), pa.array(sims), pa.array(np.zeros(len(q), np.int64))], names=names)
+        if counted:
+            count = pa.table([asked.column("_q").slice(0, 1), block.column("ids")[0].values.slice(0, 1), pa.array([-2.0]), pa.array([pairs], pa.int64())], names=names)
+            out = pa.concat_tables([out, count])
+        return out
 
     return work
 

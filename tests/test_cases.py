@@ -116,6 +116,26 @@ def test_retrieve_equal_vectors_grow_in_line(spark):
     assert counts[1] <= 2 * counts[0]
 
 
+def test_retrieve_compares_in_line_where_cases_lie_dense(spark):
+    """Eight times as many distinct cases and queries: a query meets little more of them than before."""
+    rng = np.random.default_rng(6)
+    counts = []
+    for n in (3000, 24_000):
+        v = np.column_stack([np.log10(rng.uniform(900, 105_000, n)), rng.integers(1, 51, n) / 10, rng.integers(0, 11, n) / 2, rng.integers(0, 9, n) * 0.6])
+        df = spark.createDataFrame([(i, f"c{i:05}", "l", x.tolist()) for i, x in enumerate(v)], ARRIVAL)
+        seen = []
+        got = cases.retrieve(df.where("seq % 20 = 0").withColumnRenamed("case_id", "query_id"), df.withColumn("retired", F.lit(False)), compared=seen.append, own=False, digits=9).collect()
+        counts.append(seen[0])
+        units = v / np.linalg.norm(v, axis=1)[:, None]
+        want = []
+        for q in range(0, n, 20):
+            sims = units @ units[q]
+            best = sorted((-round(sims[c], 9), c) for c in np.argsort(-sims)[:20] if c != q and sims[c] >= 0.85)[:5]
+            want += [(f"c{q:05}", r, f"c{c:05}") for r, (_, c) in enumerate(best, 1)]
+        assert sorted((r["query_id"], r["rank"], r["case_id"]) for r in got) == want
+    assert counts[1] <= 13 * counts[0]
+
+
 def streamed(spark, parts, path, most=50_000, duplicate=0.95):
     """One file and one run for each part; every run goes on from the checkpoint of the last."""
     for part in parts:
