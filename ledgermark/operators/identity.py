@@ -6,7 +6,7 @@ alias of the registry; ``none``. A layer that finds more than one entity answers
 ``ambiguous`` without an entity, as a wrong entity is worse than none, and ends the search.
 
 Names are asked about once however many rows have them. The fuzzy layer is exact: names
-whose similarity reaches ``least`` share one of their rarest groups of letters, and only such
+whose similarity reaches ``least`` share two of their rarest groups of letters, and only such
 pairs are compared. Layers are anti joins over written tables.
 """
 
@@ -36,42 +36,57 @@ def grams(name: Column) -> Column:
 def similar(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
     """Pairs ``(left, right, similarity)`` of ``left(name)`` and ``right(name)``, distinct normalised names, with a Jaccard similarity of at least ``least``.
 
-    A name's groups are ordered by how many names have them, rarest first. Partners share
-    t = ceil(least * n) groups or more; if these are two at least, two of them are among the
-    first n - t + 2 of either, so names meet by pairs of groups, of which there are many more
-    than groups. Only names that may share a single group meet by one. Bits of the groups tell
-    most of those apart that meet by chance, before names' groups are compared.
+    Partners with n and m groups share ``least / (1 + least) * (n + m)`` or more. Groups with a
+    space and those without meet only their like, so the shapes of names, how many of each they
+    have, tell which names have a partner at all, and t, the fewest groups one shares with any.
+    Groups that only one side has are never shared. The others, v of a name, are ordered by how
+    many names have them, rarest first; if t is two at least, two shared ones are among the first
+    v - t + 2 of either, so names meet by pairs of groups, of which there are many more than
+    groups. Only names that may share a single group meet by one. Bits of the groups tell most of
+    those apart that meet by chance; names travel as numbers, and only pairs left are compared.
     """
-    sides = [checkpointed(d.select("name", grams(F.col("name")).alias("grams")).where(F.size("grams") > 0)) for d in (left, right)]
-    rare = sides[0].union(sides[1]).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    rare = checkpointed(rare)
+    share = least / (1 + least)
+    sides = []
+    for d in (left, right):
+        at = d.select("name", grams(F.col("name")).alias("grams")).where(F.size("grams") > 0)
+        at = at.select(F.monotonically_increasing_id().alias("id"), "name", "grams", F.size("grams").alias("n"), F.size(F.filter("grams", lambda x: F.contains(x, F.lit(" ")))).alias("edge"))
+        sides.append(checkpointed(at))
+    # at most as many shapes as there are pairs of counts in a name
+    shapes = [checkpointed(s.select(F.col("n").alias(f"n{i}"), F.col("edge").alias(f"edge{i}")).distinct()) for i, s in enumerate(sides)]
+    # a hair less, so that rounding never shortens what is looked at
+    needed = F.greatest(F.lit(1), F.ceil((F.col("n0") + F.col("n1")) * F.lit(share) - 1e-9).cast("int"))
+    fits = shapes[0].crossJoin(shapes[1]).withColumn("t", needed).where(F.least("edge0", "edge1") + F.least(F.col("n0") - F.col("edge0"), F.col("n1") - F.col("edge1")) >= F.col("t"))
+    fits = checkpointed(fits)
+    sides = [s.join(fits.groupBy(F.col(f"n{i}").alias("n"), F.col(f"edge{i}").alias("edge")).agg(F.min("t").alias("t")), ["n", "edge"]) for i, s in enumerate(sides)]
+    known = [s.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias(f"c{i}")) for i, s in enumerate(sides)]
+    rare = checkpointed(known[0].join(known[1], "gram").select("gram", (F.col("c0") + F.col("c1")).alias("c")))
     words = [f"b{w}" for w in range(4)]
 
     def heads(side):
-        every = side.select("name", F.explode("grams").alias("gram")).join(rare, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
-        every = every.select("name", F.transform("g", lambda x: x["gram"]).alias("g"), F.size("g").alias("n"))
-        # a hair less, so that rounding never shortens what is looked at
-        every = every.withColumn("t", F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int")))
-        head = F.slice("g", 1, F.col("n") - F.greatest(F.col("t"), F.lit(2)) + 2)
+        every = side.select("id", "n", "t", F.explode("grams").alias("gram")).join(rare, "gram").groupBy("id", "n", "t").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
+        every = every.where(F.size("g") >= F.col("t")).select("id", "n", "t", F.transform("g", lambda x: F.xxhash64(x["gram"])).alias("g"))
+        head = F.slice("g", 1, F.size("g") - F.greatest(F.col("t"), F.lit(2)) + 2)
         none = F.array().cast("array<bigint>")
-        two = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y: F.xxhash64(x, y))))
-        one = F.when(F.col("t") < 2, F.transform("g", lambda x: F.xxhash64(x))).otherwise(none)
-        place = lambda x: F.pmod(F.xxhash64(x, F.lit(1)), F.lit(256)).cast("int")
+        every = every.withColumn("places", F.transform("g", lambda x: F.pmod(x, F.lit(256)).cast("int"))).withColumn("head", F.when(F.size("g") > 1, head).otherwise(none))
+        two = F.flatten(F.transform("head", lambda x, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda y: F.xxhash64(x, y))))
+        one = F.when(F.col("t") < 2, F.col("g")).otherwise(none)
 
         def bits(w):
-            return F.aggregate("g", F.lit(0).cast("long"), lambda s, x: F.when(F.shiftright(place(x), 6) == w, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(x).bitwiseAND(F.lit(63))))).otherwise(s))
+            here = F.filter("places", lambda x: F.shiftright(x, 6) == w)
+            return F.aggregate(here, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
 
-        return checkpointed(every.select("name", "n", *[bits(w).alias(f"b{w}") for w in range(4)], F.concat(F.when(F.col("n") > 1, two).otherwise(none), one).alias("signs")).withColumn("sign", F.explode("signs")).drop("signs"))
+        return every.select("id", "n", *[bits(w).alias(f"b{w}") for w in range(4)], F.explode(F.concat(two, one)).alias("sign"))
 
     a, b = heads(sides[0]).alias("a"), heads(sides[1]).alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     apart = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words[1:]), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
-    met = a.join(b, (F.col("a.sign") == F.col("b.sign")) & (small >= large * least - 1e-9) & (apart <= (F.col("a.n") + F.col("b.n")) * ((1 - least) / (1 + least)) + 1e-9))
-    met = met.select(F.col("a.name").alias("left"), F.col("b.name").alias("right")).distinct()
-    met = met.join(sides[0].select(F.col("name").alias("left"), F.col("grams").alias("_a")), "left").join(sides[1].select(F.col("name").alias("right"), F.col("grams").alias("_b")), "right")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    ratio = shared / (F.size("_a") + F.size("_b") - shared)
-    return met.where(ratio >= least).select("left", "right", ratio.alias("similarity"))
+    # signs are far more than what is read of names, by which Spark would send one side to the driver
+    met = a.join(b.hint("merge"), (F.col("a.sign") == F.col("b.sign")) & (small >= large * least - 1e-9) & (apart <= (F.col("a.n") + F.col("b.n")) * ((1 - least) / (1 + least)) + 1e-9))
+    met = met.select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b")).distinct()
+    met = met.join(sides[0].select(F.col("id").alias("_a"), F.col("name").alias("left")), "_a").join(sides[1].select(F.col("id").alias("_b"), F.col("name").alias("right")), "_b")
+    met = met.select("left", "right", grams(F.col("left")).alias("_a"), grams(F.col("right")).alias("_b")).withColumn("_s", F.size(F.array_intersect("_a", "_b")))
+    ratio = F.col("_s") / (F.size("_a") + F.size("_b") - F.col("_s"))
+    return met.select("left", "right", ratio.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def trusted(aliases: DataFrame, confirmations: int = 3) -> DataFrame:
@@ -110,7 +125,7 @@ def resolve(parties: DataFrame, entities: DataFrame, aliases: DataFrame, least:
     open_ = layer(left, one(known, "identifier"), "identifier", "identifier")
     open_ = layer(open_, one(known, "norm"), "norm", "exact")
     asked = open_.select(F.col("norm").alias("name")).distinct()
-    pairs = similar(asked, known.select(F.col("norm").alias("name")).distinct(), least)
+    pairs = checkpointed(similar(asked, known.select(F.col("norm").alias("name")).distinct(), least))
     best = pairs.groupBy(F.col("left").alias("norm")).agg(F.max("similarity").alias("similarity"))
     # of all that are as similar as the best; a name of several entities is no answer either
     tied = pairs.withColumnRenamed("left", "norm").join(best, ["norm", "similarity"]).join(known.select(F.col("norm").alias("right"), "entity_id"), "right")

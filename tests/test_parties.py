@@ -45,6 +45,31 @@ def test_similar_equals_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_similar_writes_names_once_and_no_signs(spark, monkeypatch):
+    """Names travel as numbers, a row for each pair of groups is never written, and names without a possible partner are left out."""
+    random.seed(3)
+    word = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    known = sorted({f"{word(7)} {word(8)} {word(5)}" for _ in range(150)})
+    asked = sorted({k[:4] + k[5:] for k in known} | {k[:3] + "x" + k[3:] for k in known} | {word(32) for _ in range(150)} | {f"t {word(11)} house" for _ in range(150)} | {" ".join(word(2) for _ in range(9))})
+    rows, real = [], identity.checkpointed
+
+    def counted(df):
+        out = real(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(identity, "checkpointed", counted)
+    frame = lambda x: spark.createDataFrame([(v,) for v in x], "name string")
+    found = identity.similar(frame(asked), frame(known), 0.6)
+    got = {(r["left"], r["right"]): r["similarity"] for r in found.collect()}
+    want = {(a, b): len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in asked for b in known if len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.6}
+    assert got == want and len(want) >= 200
+    groups = {g for x in known for g in grams(x)} & {g for x in asked for g in grams(x)}
+    assert sum(rows) <= len(asked) + len(known) + len(groups) + 2000  # shapes
+    join = next(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "[sign" in line and "Join" in line)
+    assert "SortMergeJoin" in join
+
+
 def test_resolve_by_layers(spark):
     entities = spark.createDataFrame([(1, "Zomato Media Pvt. Ltd.", "G1"), (2, "Reliance Industries Limited", None), (3, "Reliance Retail Ltd", None), (4, "Twin Corp", None), (5, "TWIN", ""), (6, "Eternal", "G6")], "entity_id long, canonical_name string, identifier string")
     aliases = spark.createDataFrame([("Swift Foods", 6, "human", 0, 0), ("Quick Foods", 6, "llm", 9, 0), ("Blue Dot", 2, "cooccurrence", 3, 0), ("Red Dot", 2, "cooccurrence", 3, 1), ("Grey Dot", 2, "cooccurrence", 2, 0)], "alias string, entity_id long, evidence string, confirmations int, contradictions int")
