@@ -20,6 +20,9 @@ from ledgermark.functions.order import checkpointed
 #: Words that say a company's legal form.
 FORMS = ("limited", "ltd", "private", "pvt", "llp", "llc", "inc", "incorporated", "corp", "corporation", "co", "company", "gmbh", "plc")
 
+#: Words of 64 bits that tell names apart before they are compared.
+WORDS = 2
+
 
 def normalised(name: Column) -> Column:
     """A name in small letters without marks and legal forms; dots join letters, other marks part words. May be empty."""
@@ -60,22 +63,11 @@ def similar(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
     sides = [s.join(fits.groupBy(F.col(f"n{i}").alias("n"), F.col(f"edge{i}").alias("edge")).agg(F.min("t").alias("t")), ["n", "edge"]) for i, s in enumerate(sides)]
     known = [s.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias(f"c{i}")) for i, s in enumerate(sides)]
     rare = checkpointed(known[0].join(known[1], "gram").select("gram", (F.col("c0") + F.col("c1")).alias("c")))
-    words = [f"b{w}" for w in range(4)]
+    words = [f"b{w}" for w in range(WORDS)]
 
     def heads(side):
         every = side.select("id", "n", "t", F.explode("grams").alias("gram")).join(rare, "gram").groupBy("id", "n", "t").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
-        every = every.where(F.size("g") >= F.col("t")).select("id", "n", "t", F.transform("g", lambda x: F.xxhash64(x["gram"])).alias("g"))
-        head = F.slice("g", 1, F.size("g") - F.greatest(F.col("t"), F.lit(2)) + 2)
-        none = F.array().cast("array<bigint>")
-        every = every.withColumn("places", F.transform("g", lambda x: F.pmod(x, F.lit(256)).cast("int"))).withColumn("head", F.when(F.size("g") > 1, head).otherwise(none))
-        two = F.flatten(F.transform("head", lambda x, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda y: F.xxhash64(x, y))))
-        one = F.when(F.col("t") < 2, F.col("g")).otherwise(none)
-
-        def bits(w):
-            here = F.filter("places", lambda x: F.shiftright(x, 6) == w)
-            return F.aggregate(here, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
-
-        return every.select("id", "n", *[bits(w).alias(f"b{w}") for w in range(4)], F.explode(F.concat(two, one)).alias("sign"))
+        return every.where(F.size("g") >= F.col("t")).select("id", "n", "t", F.transform("g", lambda x: F.xxhash64(x["gram"])).alias("g")).mapInArrow(_signs, f"id bigint, n int, {', '.join(f'{w} bigint' for w in words)}, sign bigint")
 
     a, b = heads(sides[0]).alias("a"), heads(sides[1]).alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
@@ -89,6 +81,40 @@ def similar(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
     return met.select("left", "right", ratio.alias("similarity")).where(F.col("similarity") >= least)
 
 
+def _signs(batches):
+    """Names with their groups ``g`` as hashes, rarest first -> a row for each pair of groups in the head, or for each group where one may be all that is shared."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, n, t = (batch.column(c).to_numpy() for c in ("id", "n", "t"))
+        v = batch.column("g").value_lengths().to_numpy().astype(np.int64)
+        g = batch.column("g").flatten().to_numpy().view(np.uint64)
+        first = np.cumsum(v) - v
+        place = g % np.uint64(64 * WORDS)
+        bit = np.uint64(1) << (place % np.uint64(64))
+        bits = [np.bitwise_or.reduceat(np.where(place // np.uint64(64) == w, bit, np.uint64(0)), first).view(np.int64) for w in range(WORDS)]
+
+        def table(rows, signs):
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(x[rows], signs.shape[1])) for x in (ids, n, *bits)] + [pa.array(signs.ravel().view(np.int64))], names=["id", "n", *[f"b{w}" for w in range(WORDS)], "sign"])
+
+        head = np.where(v > 1, v - np.maximum(t, 2) + 2, 0)
+        for size in np.unique(head[head > 1]):
+            i, j = np.triu_indices(size, 1)
+            every, step = np.flatnonzero(head == size), max(1, 1_000_000 // len(i))
+            for lo in range(0, len(every), step):
+                rows = every[lo : lo + step]
+                at = g[first[rows][:, None] + np.arange(size)]
+                for some in range(0, len(i), 1_000_000):
+                    few = slice(some, some + 1_000_000)
+                    yield table(rows, at[:, i[few]] * np.uint64(0x9E3779B97F4A7C15) + at[:, j[few]])
+        for size in np.unique(v[t < 2]):
+            rows = np.flatnonzero((t < 2) & (v == size))
+            yield table(rows, g[first[rows][:, None] + np.arange(size)])
+
+
 def trusted(aliases: DataFrame, confirmations: int = 3) -> DataFrame:
     """``aliases(alias, entity_id, evidence, confirmations, contradictions)`` that may be acted on.
 
